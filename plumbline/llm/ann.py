@@ -85,8 +85,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
     out = []
     for own, vector, point in zip(q_ids, q, projected, strict=True):
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
+        slack = 1e-12 * float(point @ point)  # equal vectors may be projected a rounding apart
         for least, members in tree.nearest_leaves(point):
-            if len(best_d) == k and least >= ratio * best_d[-1] ** 2:
+            if len(best_d) == k and least > ratio * best_d[-1] ** 2 + slack:
                 break
             members = members[c_ids[members] != own]
             d = np.sqrt(((c[members] - vector) ** 2).sum(axis=1))

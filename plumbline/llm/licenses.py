@@ -89,6 +89,10 @@ class Index:
         self.template = np.array([e[1] for e in entries], np.int64)
         self.place = np.array([e[2] for e in entries], np.int64)
 
+    def band(self, template: int, most: int) -> int:
+        """Short templates have narrow bands, so that neighbouring copies stay apart."""
+        return max(1, min(most, len(self.words[template]) // 4))
+
     def candidates(self, w: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
         """(template, diagonal): where in the text's words the template's first word would be."""
         h = _hashes(w, self.gram)
@@ -99,7 +103,7 @@ class Index:
         template, diagonal = self.template[entry], np.repeat(at, n) - self.place[entry]
         out: list[tuple[int, int]] = []
         for k, d in sorted(set(zip(template.tolist(), diagonal.tolist(), strict=True))):
-            if not out or out[-1][0] != k or d - out[-1][1] > band:
+            if not out or out[-1][0] != k or d - out[-1][1] > self.band(k, band):
                 out.append((k, d))
         return out
 
@@ -146,7 +150,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 w, first, last = words(text, PUNCTUATION)
                 found = []
                 for k, diagonal in index.candidates(w, band):
-                    matched, a, z = align(index.words[k], w, diagonal + band // 2, band)
+                    own = index.band(k, band)
+                    matched, a, z = align(index.words[k], w, diagonal + own // 2, own)
                     share = matched / len(index.words[k])
                     if share >= coverage:
                         found.append((k, -share, a, z, matched))

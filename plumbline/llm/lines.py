@@ -114,10 +114,12 @@ def drop_shared_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: i
     ``min_length`` code points and is found in at least ``min_docs`` rows go, but for those of the largest id
     that holds the key. Null and empty texts are one empty line. Each row counts as one document; rows that
     share that largest id all keep their lines. A null id is smaller than any other; among null ids only, all
-    keep theirs. ``docs`` needs ``id_col`` (long) and ``text_col``; all other columns are kept as they are.
+    keep theirs. ``docs`` needs ``id_col`` (long) and ``text_col``; all other columns are
+    kept as they are, those of the new names replaced.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "kept_text")]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*keep).alias("row"))
     batch = F.pmod(F.xxhash64("r1"), F.lit(batches)).cast("int")
     hashes = written(line_hashes(own, min_length).withColumn("batch", batch), "lines", "batch")
     store = LineRuns(spark)
@@ -126,7 +128,6 @@ def drop_shared_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: i
     shared = store.shared(min_docs)
     # a hot line is many rows against one; adaptive execution splits such a join
     drops = hashes.join(shared, "h").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("r1", "r2").agg(F.collect_set("h").alias("drops"))
-    keep = [c for c in docs.columns if c != text_col]
     kind = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

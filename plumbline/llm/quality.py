@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ._words import mix, pair, texts, words
 
 #: Places of the hash, labelled rows that training takes at most, passes over them.
-BITS, MAX_TRAINING_ROWS, PASSES = 18, 6_000, 3
+BITS, MAX_TRAINING_ROWS, PASSES = 18, 6_000, 5
 #: Rates and penalties of follow-the-regularised-leader.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
@@ -122,19 +122,19 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["w", "bias"])
 
     row = found.mapInArrow(extract, "order long, y int, at binary, x binary").repartition(1).mapInArrow(fit, "w binary, bias double").first()
-    return np.frombuffer(row["w"], np.float32), row["bias"]
+    return (np.frombuffer(row["w"], np.float32), row["bias"]) if row else (np.zeros(1 << bits, np.float32), 0.0)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``. Every column is kept.
+    """``docs`` with ``score`` and ``predicted``. Every other column is kept; columns of these names are replaced.
 
     Scores depend on the text alone, taken whole; a null text scores as an empty one, which has the bias
     only. The weights have a fixed size, whatever the input.
     """
-    bits, schema = len(weights).bit_length() - 1, docs.schema
+    bits = len(weights).bit_length() - 1
     weights = weights.astype(np.float64)
-    names = docs.columns
-    kind = StructType([*schema.fields, StructField("score", DoubleType())])
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    kind = StructType([*(docs.schema[c] for c in names), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -123,7 +123,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model | {"rates": rates, "rate": float(base)})])], names=["model"])
 
     sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows).repartition(1)
-    return json.loads(sample.select("url", "host", "path", F.col("bad").cast("int")).mapInArrow(fit, "model string").first()["model"])
+    row = sample.select("url", "host", "path", F.col("bad").cast("int")).mapInArrow(fit, "model string").first()
+    return json.loads(row["model"]) if row else {"base": 0.0, "trees": [], "rates": {}, "rate": 0.5}
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_rows: int = MAX_TRAINING_ROWS, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
