@@ -125,8 +125,8 @@ def drop_shared_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: i
     store = LineRuns(spark)
     for k in range(batches):
         store.add(hashes.where(F.col("batch") == k))
-    shared = store.shared(min_docs)
-    # a hot line is many rows against one; adaptive execution splits such a join
+    # a hot line is many rows against one; adaptive execution splits a join of two tables, as of this written one
+    shared = written(store.shared(min_docs), "shared")
     drops = hashes.join(shared, "h").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("r1", "r2").agg(F.collect_set("h").alias("drops"))
     kind = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
 
