@@ -1,6 +1,8 @@
 """From source texts to modules: imports, exports and top-level definitions.
 
-Rust items are found by blanking comments and literals and following brackets; Python's by its own syntax tree.
+Rust items are found by blanking comments and literals and following brackets; Python's by its own syntax tree;
+scripts have a module of their own. A definition's signature is the text up to its body for functions and impls, the
+whole text for others.
 Only the top level of a file counts. A text that can't be read keeps its lines and gets ``parse_error``.
 """
 
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
+from .scripts import parse_script
 
 MODULE = "path string, imports array<string>, exports array<string>, definitions array<struct<name:string,kind:string,line:bigint,visibility:string,signature:string>>, parse_error string"
 
@@ -78,11 +81,11 @@ def parse_rust(source: str) -> tuple[list, list, list]:
                 exports.append(name)
         elif what == "impl":
             first = text.split("\n", 1)[0].split("{", 1)[0].strip()
-            definitions.append((first.removeprefix("impl").strip(), "Impl", source.count("\n", 0, a) + 1, "Private", None))
+            definitions.append((first.removeprefix("impl").strip(), "Impl", source.count("\n", 0, a) + 1, "Private", source[a : a + max(code.find("{"), 0)].strip()))
         elif name:
             brace = code.find("{")
             signature = source[a : a + brace].strip() if brace >= 0 else text.rstrip(";").strip()
-            definitions.append((name, _KINDS[what], source.count("\n", 0, a) + 1, visibility, signature if what == "fn" else None))
+            definitions.append((name, _KINDS[what], source.count("\n", 0, a) + 1, visibility, signature if what == "fn" else text))
             if visibility == "Public":
                 exports.append(name)
     return imports, exports, definitions
@@ -106,7 +109,7 @@ def parse_python(source: str) -> tuple[list, list, list]:
 
 
 #: Parsers by extension; others may be added.
-PARSERS = {"rs": parse_rust, "py": parse_python}
+PARSERS = {"rs": parse_rust, "py": parse_python, **dict.fromkeys(("ts", "tsx", "js", "jsx"), parse_script)}
 
 
 def modules(sources: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 from plumbline.operators import resolve
-from plumbline.sources import config, parse
+from plumbline.sources import config, parse, scripts
 
 RUST = '''
 #![allow(x)]
@@ -57,3 +57,60 @@ def test_config(tmp_path):
     (tmp_path / "bad.toml").write_text("[")
     with pytest.warns(UserWarning):
         assert config.load(tmp_path / "bad.toml") == config.Config()
+
+
+SCRIPT = """import React, {
+  useState } from 'react'
+import "./side.css";
+import type { T } from "../types"
+// function no() {}
+/* class No {} */
+const re = /["'`{]/g, n: Map<string, number> = new Map(), s = `a ${ `${"}"}` } {`
+export const dropped = () => { function inner() {} }
+export default async function load(a: { x: number }): Promise<{ y: string }> {
+  const local = 1;
+}
+function* generated() { yield 1 }
+function overload(a: string): void;
+function plain(
+  a: string,
+) {
+  return "function text() {"
+}
+export interface Shape<T> extends Base {
+  side: T
+}
+export type Union =
+  | "a"
+  | "b"
+type Own = { a: 1 }
+class Hidden extends Base {
+  method() {}
+}
+const { p, q } = load(), f = (x) => {
+  return x
+}
+let late
+export { plain } from './other'
+if (late) { var deep = 2 }
+const view = <p>Don't {late} stop</p>;
+export class Last {}
+"""
+
+
+def test_script():
+    imports, exports, defs = scripts.parse_script(SCRIPT)
+    assert imports == ["react", "./side.css", "../types"]
+    assert exports == ["load", "Shape", "Union", "Last"]
+    assert [(d[0], d[1], d[3]) for d in defs] == [
+        ("re", "Constant", "Private"), ("n", "Constant", "Private"), ("s", "Constant", "Private"), ("load", "Function", "Public"),
+        ("plain", "Function", "Private"), ("Shape", "Interface", "Public"), ("Union", "Type", "Public"), ("Own", "Type", "Private"), ("Hidden", "Class", "Private"),
+        ("{ p, q }", "Constant", "Private"), ("f", "Constant", "Private"), ("late", "Constant", "Private"), ("view", "Constant", "Private"), ("Last", "Class", "Public"),
+    ]
+    by_name = {d[0]: d for d in defs}
+    assert by_name["plain"][2] == 14 and by_name["Own"][4] == "type Own = { a: 1 }" and by_name["load"][4] == "async function load(a:"
+
+
+def test_script_edges():
+    for text in ("", "\n", "}", "`", "'", "/*", "import", "export", "const", "import x from y", "a".join(["{"] * 50)):
+        assert scripts.parse_script(text)[0] == []
