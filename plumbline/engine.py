@@ -22,11 +22,17 @@ class PathNotFound(ValueError):
 
 @dataclass(frozen=True)
 class Analysis:
-    """What an analysis gives: modules, edges (src, dst, pos) and issues (kind, severity, path, message, advice)."""
+    """What an analysis gives.
+
+    modules as ``parse.modules`` has them; edges (src, dst, pos); issues (kind, severity, path, message, advice, key);
+    locations (kind, key, path), every module an issue names; and counts of each module's definitions.
+    """
 
     modules: DataFrame
     edges: DataFrame
     issues: DataFrame
+    locations: DataFrame
+    counts: DataFrame
 
 
 def analyze(sources: DataFrame, config: Config | None = None, max_depth: int | None = None, min_cohesion: float | None = None) -> Analysis:
@@ -44,21 +50,33 @@ def analyze(sources: DataFrame, config: Config | None = None, max_depth: int | N
     counts = m.select("path", F.size("exports").cast("long").alias("exports")).join(counts, "path", "left").select("path", "exports", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c != "path"))
     slim = m.select("path", "name", "lines", "imports")
     hits = detect.boundary_hits(m.select("path", "content"), config.boundaries)
-    row = lambda df, kind, path, message: df.select(F.lit(kind).alias("kind"), F.lit(SEVERITIES[kind]).alias("severity"), path.alias("path"), message.alias("message"), views.advice(F.lit(kind)).alias("advice"))
+    loops, deep = written(detect.cycles(edges), "cycles"), written(detect.deep_chains(edges, t), "chains")
+    crossed = written(detect.boundary_violations(hits, config.boundaries, t), "crossed")
+
+    def row(df: DataFrame, kind: str, path, message, key=None) -> DataFrame:
+        own = path if key is None else key
+        return df.select(F.lit(kind).alias("kind"), F.lit(SEVERITIES[kind]).alias("severity"), path.alias("path"), message.alias("message"), views.advice(F.lit(kind)).alias("advice"), own.alias("key"))
+
     path = F.col("path")
     parts = [
-        row(detect.cycles(edges), "CircularDependency", F.col("component"), F.concat(F.lit("cycle: "), F.replace("members", F.lit(","), F.lit(" -> ")))),
+        row(loops, "CircularDependency", F.col("component"), F.concat(F.lit("cycle: "), F.replace("members", F.lit(","), F.lit(" -> ")))),
         row(detect.god_objects(slim, counts, t), "GodObject", path, F.format_string("%d lines with %s", "lines", "responsibilities")),
         row(detect.high_coupling(slim, edges, t, config.expected_high_coupling), "HighCoupling", path, F.format_string("%d imports reach it", "fan_in")),
-        row(detect.boundary_violations(hits, config.boundaries, t), "BoundaryViolation", F.lit(None).cast("string"), F.format_string("%s is crossed in %d modules", "boundary", "modules")),
-        row(detect.deep_chains(edges, t), "DeepDependencyChain", F.substring_index("chain", " > ", 1), F.format_string("%d modules: %s", "length", "chain")),
+        row(crossed, "BoundaryViolation", F.lit(None).cast("string"), F.format_string("%s is crossed in %d modules", "boundary", "modules"), F.col("boundary")),
+        row(deep, "DeepDependencyChain", F.substring_index("chain", " > ", 1), F.format_string("%d modules: %s", "length", "chain"), F.col("chain")),
         row(detect.low_cohesion(slim, t), "LowCohesion", path, F.format_string("score %.2f, %d outside packages: %s", "score", "crates", "top")),
         row(detect.fat_modules(slim, counts, t), "FatModule", path, F.format_string("%d lines, %d private functions", "lines", "private_functions")),
     ]
     issues = parts[0]
     for x in parts[1:]:
         issues = issues.unionByName(x)
-    return Analysis(m, edges, issues)
+    issues = written(issues, "issues")
+    at = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "path")
+    several = at(loops.select("component", F.explode(F.split("members", ",")).alias("path")), "CircularDependency", "component")
+    several = several.unionByName(at(deep.select("chain", F.explode(F.split("chain", " > ")).alias("path")), "DeepDependencyChain", "chain"))
+    several = several.unionByName(at(detect.boundary_crossers(hits, config.boundaries).join(crossed.select("boundary"), "boundary", "left_semi"), "BoundaryViolation", "boundary"))
+    single = issues.where(~F.col("kind").isin("CircularDependency", "DeepDependencyChain", "BoundaryViolation")).select("kind", "key", "path")
+    return Analysis(m, edges, issues, written(several.unionByName(single), "locations"), counts)
 
 
 def impact(sources: DataFrame, path: str, depth: int | None = None) -> DataFrame:

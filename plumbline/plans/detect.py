@@ -118,8 +118,8 @@ def boundary_hits(sources: DataFrame, boundaries: list[Boundary]) -> DataFrame:
     return each.where(F.col("hit.indicator").isNotNull()).select("hit.boundary", "path", "line", "hit.indicator")
 
 
-def boundary_violations(hits: DataFrame, boundaries: list[Boundary], t: Thresholds = Thresholds()) -> DataFrame:
-    """(boundary, modules, hits): boundaries crossed in several modules, the owner left out.
+def boundary_crossers(hits: DataFrame, boundaries: list[Boundary]) -> DataFrame:
+    """(boundary, path, n): modules that cross a boundary and the number of hits, the owner left out.
 
     The owner is the module with most hits, of equal ones the smallest path, if its share reaches the limit.
     """
@@ -129,7 +129,12 @@ def boundary_violations(hits: DataFrame, boundaries: list[Boundary], t: Threshol
     for b in boundaries:
         limit = F.when(F.col("boundary") == b.name, F.lit(b.ownership)).otherwise(limit)
     owner = (F.col("top.path") == F.col("path")) & (F.col("n") / F.col("total") >= limit)
-    rest = per.join(total, "boundary").where(~owner).groupBy("boundary").agg(F.count("*").alias("modules"), F.sum("n").alias("hits"))
+    return per.join(total, "boundary").where(~owner).select("boundary", "path", "n")
+
+
+def boundary_violations(hits: DataFrame, boundaries: list[Boundary], t: Thresholds = Thresholds()) -> DataFrame:
+    """(boundary, modules, hits): boundaries crossed in several modules, the owner left out."""
+    rest = boundary_crossers(hits, boundaries).groupBy("boundary").agg(F.count("*").alias("modules"), F.sum("n").alias("hits"))
     return rest.where(F.col("modules") >= t.boundary_violation_min)
 
 

@@ -40,3 +40,14 @@ def load(path: str | Path) -> Config:
     except (OSError, KeyError, TypeError, ValueError) as e:
         warnings.warn(f"{path}: {e}", stacklevel=2)
         return Config()
+
+
+def template() -> str:
+    """A configuration file with the default values."""
+    usual, quote = Thresholds(), lambda xs: "[" + ", ".join(f'"{x}"' for x in xs) + "]"
+    out = ["# Limits of the detectors. Lists at the top level must stand before the first table.", f"expected_high_coupling = {quote(EXPECTED_HIGH_COUPLING)}", "", "[thresholds]"]
+    out += [f"{'fat_module_lines_per_export' if f.name == 'lines_per_export' else f.name} = {getattr(usual, f.name)}" for f in fields(Thresholds)]
+    out += ["", "# Tables here replace all default boundaries. A module with this share of the hits owns the boundary."]
+    for b in BOUNDARIES:
+        out += ["", f"[boundaries.{b.name.lower()}]", f'name = "{b.name}"', f"indicators = {quote(b.indicators)}", f"allowed_in = {quote(b.allowed_in)}", f"ownership_threshold = {b.ownership}"]
+    return "\n".join(out) + "\n"
