@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import webbrowser
 from collections.abc import Iterable, Iterator
@@ -55,7 +56,7 @@ class Project:
     def report(self, found: engine.Analysis, form: str = "markdown", severity: str = "info") -> Iterator[str]:
         """The issues; as JSON all of them, whatever the severity."""
         if form == "json":
-            yield "{\n" + f'  "project": {documents.json.dumps(contexts.paths_name(self.root))},\n  "module_count": {found.modules.count()},\n'
+            yield "{\n" + f'  "project": {json.dumps(contexts.paths_name(self.root))},\n  "module_count": {found.modules.count()},\n'
             located = documents._located(found, self.root).drop("issue_id").select("*", F.to_json(F.struct("*")).alias("j")).orderBy("kind", "message")
             yield from documents._list("issues", (j for (j,) in contexts._rows(located, "j")), last=True)
             yield "}\n"
