@@ -2,22 +2,31 @@
 
 Each source's rows are cut into blocks. With weight w, block j of a source (from 0) is released at slot
 floor(j / w) and due by slot ceil((j + 1) / w); of the released blocks the one due first takes the slot. At every
-slot each source with blocks left has had its weight's share, less than one block off. Weights are whole
-numbers of slots in a period; as the schedule starts anew with each period, the table of one period, of a
-fixed size, gives every block its slot by arithmetic. A source that has run out leaves its slots empty;
-what is left keeps its order and its ratios.
+slot each source with blocks left has had its weight's share, less than one block off. A source that has run
+out leaves its slots empty; what is left keeps its order and its ratios.
+
+Sources of one weight, to within half a step of ``2 ** (1 / STEPS)``, are a class: what the scheduler sees is
+classes, each with the weight of its members together, and the members take turns. With m members, turns are at most
+1 - 1/m of a block off the class's blocks / m, and the class is less than one block off its own share, of which
+a member has 1/m; so each member is less than one block off. The classes' number depends on the range of weights,
+not on the number of sources. Weights of classes are whole numbers of slots in a period; as the schedule starts anew
+with each period, the table of one period gives every block of every source its slot by arithmetic.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shared import written
 from ._ranks import ranked
 
-#: Slots of a period, rows of a block, sources that get a weight of their own, exponent of a source's size.
-PERIOD, BLOCK_ROWS, MAX_SOURCES, EXPONENT = 1024, 64, 64, 0.5
+#: Least slots of a period, rows of a block, classes in a doubling of weights, exponent of a source's size.
+PERIOD, BLOCK_ROWS, STEPS, EXPONENT = 1024, 64, 128, 0.5
+#: Slots that the least class shall have in a period, as long as the period has at most so many.
+LEAST_SLOTS, LONG_PERIOD = 16, 1 << 16
 
 
 def quanta(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -55,33 +64,58 @@ def schedule(slots: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def size_weights(docs: DataFrame, source_col: str = "source", exponent: float = EXPONENT, most: int = MAX_SOURCES) -> list[tuple[str | None, float]]:
-    """Weights that grow with a source's rows to the power ``exponent``, for the ``most`` largest sources."""
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("s")).count().orderBy(F.desc("count"), "s").limit(most).collect()
-    return [(r["s"], r["count"] ** exponent) for r in sizes]
+def size_weights(docs: DataFrame, source_col: str = "source", exponent: float = EXPONENT) -> DataFrame:
+    """(source, weight): for every source, null too, its rows to the power ``exponent``."""
+    return docs.groupBy(F.col(source_col).cast("string").alias("source")).count().select("source", F.pow("count", F.lit(exponent)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: list[tuple[str | None, float]], block_rows: int = BLOCK_ROWS, period: int = PERIOD, source_col: str = "source") -> DataFrame:
+def fitting_period(weights: list[float], least: int = PERIOD) -> int:
+    """``least`` doubled until the least weight has LEAST_SLOTS or LONG_PERIOD is reached, and until there are four slots for each weight."""
+    period = least
+    while period < 4 * len(weights) or period < LONG_PERIOD and min(weights) * period < LEAST_SLOTS * sum(weights):
+        period *= 2
+    return period
+
+
+def _members(docs: DataFrame, weights: DataFrame, source_col: str) -> DataFrame:
+    """(_source, _class) of every source in ``docs``, as a table."""
+    worst, least = weights.agg(F.min("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+    if worst is not None and (worst < 0 or least is None):
+        raise ValueError("weights must not be negative, nor all zero")
+    given = weights.where("weight > 0").select(F.col("source").cast("string").alias("_name"), F.col("weight").cast("double").alias("_weight"))
+    sources = docs.select(F.col(source_col).cast("string").alias("_source")).distinct()
+    weight = F.coalesce("_weight", F.lit(float(least or 1.0)))
+    found = sources.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left")
+    return written(found.select("_source", F.round(F.log2(weight) * STEPS).cast("long").alias("_class")), "sources")
+
+
+def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], block_rows: int = BLOCK_ROWS, period: int = PERIOD, source_col: str = "source") -> DataFrame:
     """``docs`` with ``mix_block`` (within its source), ``mix_slot`` and ``mix_place`` (within the block).
 
-    Order by slot, then place, is the mixed order. Every row stays, once. Sources without a weight, null among
-    them unless it has one, make up one more source with the least share, one slot of a period. Within a
-    source, rows come in an order that hashes of their contents give. ``docs`` must read the same each time,
+    Order by slot, then place, is the mixed order. Every row stays, once, and every source is one of its own.
+    ``weights`` is a table (source, weight), each source once, or a list of such pairs. Sources without a weight, or of weight zero, null
+    among them unless it has one, each have the least weight above zero. ``period`` is the least number of slots in a
+    period. Within a source, rows come in an order that hashes of their contents give. ``docs`` must read the same each time,
     as a table does; all its columns are kept. An empty table stays empty.
     """
     spark = docs.sparkSession
-    if not weights:
-        weights = [(None, 1.0)]
-    slots = quanta([w for _, w in weights] + [0.0], period)
-    known = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(weights)], "_name string, _source int")
-    plan = spark.createDataFrame([(s, j, t, slots[s]) for t, s, j in schedule(slots)], "_s int, _j long, _t long, _q long")
-    # both tables have at most ``period`` rows
-    own = docs.join(F.broadcast(known), F.col(source_col).cast("string").eqNullSafe(F.col("_name")), "left").drop("_name").withColumn("_source", F.coalesce("_source", F.lit(len(weights))))
-    found, _ = ranked(own, "_source")
+    if not isinstance(weights, DataFrame):
+        weights = spark.createDataFrame([(s, float(w)) for s, w in weights], "source string, weight double")
+    members, sizes = ranked(_members(docs, weights, source_col), "_class")
+    classes = sorted((r["_class"], r["_m"]) for r in sizes.groupBy("_class").agg(F.sum("_n").alias("_m")).collect()) or [(0, 1)]
+    top = classes[-1][0]
+    shares = [m * 2.0 ** max(-1000.0, (c - top) / STEPS) for c, m in classes]
+    slots = quanta(shares, period := fitting_period(shares, period))
+    per_class = spark.createDataFrame([(c, m, q) for (c, m), q in zip(classes, slots, strict=True)], "_c long, _m long, _q long")
+    members = members.join(F.broadcast(per_class), F.col("_class") == F.col("_c")).select("_source", "_class", F.col("_rank").alias("_turn"), "_m", "_q")
+    found, _ = ranked(docs.withColumn("_source", F.col(source_col).cast("string")), "_source", also=members)
     found = found.withColumn("mix_block", F.floor(F.col("_rank") / block_rows)).withColumn("mix_place", (F.col("_rank") % block_rows).cast("int"))
-    sizes = spark.createDataFrame([(s, q) for s, q in enumerate(slots)], "_src int, _size long")
-    placed = found.join(F.broadcast(sizes), F.col("_source") == F.col("_src")).join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.col("mix_block") % F.col("_size") == F.col("_j")))
-    return placed.select(*docs.columns, "mix_block", (F.floor(F.col("mix_block") / F.col("_size")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
+    found = found.withColumn("_i", F.col("mix_block") * F.col("_m") + F.col("_turn"))
+    order = schedule(slots)
+    # as many rows as the period has slots, which depends on the classes, not on the sources or rows
+    plan = spark.createDataFrame(pa.table({"_s": pa.array([classes[s][0] for _, s, _ in order], pa.int64()), "_j": pa.array([j for *_, j in order], pa.int64()), "_t": pa.array([t for t, *_ in order], pa.int64())}))
+    placed = found.join(F.broadcast(plan), (F.col("_class") == F.col("_s")) & (F.col("_i") % F.col("_q") == F.col("_j")))
+    return placed.select(*docs.columns, "mix_block", (F.floor(F.col("_i") / F.col("_q")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
 
 
 def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:

@@ -250,6 +250,28 @@ def test_mixing(docs, none, spark):
     assert sorted(map(str, mixing.in_order(got).select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_mixing_many_sources(spark):
+    # 150 sources of 1 row, 100 of 4, one of 1600: weights 1, 2, 40, so 390 together
+    sizes = {**{f"a{k}": 1 for k in range(150)}, **{f"b{k}": 4 for k in range(100)}, "c": 1600}
+    docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    got = mixing.mix(docs, mixing.size_weights(docs), block_rows=1).collect()
+    assert len(got) == sum(sizes.values()) and len({r.mix_slot for r in got}) == len(got)
+    period = mixing.fitting_period([150.0, 200.0, 40.0])
+    slots = dict(zip((1, 4, 1600), mixing.quanta([150.0, 200.0, 40.0], period), strict=True))
+    members = {1: 150, 4: 100, 1600: 1}
+    for r in got:
+        w = slots[sizes[r.source]] / members[sizes[r.source]] / period
+        assert abs(w * 390 / {1: 1, 4: 2, 1600: 40}[sizes[r.source]] - 1) < 0.02
+        # before and after its slot the source is less than one block off
+        assert abs(r.mix_block - w * r.mix_slot) < 1 and abs(r.mix_block + 1 - w * (r.mix_slot + 1)) < 1
+    # sources of equal size take turns
+    even = spark.createDataFrame([(k, f"s{s}") for s in range(200) for k in range(3)], "doc_id long, source string")
+    assert {(r.mix_slot // 200, r.mix_block) for r in mixing.mix(even, mixing.size_weights(even), block_rows=1).collect()} == {(0, 0), (1, 1), (2, 2)}
+    # a list, with sources that it does not name and null, each a source of its own
+    odd = spark.createDataFrame([(k, s) for s in ("x", "y", "z", None) for k in range(2)], "doc_id long, source string")
+    assert {(r.mix_slot // 4, r.mix_block) for r in mixing.mix(odd, [("x", 1.0)], block_rows=1).collect()} == {(0, 0), (1, 1)}
+
+
 def test_urls(spark):
     bad = ["http://a.com/en/1", "http://COM/en/", "https://x.example.com/en/72", "http://example.net/de/81?x", "http://b.net/de/8", "http://xcom/en/1", None, "no host", "", "ftp://a.org/es/#y", "http://a.org?/es/"]
     pages = spark.createDataFrame([(k, u, "old") for k, u in enumerate(bad)] + [(50, bad[0], "old")], "page_id long, url string, rule string")
