@@ -21,7 +21,7 @@ from ..shared import written
 from ._words import mix, pair, texts, words
 
 #: Words of an n-gram, weight of a step back, times that an n-gram of two words or more must occur, rows of a block.
-ORDER, BACKOFF, MIN_COUNT, BLOCK_ROWS = 2, 0.4, 2, 2048
+ORDER, BACKOFF, MIN_COUNT, BLOCK_ROWS = 3, 0.4, 2, 2048
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -146,14 +146,20 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
             short = g[n] == 0
             logs = np.where(of[n] > 0, np.log(np.maximum(of[n], 1) / np.maximum(context, 1)), np.where(short, logs, step))
         which = np.repeat(np.arange(len(sizes)), sizes)
-        return pa.table({"doc_id": rows["doc_id"], "n_words": sizes, "log_score": np.bincount(which, logs, len(sizes)) if len(sizes) else np.zeros(0)})
+        return pa.table({"doc_id": rows["doc_id"], "n_words": sizes, "log_score": np.bincount(which, logs, len(sizes)).astype(float)})
 
     asked = counted.select("block", "part", "counts")
     return own.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score under counts of all documents."""
+    """Every document's score under counts of all documents, by n-grams of two words, as its SQL has them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return backoff_scores(docs, 2).withColumn("log_score", F.round("log_score", 4))
+
+
+def op10_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under counts of all documents, by n-grams of ``ORDER`` words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return backoff_scores(docs).withColumn("log_score", F.round("log_score", 4))
 
@@ -177,5 +183,30 @@ WITH t AS (
 )
 SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, round(coalesce(sum(s.x), 0.0), 4) AS log_score
 FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
+""",
+    "op10_lm_scoring_trigrams": r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w)[1:len(w)]) AS v, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS u FROM t
+), one AS (
+  SELECT w, count(*) AS c FROM p GROUP BY w
+), two AS (
+  SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2
+), three AS (
+  SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2
+), s AS (
+  SELECT p.doc_id, CASE WHEN three.c IS NOT NULL THEN ln(three.c / cuv.c)
+                        ELSE CASE WHEN p.u IS NULL THEN 0 ELSE ln(0.4) END
+                             + CASE WHEN two.c IS NOT NULL THEN ln(two.c / cv.c)
+                                    WHEN p.v IS NULL THEN ln(cw.c / n.c) ELSE ln(0.4) + ln(cw.c / n.c) END END AS x
+  FROM p CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS c FROM p) n
+  JOIN one cw ON cw.w = p.w LEFT JOIN one cv ON cv.w = p.v
+  LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN two cuv ON cuv.v = p.u AND cuv.w = p.v
+  LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w
+)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, round(coalesce(sum(s.x), 0.0), 4) AS log_score
+FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
 """,
 }

@@ -11,7 +11,7 @@ from .ann import op9_nearest_neighbours
 from .licenses import op8_license_scan
 from .lines import op4_line_dedup
 from .mixing import op6_mix_sources
-from .ngram_lm import op10_lm_scoring
+from .ngram_lm import op10_lm_scoring, op10_lm_scoring_trigrams
 from .packing import op1_best_fit_packing
 from .quality import op5_quality_classifier
 from .simhash import op3_simhash_near_dedup
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_exact_top_k, op3_simhash_near_dedup, op4_line_dedup, op5_quality_classifier,
         op6_mix_sources, op7_url_filter, op8_license_scan, op9_nearest_neighbours, op10_lm_scoring,
+        op10_lm_scoring_trigrams,
     )
 }
 ORACLE_SQL: dict[str, str] = topk.ORACLE_SQL | lines.ORACLE_SQL | ngram_lm.ORACLE_SQL

@@ -328,6 +328,24 @@ def test_backoff(docs, none, order):
     assert ngram_lm.backoff_scores(none, order).count() == 0
 
 
+def test_trigram_query(spark, tmp_path):
+    import duckdb
+
+    from plumbline.llm import registry
+
+    # the same first word and the same pairs of words, in another order
+    texts = ["a b a c a b d", "a c a b a b d", "a b a c a b d", "", None, "A\tx y", "a b d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "op10_lm_scoring_trigrams"
+    got = {r.doc_id: (r.n_words, r.log_score) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {k: (n, float(x)) for k, (n, x) in enumerate(brute_backoff(texts, 3))}
+    assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(x, abs=1e-3) for k, (n, x) in want.items())
+    assert got[0] == got[2] and abs(got[0][1] - got[1][1]) > 0.1
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in duck.sql(registry.ORACLE_SQL[name]).fetchall()} == {k: (n, pytest.approx(x, abs=1e-3)) for k, (n, x) in got.items()}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
