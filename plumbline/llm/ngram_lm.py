@@ -1,167 +1,313 @@
 """Language-model scores by stupid backoff, from counts of the corpus itself.
 
-Tables of n-gram counts are partitioned by hash. The corpus is taken in blocks of rows that lie together; a
-block sends each of its different n-grams once to the n-gram's partition, where counts of all blocks are summed
-and joined with the n-grams of each block. The counts return to the block, whose words then get their scores,
-summed for each document. Hot n-grams are one entry for each block, so no partition outgrows the others.
-Lists of hashes travel packed (sorted, as differences, by byte, compressed): as rows of their own they would
-take several times the input's size on disk.
+The count table has a row for each n-gram, (w1, .. wN, n, docs), partitioned by hash; shorter n-grams have zeros in
+front. Each document's different n-grams are exploded, joined with the table by their hash, and summed. A document
+is scored by all others: its own occurrences are taken off every count, or each n-gram would be found.
+
+Scores add up level by level. Every position starts as if no n-gram ending there were known; an n-gram g that is
+found adds log(n(g) / n(prefix)) and takes away what its suffix, one level below, had given. So one join serves all
+levels, and n-grams that the other documents lack need no row. The table of found ones carries the counts of prefix,
+suffix and of what those two share, which joins of the count table with itself give.
+
+N-grams travel in arrays by partition and are exploded where they are counted or joined. Counting takes each
+n-gram once for a group of documents. The most frequent n-grams, at most ``HOT`` by the threshold that selects them,
+are known to every task and not shuffled, so that any other one is less than 1 / HOT of the rows. Passes over
+ranges of partitions bound what lies on disk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shared import written
-from ._words import mix, pair, texts, words
+from ..shared import dropped, settings, written
+from ._words import texts, words
 
-#: Words of an n-gram, weight of a step back, times that an n-gram of two words or more must occur, rows of a block.
-ORDER, BACKOFF, MIN_COUNT, BLOCK_ROWS = 3, 0.4, 2, 2048
+#: Words of an n-gram, weight of a step back.
+ORDER, BACKOFF = 3, 0.4
+#: N-grams that every task may know, passes over the partitions, bytes of text whose n-grams are taken together, n-grams of a task.
+HOT, PASSES, GROUP, TASK = 1 << 17, 3, 1 << 22, 1_500_000
 
+#: Multipliers of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-def _packed(values: np.ndarray) -> bytes:
-    data = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
+def xxhash64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
+    """What the SQL function of this name gives for columns of longs."""
+    h = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        for x in columns:
+            h = _turned((h + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+            h = (h ^ (h >> np.uint64(33))) * _P2
+            h = (h ^ (h >> np.uint64(29))) * _P3
+            h = h ^ (h >> np.uint64(32))
+    return h
 
-def grams(block: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each length up to ``order``, hashes of the n-grams that end at each word, zero where a text is too short; and each text's words."""
-    found = [words(x)[0] for x in block]
+
+class Level:
+    """The n-grams of one length in a group of texts; ``h`` by position, valid where the text has so many words before."""
+
+    def __init__(self, columns: list[np.ndarray], place: np.ndarray, n: int):
+        zero = np.zeros(len(place), np.uint64)
+        self.n, self.columns = n, [zero] * (len(columns) - n) + columns[len(columns) - n :]
+        self.valid, self.h = place >= n - 1, xxhash64(self.columns)
+
+
+def levels(group: list[bytes], order: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """N-grams of each length up to ``order``, by the position they end at; each position's text; each text's words."""
+    found = [words(x)[0] for x in group]
     sizes = np.array([len(x) for x in found], dtype=np.int64)
-    w = np.concatenate([*found, np.zeros(0, np.uint64)])
+    w = np.maximum(np.concatenate([*found, np.zeros(0, np.uint64)]), np.uint64(1))
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, last = [np.maximum(mix(w + np.uint64(1)), np.uint64(1))], w
-    for n in range(2, order + 1):
-        last = pair(np.append(np.uint64(0), last[:-1]), w) if len(w) else w
-        out.append(np.where(place >= n - 1, np.maximum(mix(last + np.uint64(n)), np.uint64(1)), np.uint64(0)))
-    return out, sizes
+    columns = [w]
+    for _ in range(order - 1):
+        columns.insert(0, np.append(np.uint64(0), columns[0][:-1])[: len(w)])
+    return [Level(columns, place, n) for n in range(1, order + 1)], np.repeat(np.arange(len(sizes)), sizes), sizes
 
 
-def _distinct(block: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's n-grams: sorted hashes, their lengths, their numbers."""
-    each = [np.unique(g[g > 0], return_counts=True) for g in grams(block, order)[0]]
-    h = np.concatenate([x for x, _ in each])
-    sort = np.argsort(h, kind="stable")
-    n = np.concatenate([np.full(len(x), k + 1, np.uint8) for k, (x, _) in enumerate(each)])
-    return h[sort], n[sort], np.concatenate([c for _, c in each])[sort].astype(np.uint32)
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the hash partitions in sorted hashes."""
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
+def _part_of(h: Column, parts: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(h, 32) * parts, 32).cast("int")
 
 
-def _in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, text): rows of a file's split that lie together have one block. Other frames are written first."""
-    m = "_metadata"
-    try:
-        where = F.concat_ws("|", f"{m}.file_path", f"{m}.file_block_start", F.floor(F.col(f"{m}.row_index") / BLOCK_ROWS))
-        docs = docs.select(where.alias("block"), "doc_id", "text")
-        docs.schema  # noqa: B018  raises if there is no such column
-        return docs
-    except AnalysisException:
-        return _in_blocks(written(docs.select("doc_id", "text"), "corpus"))
+def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.append(True, x[1:] != x[:-1])
+    for y in more:
+        new[1:] |= y[1:] != y[:-1]
+    return np.flatnonzero(new[: len(x)])
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(doc_id, n_words, log_score): for each row of ``docs`` (doc_id long, text) the sum of its words' log scores.
+def _lists(part: np.ndarray, columns: list[np.ndarray], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """A row for each partition, with its entries as arrays."""
+    sort = np.argsort(part, kind="stable")
+    part = part[sort]
+    start = _runs(part)
+    offsets = pa.array(np.append(start, len(part)).astype(np.int32))
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[sort]).cast(k)) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), *arrays], names=names)
 
-    A word's score is count(n-gram) / count(n-gram without the word) for the longest n-gram, up to ``order``
-    words and not beyond the text's start, that occurs ``min_count`` times in the corpus, times ``backoff`` for
-    each step back; at the end stands count(word) / number of words. The corpus is ``docs`` itself, whole texts.
-    Words are separated by ASCII white space, A-Z lower-cased. Null and empty texts have 0 words and score 0.
-    Rows with null or repeated ids are scored each for itself; other columns are left aside. N-grams are told
-    apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = _in_blocks(docs).select("block", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Keys and texts of rows that are taken together: GROUP bytes, or one longer text."""
+    keys: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            if held and (size + len(text) > GROUP or len(held) == 1 << 15):
+                yield keys, held
+                keys, held, size = [], [], 0
+            keys.append(key)
+            held.append(text)
+            size += len(text)
+    if held:
+        yield keys, held
+
+
+def _exploded(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select("part", *columns[1:], F.posexplode(columns[0])).select("part", F.col("col").alias(columns[0]), *(F.col(c)[F.col("pos")].alias(c) for c in columns[1:]))
+
+
+def _counts(own: DataFrame, order: int, parts: int, tasks: int, passes: int, now: int, least: int) -> DataFrame:
+    """(w1.., n, docs) of the n-grams in partitions of this pass that ``least`` rows of ``own`` hold."""
+    ws = [f"w{k + 1}" for k in range(order)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            h, n, c = _distinct(held, order)
-            at = _cuts(h, parts)
-            cols: list[list] = [[], [], [], [], []]
-            for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
-                s = slice(at[p], at[p + 1])
-                for col, x in zip(cols, (now, p, _packed(np.diff(h[s], prepend=np.uint64(0))), _packed(n[s]), _packed(c[s])), strict=True):
+        for _, group in _groups(batches):
+            found, doc, _ = levels(group, order)
+            cols: list[list[np.ndarray]] = [[] for _ in range(order + 3)]
+            for level in found:
+                part = _part(level.h, parts)
+                mine = np.flatnonzero(level.valid & (part % np.uint64(passes) == np.uint64(now)))
+                sort = mine[np.argsort(level.h[mine], kind="stable")]
+                start = _runs(level.h[sort])
+                if not len(start):
+                    continue
+                other = np.append(True, doc[sort][1:] != doc[sort][:-1])
+                other[start] = True
+                first = sort[start]
+                n, docs = np.diff(np.append(start, len(sort))), np.add.reduceat(other, start, dtype=np.int64)
+                for col, x in zip(cols, [part[first], *(c[first] for c in level.columns), n, docs], strict=True):
                     col.append(x)
-            kinds = pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["block", "part", "h", "n", "c"])
+            if cols[0]:
+                part, *ws_, n, docs = (np.concatenate(c) for c in cols)
+                sort = np.lexsort((ws_[-1], ws_[-2] if order > 1 else ws_[-1]))  # like words lie together, which compresses
+                yield _lists(part[sort], [*(x[sort].view(np.int64) for x in ws_), n[sort], docs[sort]], ["part", *ws, "n", "docs"], [pa.int64()] * order + [pa.int32()] * 2)
+
+    kind = ", ".join(["part int", *(f"{w} array<long>" for w in ws), "n array<int>", "docs array<int>"])
+    rows = own.select("key", "text").mapInArrow(explode, kind).repartition(tasks, "part")
+    total = _exploded(rows, [*ws, "n", "docs"]).groupBy("part", *ws).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return total.where(F.col("docs") >= least).select(*ws, "n", "docs")
+
+
+def _model(table: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, h, n, docs, prefix, suffix, middle, two) of the counted n-grams: the counts of all but the last word, all but the first, and neither (1 where that is empty). ``two``: it has two words."""
+    ws = [f"w{k + 1}" for k in range(order)]
+    zero = F.lit(0).cast("long")
+    by_length = [table.where((F.col(ws[order - n]) != 0) & (F.col(ws[order - n - 1]) == 0 if n < order else F.lit(True))) for n in range(1, order + 1)]
+    one = F.lit(1).cast("long")
+    out = by_length[0].select(*ws, "n", "docs", one.alias("prefix"), one.alias("suffix"), one.alias("middle"))
+    below = out
+    for n in range(2, order + 1):
+        now = by_length[n - 1]
+        used = ws[order - n :]
+        # keys of the n-gram without its last and without its first word, as n-grams of one word less
+        count = by_length[n - 2].select(*(F.col(w).alias(f"p_{w}") for w in ws[order - n + 1 :]), F.col("n").alias("prefix"))
+        suffix = below.select(*(F.col(w).alias(f"s_{w}") for w in ws[order - n + 1 :]), F.col("n").alias("suffix"), F.col("prefix").alias("middle"))
+        match_p = [F.col(a) == F.col(f"p_{b}") for a, b in zip(used[:-1], ws[order - n + 1 :], strict=True)]
+        match_s = [F.col(w) == F.col(f"s_{w}") for w in ws[order - n + 1 :]]
+        both = now.join(count, match_p).join(suffix, match_s)
+        below = both.select(*ws, "n", "docs", "prefix", "suffix", "middle")
+        if n < order - 1:
+            below = written(below, "level")
+        out = out.unionByName(below)
+    h = F.xxhash64(*(F.col(w) for w in ws))
+    two = (F.col(ws[-2]) != 0) & (F.col(ws[-3]) == 0 if order > 2 else F.lit(True)) if order > 1 else zero != 0
+    return out.select(_part_of(h, parts).alias("part"), h.alias("h"), "n", "docs", "prefix", "suffix", "middle", two.alias("two"))
+
+
+class _Own:
+    """A document's different n-grams of each length, with its own counts of them and their parts."""
+
+    def __init__(self, group: list[bytes], order: int, leave_out: bool):
+        found, self.doc, self.sizes = levels(group, order)
+        doc16, self.leave_out = self.doc.astype(np.uint16), leave_out
+        self.levels: list[tuple] = []
+        count_below = middle = None
+        for level in found:
+            mine = np.flatnonzero(level.valid)
+            sort = mine[np.argsort(level.h[mine])]
+            sort = sort[np.argsort(doc16[sort], kind="stable")]
+            start = _runs(level.h[sort], doc16[sort])
+            n = np.diff(np.append(start, len(sort)))
+            count = np.zeros(len(level.h), np.int32)  # by position
+            count[sort] = np.repeat(n, n)
+            self.levels.append((level, sort[start], n.astype(np.int32), count_below, middle))
+            # of the next level: its prefix ends a position before, its suffix at the same, their middle is the prefix of the suffix
+            middle, count_below = (None if count_below is None else np.append(np.int32(0), count_below[:-1])), count
+
+    def rows(self, keep) -> Iterator[tuple[np.ndarray, ...]]:
+        """(doc, h, times, own counts of prefix, suffix and middle, two) for each level, of the n-grams that ``keep`` (by hashes) selects."""
+        for level, at, n, below, middle in self.levels:
+            good = keep(level.h[at])
+            at, n = at[good], n[good]
+            none = np.zeros(len(at), np.int32)
+            prefix = none if below is None else below[at - 1]
+            suffix = none if below is None else below[at]
+            mid = none if middle is None else middle[at]
+            off = (prefix, suffix, mid) if self.leave_out else (none, none, none)
+            yield self.doc[at], level.h[at], n, *off, np.full(len(at), level.n == 2)
+
+
+def _gain(n, prefix, suffix, middle, own, own_prefix, own_suffix, own_middle, log, backoff: float):
+    return log(n - own) - log(prefix - own_prefix) - log(suffix - own_suffix) + log(middle - own_middle) - math.log(backoff)
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, corpus: DataFrame | None = None, passes: int = PASSES, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_words, log_score): for each row of ``docs`` (doc_id long, text) the sum of its words' log scores.
 
+    A word's score is count(n-gram) / count(n-gram without the word) for the longest n-gram ending at it, up to
+    ``order`` words and not beyond the text's start, that the corpus holds, times ``backoff`` for each step back; at
+    the end stands count(word) / number of words, and for unknown words ``backoff`` / number of words. Without
+    ``corpus`` (text), each row of ``docs`` is scored under the counts of all other rows. Whole texts count.
+    Words are separated by ASCII white space, A-Z lower-cased. Null and empty texts have 0 words and score 0; an
+    empty table has no rows. Rows with null or repeated ids are scored each for itself, equal rows alike; other
+    columns are left aside. Bytes that aren't UTF-8 are part of words. N-grams and rows are told apart by 64-bit hashes.
+    """
+    spark, leave_out = docs.sparkSession, corpus is None
+    text = F.col("text").cast("binary").alias("text")
+    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), text, F.col("doc_id").cast("long").alias("doc_id"))
+    seen = own if corpus is None else corpus.select(F.lit(0).cast("long").alias("key"), text)
+    size = own.select("text") if corpus is None else own.select("text").union(seen.select("text"))
+    size = size.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * order // (6 * passes * TASK)))
+    parts = 8 * tasks * passes
+    table = None
+    for k in range(passes):
+        new = written(_counts(seen, order, parts, tasks, passes, k, 2 if leave_out else 1), "counts")
+        table = new if table is None else table.unionByName(new)
+    entries = table.agg(F.sum("docs")).first()[0] or 0
+    model = written(_model(table, order, parts), "model")
+    # at most ``hot`` rows: each stands for more than one in ``hot`` of all entries
+    known = model.where(F.col("docs") * hot > entries).drop("part", "docs").toPandas().sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
+    hot_h = known["h"].to_numpy(np.int64).view(np.uint64)
+    hot_counts = [known[c].to_numpy(np.int64) for c in ("n", "prefix", "suffix", "middle")]
+
+    def is_hot(h: np.ndarray) -> np.ndarray:
+        return hot_h[np.searchsorted(hot_h, h).clip(max=len(hot_h) - 1)] == h if len(hot_h) else np.zeros(len(h), bool)
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                if block != now and held:
-                    yield done()
-                    held = []
-                now = block
-                held.append(text)
-        if held:
-            yield done()
-
-    def count(table: pa.Table) -> pa.Table:
-        lists = [(b, np.cumsum(_unpacked(h, "<u8"), dtype=np.uint64), _unpacked(n, "u1"), _unpacked(c, "<u4")) for b, h, n, c in zip(*(table[x].to_pylist() for x in "block h n c".split()), strict=True)]
-        each, back = np.unique(np.concatenate([x[1] for x in lists]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([x[3] for x in lists]), len(each)).astype(np.int64)
-        n_words = sum(int(c[n == 1].sum()) for _, _, n, c in lists)
-        blocks, counts, at = [], [], 0
-        for b, h, n, _ in lists:
-            got = total[back[at : at + len(h)]]
-            blocks.append(b)
-            counts.append(_packed(np.where((n == 1) | (got >= min_count), got, 0)))
-            at += len(h)
-        first = [n_words, *[0] * (len(blocks) - 1)]
-        return pa.table({"block": blocks, "part": pa.array([table["part"][0].as_py()] * len(blocks), pa.int32()), "counts": pa.array(counts, pa.binary()), "n_words": pa.array(first, pa.int64())})
-
-    exploded = own.select("block", "text").mapInArrow(explode, "block string, part int, h binary, n binary, c binary")
-    counted = written(exploded.groupBy("part").applyInArrow(count, "block string, part int, counts binary, n_words long"), "counts")
-    all_words = counted.agg(F.sum("n_words")).first()[0] or 0
-
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        block = [x or b"" for x in rows["text"].to_pylist()]
-        g, sizes = grams(block, order)
-        h = np.unique(np.concatenate([x[x > 0] for x in g]))
-        got = sorted(zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True))
-        counts = np.concatenate([*(_unpacked(c, "<i8") for _, c in got), np.zeros(0, np.int64)])
-        assert len(counts) == len(h)
-        of = [np.where(x > 0, counts[np.searchsorted(h, x).clip(max=max(0, len(h) - 1))], 0) if len(h) else x.astype(np.int64) for x in g]
-        logs = np.log(np.maximum(of[0], 1) / max(1, all_words))
-        for n in range(1, order):
-            context = np.append(0, of[n - 1][:-1]) if len(of[n]) else of[n]
-            step = np.log(backoff) + logs
-            # a text's first words have no longer n-gram, which is no step back
-            short = g[n] == 0
-            logs = np.where(of[n] > 0, np.log(np.maximum(of[n], 1) / np.maximum(context, 1)), np.where(short, logs, step))
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        return pa.table({"doc_id": rows["doc_id"], "n_words": sizes, "log_score": np.bincount(which, logs, len(sizes)).astype(float)})
-
-    asked = counted.select("block", "part", "counts")
-    return own.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double")
-
+            rows = iter(zip(batch.column(2).to_pylist(), strict=True))
+            for keys, group in _groups(iter([batch])):
+                mine = _Own(group, order, leave_out)
+                total, twos = np.zeros(len(group)), np.zeros(len(group), np.int64)
+                for doc, h, n, *off, two in mine.rows(is_hot):
+                    at = np.searchsorted(hot_h, h)
+                    own_n = n if leave_out else 0
+                    gain = _gain(*(c[at] for c in hot_counts), own_n, *off, np.log, backoff)
+                    total += np.bincount(doc, n * gain, len(group))
+                    twos += np.bincount(doc, n * two, len(group)).astype(np.int64)
+                steps = sum(np.maximum(mine.sizes - k, 0) for k in range(order))
+                total += steps * math.log(backoff)
+                ids = [next(rows)[0] for _ in group]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(mine.sizes), pa.array(total), pa.array(twos)], names=["key", "doc_id", "n_words", "total", "twos"])
+
+    rows = written(own.select("key", "text", "doc_id").mapInArrow(base, "key long, doc_id long, n_words long, total double, twos long"), "rows")
+    sums = rows.select("key", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("twos"), F.lit(1).cast("long").alias("copies"))
+    names = ["key", "h", "times", "own_prefix", "own_suffix", "own_middle"]
+    for k in range(passes):
+        found = _found(own, model, order, parts, tasks, passes, k, leave_out, is_hot, names, backoff)
+        with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            part = written(found, "sums")
+        sums = sums.unionByName(part.withColumn("copies", F.lit(0).cast("long")))
+    sums = sums.groupBy("key").agg(F.sum("total").alias("more"), F.sum("twos").alias("more_twos"), F.sum("copies").alias("copies"))
+    # equal rows have one key, whose sums stand for all of them
+    all_words = rows.agg(F.sum("n_words")) if leave_out else table.where(F.col(f"w{order - 1}") == 0 if order > 1 else F.lit(True)).agg(F.sum("n"))
+    n = F.greatest(F.lit(all_words.first()[0] or 0) - (F.col("n_words") if leave_out else F.lit(0)), F.lit(1))
+    log_n = (F.col("twos") + F.col("more_twos") / F.col("copies") - F.col("n_words")) * F.log(n)
+    score = F.when(F.col("n_words") > 0, F.col("total") + F.col("more") / F.col("copies") + log_n).otherwise(F.lit(0.0))
+    return rows.join(sums, "key").select("doc_id", "n_words", score.alias("log_score"))
+
+
+def _found(own: DataFrame, model: DataFrame, order: int, parts: int, tasks: int, passes: int, now: int, leave_out: bool, is_hot, names: list[str], backoff: float) -> DataFrame:
+    """(key, total, twos): for each row of ``own`` what its n-grams of this pass's partitions add, hot ones excepted."""
 
-def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score under counts of all documents, by n-grams of two words, as its SQL has them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return backoff_scores(docs, 2).withColumn("log_score", F.round("log_score", 4))
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = lambda h: (_part(h, parts) % np.uint64(passes) == np.uint64(now)) & ~is_hot(h)
+        for keys, group in _groups(batches):
+            mine = _Own(group, order, leave_out)
+            doc, h, *rest, _ = (np.concatenate(c) for c in zip(*mine.rows(here), strict=True))
+            if len(h):
+                key = np.array(keys, np.int64)[doc]
+                yield _lists(_part(h, parts).astype(np.int32), [key, h.view(np.int64), *rest], ["part", *names], [pa.int64()] * 2 + [pa.int32()] * 4)
+
+    kind = "part int, key array<long>, h array<long>, times array<int>, own_prefix array<int>, own_suffix array<int>, own_middle array<int>"
+    asked = _exploded(own.select("key", "text").mapInArrow(explode, kind).repartition(tasks, "part"), names)
+    here = model.where(F.col("part") % passes == now).drop("docs").repartition(tasks, "part")
+    met = asked.join(here.hint("shuffle_hash"), ["part", "h"])
+    own_n = F.col("times") if leave_out else F.lit(0)
+    gain = _gain(F.col("n"), F.col("prefix"), F.col("suffix"), F.col("middle"), own_n, F.col("own_prefix"), F.col("own_suffix"), F.col("own_middle"), F.log, backoff)
+    return met.groupBy("key").agg(F.sum(F.col("times") * gain).alias("total"), F.sum(F.when(F.col("two"), F.col("times")).otherwise(0)).alias("twos"))
 
 
-def op10_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score under counts of all documents, by n-grams of ``ORDER`` words."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return backoff_scores(docs).withColumn("log_score", F.round("log_score", 4))
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, and that for a word, under the counts of all other documents."""
+    scored = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("word_score"))
 
 
 ORACLE_SQL = {
@@ -170,43 +316,35 @@ WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), p AS (
-  SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w)[1:len(w)]) AS v FROM t
-), one AS (
-  SELECT w, count(*) AS c FROM p GROUP BY w
-), two AS (
-  SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2
-), s AS (
-  SELECT p.doc_id, CASE WHEN two.c IS NOT NULL THEN ln(two.c / cv.c)
-                        WHEN p.v IS NULL THEN ln(cw.c / n.c) ELSE ln(0.4) + ln(cw.c / n.c) END AS x
-  FROM p CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS c FROM p) n
-  JOIN one cw ON cw.w = p.w LEFT JOIN one cv ON cv.w = p.v LEFT JOIN two ON two.v = p.v AND two.w = p.w
-)
-SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, round(coalesce(sum(s.x), 0.0), 4) AS log_score
-FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
-""",
-    "op10_lm_scoring_trigrams": r"""
-WITH t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM documents
-), p AS (
-  SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w)[1:len(w)]) AS v, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS u FROM t
+  SELECT doc_id, unnest(w) AS c, unnest(list_prepend(NULL, w)[1:len(w)]) AS b,
+         unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS a
+  FROM t
+), size AS (
+  SELECT doc_id, count(*) AS own, sum(count(*)) OVER () - count(*) AS n FROM p GROUP BY doc_id
 ), one AS (
-  SELECT w, count(*) AS c FROM p GROUP BY w
+  SELECT doc_id, c, sum(count(*)) OVER (PARTITION BY c) - count(*) AS n FROM p GROUP BY doc_id, c
 ), two AS (
-  SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2
+  SELECT doc_id, b, c, sum(count(*)) OVER (PARTITION BY b, c) - count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY doc_id, b, c
 ), three AS (
-  SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2
+  SELECT doc_id, a, b, c, sum(count(*)) OVER (PARTITION BY a, b, c) - count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY doc_id, a, b, c
 ), s AS (
-  SELECT p.doc_id, CASE WHEN three.c IS NOT NULL THEN ln(three.c / cuv.c)
-                        ELSE CASE WHEN p.u IS NULL THEN 0 ELSE ln(0.4) END
-                             + CASE WHEN two.c IS NOT NULL THEN ln(two.c / cv.c)
-                                    WHEN p.v IS NULL THEN ln(cw.c / n.c) ELSE ln(0.4) + ln(cw.c / n.c) END END AS x
-  FROM p CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS c FROM p) n
-  JOIN one cw ON cw.w = p.w LEFT JOIN one cv ON cv.w = p.v
-  LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN two cuv ON cuv.v = p.u AND cuv.w = p.v
-  LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w
+  SELECT p.doc_id,
+         CASE WHEN three.n > 0 THEN ln(three.n / ab.n)
+              WHEN two.n > 0 THEN ln(two.n / b.n) + CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END
+              ELSE CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END
+                   + CASE WHEN c.n > 0 THEN ln(c.n) ELSE ln(0.4) END - ln(greatest(size.n, 1)) END AS x
+  FROM p JOIN size ON size.doc_id = p.doc_id
+  JOIN one c ON c.doc_id = p.doc_id AND c.c = p.c
+  LEFT JOIN one b ON b.doc_id = p.doc_id AND b.c = p.b
+  LEFT JOIN two ON two.doc_id = p.doc_id AND two.b = p.b AND two.c = p.c
+  LEFT JOIN two ab ON ab.doc_id = p.doc_id AND ab.b = p.a AND ab.c = p.b
+  LEFT JOIN three ON three.doc_id = p.doc_id AND three.a = p.a AND three.b = p.b AND three.c = p.c
+), r AS (
+  SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(sum(s.x), 0.0) AS total
+  FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
 )
-SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, round(coalesce(sum(s.x), 0.0), 4) AS log_score
-FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
+SELECT doc_id, n_words, round(total, 4) AS log_score,
+       round(CASE WHEN n_words > 0 THEN total / n_words ELSE 0.0 END, 6) AS word_score
+FROM r
 """,
 }

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, licenses, lines, mixing, ngram_lm, packing, quality, simhash, topk, urls
+from plumbline.llm import ann, licenses, lines, mixing, packing, quality, simhash, topk, urls
 from plumbline.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, length string"
@@ -302,50 +302,6 @@ def test_licenses(spark, none):
     assert licenses.winnowed(h, 3).tolist() == [1, 3, 3][:1] + [3] + ([5] if min(h[3:6]) != 3 else [])
 
 
-def brute_backoff(texts, order):
-    from collections import Counter
-
-    split = [(t or "").encode().lower().split() for t in texts]
-    c = Counter(tuple(w[i : i + n]) for w in split for n in range(1, order + 1) for i in range(len(w) - n + 1))
-    total = sum(map(len, split))
-
-    def s(w, i, n):
-        if n == 1:
-            return np.log(c[(w[i],)] / total)
-        if i - n + 1 < 0:
-            return s(w, i, n - 1)
-        g = tuple(w[i - n + 1 : i + 1])
-        return np.log(c[g] / c[g[:-1]]) if c[g] >= 2 else np.log(0.4) + s(w, i, n - 1)
-
-    return [(len(w), sum(s(w, i, order) for i in range(len(w)))) for w in split]
-
-
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff(docs, none, order):
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, round(r.log_score, 3)) for r in ngram_lm.backoff_scores(docs, order).collect())
-    want = sorted((-1 if r[0] is None else r[0], n, round(float(x), 3)) for r, (n, x) in zip(rows(), brute_backoff([r[1] for r in rows()], order), strict=True))
-    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=0.01)
-    assert ngram_lm.backoff_scores(none, order).count() == 0
-
-
-def test_trigram_query(spark, tmp_path):
-    import duckdb
-
-    from plumbline.llm import registry
-
-    # the same first word and the same pairs of words, in another order
-    texts = ["a b a c a b d", "a c a b a b d", "a b a c a b d", "", None, "A\tx y", "a b d"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    name = "op10_lm_scoring_trigrams"
-    got = {r.doc_id: (r.n_words, r.log_score) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
-    want = {k: (n, float(x)) for k, (n, x) in enumerate(brute_backoff(texts, 3))}
-    assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(x, abs=1e-3) for k, (n, x) in want.items())
-    assert got[0] == got[2] and abs(got[0][1] - got[1][1]) > 0.1
-    duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert {r[0]: r[1:] for r in duck.sql(registry.ORACLE_SQL[name]).fetchall()} == {k: (n, pytest.approx(x, abs=1e-3)) for k, (n, x) in got.items()}
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
