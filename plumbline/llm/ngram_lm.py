@@ -1,36 +1,37 @@
 """Language-model scores by stupid backoff, from counts of the corpus itself.
 
-The count table has a row for each n-gram, (w1, .. wN, n, docs), partitioned by hash; shorter n-grams have zeros in
-front. Each document's different n-grams are exploded, joined with the table by their hash, and summed. A document
-is scored by all others: its own occurrences are taken off every count, or each n-gram would be found.
+Count tables have a row for each n-gram, (hash, count) and the hashes of its prefix and suffix, partitioned by hash.
+Each document's n-grams are exploded, joined with them and summed. A word is scored under the counts of all other
+words (leaving one out): its own occurrence is taken off every count, or each n-gram would be found.
 
-Scores add up level by level. Every position starts as if no n-gram ending there were known; an n-gram g that is
-found adds log(n(g) / n(prefix)) and takes away what its suffix, one level below, had given. So one join serves all
-levels, and n-grams that the other documents lack need no row. The table of found ones carries the counts of prefix,
-suffix and of what those two share, which joins of the count table with itself give.
+Scores add up level by level. Every position starts as if no n-gram ending there were known; an n-gram that is found
+adds log(count / count of its prefix) and takes away what its suffix, one level below, had given. Joins of the count
+tables with each other give this ``gain`` of each n-gram, so that one join with the documents serves all levels and
+n-grams that aren't found need no row.
 
 N-grams travel in arrays by partition and are exploded where they are counted or joined. Counting takes each
-n-gram once for a group of documents. The most frequent n-grams, at most ``HOT`` by the threshold that selects them,
-are known to every task and not shuffled, so that any other one is less than 1 / HOT of the rows. Passes over
+n-gram once for a group of documents. The most frequent n-grams, fewer than ``HOT`` by the threshold that selects
+them, are known to every task and not shuffled, so that any other is less than 1 / HOT of the rows. Passes over
 ranges of partitions bound what lies on disk.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shared import dropped, settings, written
+from ..shared import settings, written
 from ._words import texts, words
 
 #: Words of an n-gram, weight of a step back.
 ORDER, BACKOFF = 3, 0.4
-#: N-grams that every task may know, passes over the partitions, bytes of text whose n-grams are taken together, n-grams of a task.
-HOT, PASSES, GROUP, TASK = 1 << 17, 3, 1 << 22, 1_500_000
+#: N-grams that every task may know; passes of counting (for each of the lengths) and of joining; bytes of text whose n-grams are taken together; n-grams of a task.
+HOT, COUNT_PASSES, JOIN_PASSES, GROUP, TASK = 1 << 17, 2, 3, 1 << 22, 1_500_000
 
 #: Multipliers of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -52,25 +53,23 @@ def xxhash64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
     return h
 
 
-class Level:
-    """The n-grams of one length in a group of texts; ``h`` by position, valid where the text has so many words before."""
+def ngrams(group: list[bytes], order: int, lengths: range | None = None) -> tuple[list[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]], np.ndarray, np.ndarray]:
+    """N-grams of each length, by the position they end at; each position's text; each text's words.
 
-    def __init__(self, columns: list[np.ndarray], place: np.ndarray, n: int):
-        zero = np.zeros(len(place), np.uint64)
-        self.n, self.columns = n, [zero] * (len(columns) - n) + columns[len(columns) - n :]
-        self.valid, self.h = place >= n - 1, xxhash64(self.columns)
-
-
-def levels(group: list[bytes], order: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
-    """N-grams of each length up to ``order``, by the position they end at; each position's text; each text's words."""
+    An n-gram is (length, hashes, whether the text has so many words before, its words with zeros for missing ones in front).
+    """
     found = [words(x)[0] for x in group]
     sizes = np.array([len(x) for x in found], dtype=np.int64)
     w = np.maximum(np.concatenate([*found, np.zeros(0, np.uint64)]), np.uint64(1))
     place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    columns = [w]
+    columns, zero = [w], np.zeros(len(w), np.uint64)
     for _ in range(order - 1):
         columns.insert(0, np.append(np.uint64(0), columns[0][:-1])[: len(w)])
-    return [Level(columns, place, n) for n in range(1, order + 1)], np.repeat(np.arange(len(sizes)), sizes), sizes
+    out = []
+    for n in lengths or range(1, order + 1):
+        own = [zero] * (order - n) + columns[order - n :]
+        out.append((n, xxhash64(own), place >= n - 1, own))
+    return out, np.repeat(np.arange(len(sizes)), sizes), sizes
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -81,230 +80,186 @@ def _part_of(h: Column, parts: int) -> Column:
     return F.shiftright(F.shiftrightunsigned(h, 32) * parts, 32).cast("int")
 
 
-def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+def _starts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
-    new = np.append(True, x[1:] != x[:-1])
-    for y in more:
-        new[1:] |= y[1:] != y[:-1]
-    return np.flatnonzero(new[: len(x)])
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
 
 
-def _lists(part: np.ndarray, columns: list[np.ndarray], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    """A row for each partition, with its entries as arrays."""
+def _lists(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each partition, with its entries as arrays; longs, or ints where the values are."""
+    part = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part.astype(np.int64)
     sort = np.argsort(part, kind="stable")
     part = part[sort]
-    start = _runs(part)
+    start = _starts(part)
     offsets = pa.array(np.append(start, len(part)).astype(np.int32))
-    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[sort]).cast(k)) for c, k in zip(columns, kinds, strict=True)]
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[sort])) for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), *arrays], names=names)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Keys and texts of rows that are taken together: GROUP bytes, or one longer text."""
-    keys: list[int] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Rows' first columns, and their texts (the last one), that are taken together: GROUP bytes, or one longer text."""
+    rows: list[tuple] = []
     held: list[bytes] = []
     size = 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-            if held and (size + len(text) > GROUP or len(held) == 1 << 15):
-                yield keys, held
-                keys, held, size = [], [], 0
-            keys.append(key)
+        firsts = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else repeat((), batch.num_rows)
+        for row, text in zip(firsts, texts(batch.columns[-1]), strict=True):
+            if held and size + len(text) > GROUP:
+                yield rows, held
+                rows, held, size = [], [], 0
+            rows.append(row)
             held.append(text)
             size += len(text)
     if held:
-        yield keys, held
+        yield rows, held
 
 
 def _exploded(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("part", *columns[1:], F.posexplode(columns[0])).select("part", F.col("col").alias(columns[0]), *(F.col(c)[F.col("pos")].alias(c) for c in columns[1:]))
 
 
-def _counts(own: DataFrame, order: int, parts: int, tasks: int, passes: int, now: int, least: int) -> DataFrame:
-    """(w1.., n, docs) of the n-grams in partitions of this pass that ``least`` rows of ``own`` hold."""
-    ws = [f"w{k + 1}" for k in range(order)]
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))
+
+
+def _counted(own: DataFrame, order: int, lengths: range, tasks: int, passes: int, now: int) -> DataFrame:
+    """(length, h, prefix_h, suffix_h, n) of the n-grams of these lengths whose partitions belong to this pass."""
+    ws, parts = [f"w{k + 1}" for k in range(order)], 8 * tasks * passes
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches):
-            found, doc, _ = levels(group, order)
-            cols: list[list[np.ndarray]] = [[] for _ in range(order + 3)]
-            for level in found:
-                part = _part(level.h, parts)
-                mine = np.flatnonzero(level.valid & (part % np.uint64(passes) == np.uint64(now)))
-                sort = mine[np.argsort(level.h[mine], kind="stable")]
-                start = _runs(level.h[sort])
-                if not len(start):
-                    continue
-                other = np.append(True, doc[sort][1:] != doc[sort][:-1])
-                other[start] = True
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order + 2)]
+            for _, h, valid, own_words in ngrams(group, order, lengths)[0]:
+                part = _part(h, parts)
+                mine = np.flatnonzero(valid & (part % np.uint64(passes) == np.uint64(now)))
+                sort = mine[np.argsort(h[mine])]
+                start = _starts(h[sort])
                 first = sort[start]
-                n, docs = np.diff(np.append(start, len(sort))), np.add.reduceat(other, start, dtype=np.int64)
-                for col, x in zip(cols, [part[first], *(c[first] for c in level.columns), n, docs], strict=True):
+                for col, x in zip(cols, [part[first], np.diff(np.append(start, len(sort))).astype(np.uint64), *(c[first] for c in own_words)], strict=True):
                     col.append(x)
-            if cols[0]:
-                part, *ws_, n, docs = (np.concatenate(c) for c in cols)
-                sort = np.lexsort((ws_[-1], ws_[-2] if order > 1 else ws_[-1]))  # like words lie together, which compresses
-                yield _lists(part[sort], [*(x[sort].view(np.int64) for x in ws_), n[sort], docs[sort]], ["part", *ws, "n", "docs"], [pa.int64()] * order + [pa.int32()] * 2)
-
-    kind = ", ".join(["part int", *(f"{w} array<long>" for w in ws), "n array<int>", "docs array<int>"])
-    rows = own.select("key", "text").mapInArrow(explode, kind).repartition(tasks, "part")
-    total = _exploded(rows, [*ws, "n", "docs"]).groupBy("part", *ws).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return total.where(F.col("docs") >= least).select(*ws, "n", "docs")
-
-
-def _model(table: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, h, n, docs, prefix, suffix, middle, two) of the counted n-grams: the counts of all but the last word, all but the first, and neither (1 where that is empty). ``two``: it has two words."""
-    ws = [f"w{k + 1}" for k in range(order)]
-    zero = F.lit(0).cast("long")
-    by_length = [table.where((F.col(ws[order - n]) != 0) & (F.col(ws[order - n - 1]) == 0 if n < order else F.lit(True))) for n in range(1, order + 1)]
-    one = F.lit(1).cast("long")
-    out = by_length[0].select(*ws, "n", "docs", one.alias("prefix"), one.alias("suffix"), one.alias("middle"))
-    below = out
-    for n in range(2, order + 1):
-        now = by_length[n - 1]
-        used = ws[order - n :]
-        # keys of the n-gram without its last and without its first word, as n-grams of one word less
-        count = by_length[n - 2].select(*(F.col(w).alias(f"p_{w}") for w in ws[order - n + 1 :]), F.col("n").alias("prefix"))
-        suffix = below.select(*(F.col(w).alias(f"s_{w}") for w in ws[order - n + 1 :]), F.col("n").alias("suffix"), F.col("prefix").alias("middle"))
-        match_p = [F.col(a) == F.col(f"p_{b}") for a, b in zip(used[:-1], ws[order - n + 1 :], strict=True)]
-        match_s = [F.col(w) == F.col(f"s_{w}") for w in ws[order - n + 1 :]]
-        both = now.join(count, match_p).join(suffix, match_s)
-        below = both.select(*ws, "n", "docs", "prefix", "suffix", "middle")
-        if n < order - 1:
-            below = written(below, "level")
-        out = out.unionByName(below)
-    h = F.xxhash64(*(F.col(w) for w in ws))
-    two = (F.col(ws[-2]) != 0) & (F.col(ws[-3]) == 0 if order > 2 else F.lit(True)) if order > 1 else zero != 0
-    return out.select(_part_of(h, parts).alias("part"), h.alias("h"), "n", "docs", "prefix", "suffix", "middle", two.alias("two"))
-
-
-class _Own:
-    """A document's different n-grams of each length, with its own counts of them and their parts."""
-
-    def __init__(self, group: list[bytes], order: int, leave_out: bool):
-        found, self.doc, self.sizes = levels(group, order)
-        doc16, self.leave_out = self.doc.astype(np.uint16), leave_out
-        self.levels: list[tuple] = []
-        count_below = middle = None
-        for level in found:
-            mine = np.flatnonzero(level.valid)
-            sort = mine[np.argsort(level.h[mine])]
-            sort = sort[np.argsort(doc16[sort], kind="stable")]
-            start = _runs(level.h[sort], doc16[sort])
-            n = np.diff(np.append(start, len(sort)))
-            count = np.zeros(len(level.h), np.int32)  # by position
-            count[sort] = np.repeat(n, n)
-            self.levels.append((level, sort[start], n.astype(np.int32), count_below, middle))
-            # of the next level: its prefix ends a position before, its suffix at the same, their middle is the prefix of the suffix
-            middle, count_below = (None if count_below is None else np.append(np.int32(0), count_below[:-1])), count
-
-    def rows(self, keep) -> Iterator[tuple[np.ndarray, ...]]:
-        """(doc, h, times, own counts of prefix, suffix and middle, two) for each level, of the n-grams that ``keep`` (by hashes) selects."""
-        for level, at, n, below, middle in self.levels:
-            good = keep(level.h[at])
-            at, n = at[good], n[good]
-            none = np.zeros(len(at), np.int32)
-            prefix = none if below is None else below[at - 1]
-            suffix = none if below is None else below[at]
-            mid = none if middle is None else middle[at]
-            off = (prefix, suffix, mid) if self.leave_out else (none, none, none)
-            yield self.doc[at], level.h[at], n, *off, np.full(len(at), level.n == 2)
-
-
-def _gain(n, prefix, suffix, middle, own, own_prefix, own_suffix, own_middle, log, backoff: float):
-    return log(n - own) - log(prefix - own_prefix) - log(suffix - own_suffix) + log(middle - own_middle) - math.log(backoff)
-
-
-def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, corpus: DataFrame | None = None, passes: int = PASSES, hot: int = HOT) -> DataFrame:
+            part, n, *found = (np.concatenate(c) for c in cols)
+            if len(part):
+                sort = np.lexsort((found[-1], found[max(0, order - 2)]))  # like words lie together, which compresses
+                yield _lists(part[sort], [*(x[sort].view(np.int64) for x in found), n[sort].astype(np.int32)], ["part", *ws, "n"])
+
+    kind = ", ".join(["part int", *(f"{w} array<long>" for w in ws), "n array<int>"])
+    rows = own.select("text").mapInArrow(explode, kind).repartition(tasks, "part")
+    total = _exploded(rows, [*ws, "n"]).groupBy("part", *ws).agg(F.sum("n").alias("n"))
+    zero, cols = F.lit(0).cast("long"), [F.col(w) for w in ws]
+    length = sum((F.when(c != 0, 1).otherwise(0) for c in cols[1:]), F.when(cols[0] != 0, 1).otherwise(0))
+    # the prefix has one word less at the end, so all words move back; the suffix has a zero for its first word
+    suffix = F.xxhash64(*(F.when(length == order - k, zero).otherwise(c) for k, c in enumerate(cols)))
+    return total.select(length.alias("length"), F.xxhash64(*cols).alias("h"), F.xxhash64(zero, *cols[:-1]).alias("prefix_h"), suffix.alias("suffix_h"), "n")
+
+
+def _gains(tables: dict[int, list[DataFrame]], all_words: int, order: int, backoff: float, off: int) -> list[DataFrame]:
+    """(h, n, prefix, gain) of each length's n-grams; ``prefix`` is the prefix's count. ``off`` is what a count loses."""
+    log = lambda c: F.log(F.col(c) - off)
+    out = [tables[1][0].select("h", "n", F.lit(all_words).cast("long").alias("prefix"), (log("n") - math.log(backoff)).alias("gain"))]
+    for table in tables[1][1:]:
+        out[0] = out[0].unionByName(table.select("h", "n", F.lit(all_words).cast("long").alias("prefix"), (log("n") - math.log(backoff)).alias("gain")))
+    below = out[0]
+    for length in range(2, order + 1):
+        level = None
+        for table in tables[length]:
+            prefix = below.select(F.col("h").alias("prefix_h"), F.col("n").alias("prefix")).hint("shuffle_hash")
+            suffix = below.select(F.col("h").alias("suffix_h"), F.col("n").alias("suffix"), F.col("prefix").alias("middle")).hint("shuffle_hash")
+            both = table.join(prefix, "prefix_h").join(suffix, "suffix_h")
+            gain = log("n") - log("prefix") - log("suffix") + log("middle") - math.log(backoff)
+            part = written(both.select("h", "n", "prefix", gain.alias("gain")), "gains")
+            level = part if level is None else level.unionByName(part)
+        out.append(level)
+        below = level
+    return out
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, corpus: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, log_score): for each row of ``docs`` (doc_id long, text) the sum of its words' log scores.
 
     A word's score is count(n-gram) / count(n-gram without the word) for the longest n-gram ending at it, up to
     ``order`` words and not beyond the text's start, that the corpus holds, times ``backoff`` for each step back; at
     the end stands count(word) / number of words, and for unknown words ``backoff`` / number of words. Without
-    ``corpus`` (text), each row of ``docs`` is scored under the counts of all other rows. Whole texts count.
-    Words are separated by ASCII white space, A-Z lower-cased. Null and empty texts have 0 words and score 0; an
-    empty table has no rows. Rows with null or repeated ids are scored each for itself, equal rows alike; other
-    columns are left aside. Bytes that aren't UTF-8 are part of words. N-grams and rows are told apart by 64-bit hashes.
+    ``corpus`` (text), the corpus is ``docs`` without the word in question: all counts are less by one.
+    Whole texts count, in n-grams of all lengths and frequencies. Words are separated by ASCII white space, A-Z
+    lower-cased. Null and empty texts have 0 words and score 0; an empty table has no rows. Rows with null or repeated
+    ids are scored each for itself; other columns are left aside. Bytes that aren't UTF-8 are part of words. N-grams
+    and rows are told apart by 64-bit hashes. The n-grams of one text have to fit in a task.
     """
-    spark, leave_out = docs.sparkSession, corpus is None
+    spark, off = docs.sparkSession, int(corpus is None)
     text = F.col("text").cast("binary").alias("text")
-    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), text, F.col("doc_id").cast("long").alias("doc_id"))
-    seen = own if corpus is None else corpus.select(F.lit(0).cast("long").alias("key"), text)
-    size = own.select("text") if corpus is None else own.select("text").union(seen.select("text"))
-    size = size.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * order // (6 * passes * TASK)))
-    parts = 8 * tasks * passes
-    table = None
-    for k in range(passes):
-        new = written(_counts(seen, order, parts, tasks, passes, k, 2 if leave_out else 1), "counts")
-        table = new if table is None else table.unionByName(new)
-    entries = table.agg(F.sum("docs")).first()[0] or 0
-    model = written(_model(table, order, parts), "model")
-    # at most ``hot`` rows: each stands for more than one in ``hot`` of all entries
-    known = model.where(F.col("docs") * hot > entries).drop("part", "docs").toPandas().sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
-    hot_h = known["h"].to_numpy(np.int64).view(np.uint64)
-    hot_counts = [known[c].to_numpy(np.int64) for c in ("n", "prefix", "suffix", "middle")]
-
-    def is_hot(h: np.ndarray) -> np.ndarray:
-        return hot_h[np.searchsorted(hot_h, h).clip(max=len(hot_h) - 1)] == h if len(hot_h) else np.zeros(len(h), bool)
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = iter(zip(batch.column(2).to_pylist(), strict=True))
-            for keys, group in _groups(iter([batch])):
-                mine = _Own(group, order, leave_out)
-                total, twos = np.zeros(len(group)), np.zeros(len(group), np.int64)
-                for doc, h, n, *off, two in mine.rows(is_hot):
-                    at = np.searchsorted(hot_h, h)
-                    own_n = n if leave_out else 0
-                    gain = _gain(*(c[at] for c in hot_counts), own_n, *off, np.log, backoff)
-                    total += np.bincount(doc, n * gain, len(group))
-                    twos += np.bincount(doc, n * two, len(group)).astype(np.int64)
-                steps = sum(np.maximum(mine.sizes - k, 0) for k in range(order))
-                total += steps * math.log(backoff)
-                ids = [next(rows)[0] for _ in group]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(mine.sizes), pa.array(total), pa.array(twos)], names=["key", "doc_id", "n_words", "total", "twos"])
-
-    rows = written(own.select("key", "text", "doc_id").mapInArrow(base, "key long, doc_id long, n_words long, total double, twos long"), "rows")
-    sums = rows.select("key", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("twos"), F.lit(1).cast("long").alias("copies"))
-    names = ["key", "h", "times", "own_prefix", "own_suffix", "own_middle"]
-    for k in range(passes):
-        found = _found(own, model, order, parts, tasks, passes, k, leave_out, is_hot, names, backoff)
+    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text)
+    seen = own if corpus is None else corpus.select(text)
+    # a word is taken to have six bytes; this decides on the number of tasks only
+    n_words, n_seen = (-(-(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6) for x in (own, seen))
+    tables: dict[int, list[DataFrame]] = {}
+    for lengths in (range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))):
+        for k in range(COUNT_PASSES):
+            tasks = _tasks(spark, n_seen * len(lengths) // COUNT_PASSES)
+            counts = written(_counted(seen, order, lengths, tasks, COUNT_PASSES, k).where((F.col("n") > off) | (F.col("length") == 1)), "counts")
+            for n in lengths:
+                tables.setdefault(n, []).append(counts.where(F.col("length") == n))
+    words_at = [x.agg(F.sum("n")).first()[0] or 0 for x in tables[1]]
+    tables[1] = [x.where(F.col("n") > off) for x in tables[1]]
+    gains = _gains(tables, max(1 + off, sum(words_at)), order, backoff, off)
+    base_word = math.log(max(1, sum(words_at) - off))
+    model = gains[0].select("h", "n", "gain")
+    for x in gains[1:]:
+        model = model.unionByName(x.select("h", "n", "gain"))
+    entries = model.agg(F.sum("n")).first()[0] or 0
+    # fewer than ``hot`` rows: each stands for more than one in ``hot`` of all entries
+    known = model.where(F.col("n") * hot > entries).select("h", "gain").toPandas()
+    known = known.iloc[np.argsort(known["h"].to_numpy(np.int64).view(np.uint64))]
+    hot_h, hot_gain = np.append(known["h"].to_numpy(np.int64).view(np.uint64), np.uint64(2**64 - 1)), np.append(known["gain"].to_numpy(float), 0.0)
+
+    def at_hot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(hot_h, h)
+        return at, (hot_h[at] == h) & (at < len(hot_h) - 1)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _groups(batches):
+            found, doc, sizes = ngrams(group, order)
+            total = sum(np.maximum(sizes - k, 0) for k in range(order)) * math.log(backoff) - sizes * base_word
+            for _, h, valid, _ in found:
+                at, is_hot = at_hot(h)
+                total += np.bincount(doc, np.where(valid & is_hot, hot_gain[at], 0.0), len(group))
+            keys, ids = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total)], names=["key", "doc_id", "n_words", "total"])
+
+    rows = written(own.mapInArrow(start, "key long, doc_id long, n_words long, total double"), "rows")
+    sums = rows.select("key", F.lit(0.0).alias("more"), F.lit(1).cast("long").alias("copies"))
+    for k in range(JOIN_PASSES):
+        found = _found(own, model, order, _tasks(spark, n_words * order // JOIN_PASSES), k, lambda h: at_hot(h)[1])
         with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
             part = written(found, "sums")
         sums = sums.unionByName(part.withColumn("copies", F.lit(0).cast("long")))
-    sums = sums.groupBy("key").agg(F.sum("total").alias("more"), F.sum("twos").alias("more_twos"), F.sum("copies").alias("copies"))
     # equal rows have one key, whose sums stand for all of them
-    all_words = rows.agg(F.sum("n_words")) if leave_out else table.where(F.col(f"w{order - 1}") == 0 if order > 1 else F.lit(True)).agg(F.sum("n"))
-    n = F.greatest(F.lit(all_words.first()[0] or 0) - (F.col("n_words") if leave_out else F.lit(0)), F.lit(1))
-    log_n = (F.col("twos") + F.col("more_twos") / F.col("copies") - F.col("n_words")) * F.log(n)
-    score = F.when(F.col("n_words") > 0, F.col("total") + F.col("more") / F.col("copies") + log_n).otherwise(F.lit(0.0))
-    return rows.join(sums, "key").select("doc_id", "n_words", score.alias("log_score"))
+    sums = sums.groupBy("key").agg((F.sum("more") / F.sum("copies")).alias("more"))
+    return rows.join(sums, "key").select("doc_id", "n_words", (F.col("total") + F.col("more")).alias("log_score"))
 
 
-def _found(own: DataFrame, model: DataFrame, order: int, parts: int, tasks: int, passes: int, now: int, leave_out: bool, is_hot, names: list[str], backoff: float) -> DataFrame:
-    """(key, total, twos): for each row of ``own`` what its n-grams of this pass's partitions add, hot ones excepted."""
+def _found(own: DataFrame, model: DataFrame, order: int, tasks: int, now: int, is_hot: Callable) -> DataFrame:
+    """(key, more): for each row of ``own`` the gains of its n-grams in this pass's partitions, hot ones excepted."""
+    parts = 8 * tasks * JOIN_PASSES
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = lambda h: (_part(h, parts) % np.uint64(passes) == np.uint64(now)) & ~is_hot(h)
-        for keys, group in _groups(batches):
-            mine = _Own(group, order, leave_out)
-            doc, h, *rest, _ = (np.concatenate(c) for c in zip(*mine.rows(here), strict=True))
+        for rows, group in _groups(batches):
+            found, doc, _ = ngrams(group, order)
+            keys, out = np.array([r[0] for r in rows], np.int64), []
+            for _, h, valid, _ in found:
+                at = np.flatnonzero(valid & (_part(h, parts) % np.uint64(JOIN_PASSES) == np.uint64(now)))
+                at = at[~is_hot(h[at])]
+                out.append((h[at], keys[doc[at]]))
+            h, key = (np.concatenate(c) for c in zip(*out, strict=True))
             if len(h):
-                key = np.array(keys, np.int64)[doc]
-                yield _lists(_part(h, parts).astype(np.int32), [key, h.view(np.int64), *rest], ["part", *names], [pa.int64()] * 2 + [pa.int32()] * 4)
+                yield _lists(_part(h, parts), [key, h.view(np.int64)], ["part", "key", "h"])
 
-    kind = "part int, key array<long>, h array<long>, times array<int>, own_prefix array<int>, own_suffix array<int>, own_middle array<int>"
-    asked = _exploded(own.select("key", "text").mapInArrow(explode, kind).repartition(tasks, "part"), names)
-    here = model.where(F.col("part") % passes == now).drop("docs").repartition(tasks, "part")
-    met = asked.join(here.hint("shuffle_hash"), ["part", "h"])
-    own_n = F.col("times") if leave_out else F.lit(0)
-    gain = _gain(F.col("n"), F.col("prefix"), F.col("suffix"), F.col("middle"), own_n, F.col("own_prefix"), F.col("own_suffix"), F.col("own_middle"), F.log, backoff)
-    return met.groupBy("key").agg(F.sum(F.col("times") * gain).alias("total"), F.sum(F.when(F.col("two"), F.col("times")).otherwise(0)).alias("twos"))
+    asked = _exploded(own.select("key", "text").mapInArrow(explode, "part int, key array<long>, h array<long>").repartition(tasks, "part"), ["key", "h"])
+    here = model.select(_part_of(F.col("h"), parts).alias("part"), "h", "gain").where(F.col("part") % JOIN_PASSES == now).repartition(tasks, "part")
+    return asked.join(here.hint("shuffle_hash"), ["part", "h"]).groupBy("key").agg(F.sum("gain").alias("more"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score, and that for a word, under the counts of all other documents."""
+    """Every document's score, and that for a word, under the counts of the other words of all documents."""
     scored = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("word_score"))
@@ -319,26 +274,21 @@ WITH t AS (
   SELECT doc_id, unnest(w) AS c, unnest(list_prepend(NULL, w)[1:len(w)]) AS b,
          unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS a
   FROM t
-), size AS (
-  SELECT doc_id, count(*) AS own, sum(count(*)) OVER () - count(*) AS n FROM p GROUP BY doc_id
 ), one AS (
-  SELECT doc_id, c, sum(count(*)) OVER (PARTITION BY c) - count(*) AS n FROM p GROUP BY doc_id, c
+  SELECT c, count(*) - 1 AS n FROM p GROUP BY c
 ), two AS (
-  SELECT doc_id, b, c, sum(count(*)) OVER (PARTITION BY b, c) - count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY doc_id, b, c
+  SELECT b, c, count(*) - 1 AS n FROM p WHERE b IS NOT NULL GROUP BY b, c
 ), three AS (
-  SELECT doc_id, a, b, c, sum(count(*)) OVER (PARTITION BY a, b, c) - count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY doc_id, a, b, c
+  SELECT a, b, c, count(*) - 1 AS n FROM p WHERE a IS NOT NULL GROUP BY a, b, c
 ), s AS (
   SELECT p.doc_id,
          CASE WHEN three.n > 0 THEN ln(three.n / ab.n)
               WHEN two.n > 0 THEN ln(two.n / b.n) + CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END
               ELSE CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END
-                   + CASE WHEN c.n > 0 THEN ln(c.n) ELSE ln(0.4) END - ln(greatest(size.n, 1)) END AS x
-  FROM p JOIN size ON size.doc_id = p.doc_id
-  JOIN one c ON c.doc_id = p.doc_id AND c.c = p.c
-  LEFT JOIN one b ON b.doc_id = p.doc_id AND b.c = p.b
-  LEFT JOIN two ON two.doc_id = p.doc_id AND two.b = p.b AND two.c = p.c
-  LEFT JOIN two ab ON ab.doc_id = p.doc_id AND ab.b = p.a AND ab.c = p.b
-  LEFT JOIN three ON three.doc_id = p.doc_id AND three.a = p.a AND three.b = p.b AND three.c = p.c
+                   + CASE WHEN c.n > 0 THEN ln(c.n) ELSE ln(0.4) END - ln(greatest((SELECT count(*) - 1 FROM p), 1)) END AS x
+  FROM p JOIN one c ON c.c = p.c LEFT JOIN one b ON b.c = p.b
+  LEFT JOIN two ON two.b = p.b AND two.c = p.c LEFT JOIN two ab ON ab.b = p.a AND ab.c = p.b
+  LEFT JOIN three ON three.a = p.a AND three.b = p.b AND three.c = p.c
 ), r AS (
   SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(sum(s.x), 0.0) AS total
   FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id, len(t.w)
