@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..shared import settings, written
+from ..shared import dropped, settings, written
 from ._words import texts, words
 
 #: Words of an n-gram, weight of a step back.
 ORDER, BACKOFF = 3, 0.4
 #: N-grams that every task may know; passes of counting (for each of the lengths) and of joining; bytes of text whose n-grams are taken together; n-grams of a task.
-HOT, COUNT_PASSES, JOIN_PASSES, GROUP, TASK = 1 << 17, 2, 3, 1 << 22, 1_500_000
+HOT, COUNT_PASSES, JOIN_PASSES, GROUP, TASK = 1 << 20, 2, 3, 1 << 22, 1_500_000
 
 #: Multipliers of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -53,23 +53,25 @@ def xxhash64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
     return h
 
 
-def ngrams(group: list[bytes], order: int, lengths: range | None = None) -> tuple[list[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]], np.ndarray, np.ndarray]:
+def ngrams(group: list[bytes], order: int, lengths: range | None = None) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """N-grams of each length, by the position they end at; each position's text; each text's words.
 
     An n-gram is (length, hashes, whether the text has so many words before, its words with zeros for missing ones in front).
     """
-    found = [words(x)[0] for x in group]
-    sizes = np.array([len(x) for x in found], dtype=np.int64)
-    w = np.maximum(np.concatenate([*found, np.zeros(0, np.uint64)]), np.uint64(1))
-    place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    columns, zero = [w], np.zeros(len(w), np.uint64)
+    w, first, _ = words(b" ".join(group))
+    bounds = np.cumsum([len(x) + 1 for x in group])
+    sizes = np.diff(np.searchsorted(first, bounds), prepend=0)
+    w = np.maximum(w, np.uint64(1))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(w)) - (np.cumsum(sizes) - sizes)[doc]
+    columns, zero = [w], np.uint64(0)
     for _ in range(order - 1):
         columns.insert(0, np.append(np.uint64(0), columns[0][:-1])[: len(w)])
     out = []
     for n in lengths or range(1, order + 1):
         own = [zero] * (order - n) + columns[order - n :]
         out.append((n, xxhash64(own), place >= n - 1, own))
-    return out, np.repeat(np.arange(len(sizes)), sizes), sizes
+    return out, doc, sizes
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -135,7 +137,7 @@ def _counted(own: DataFrame, order: int, lengths: range, tasks: int, passes: int
                 sort = mine[np.argsort(h[mine])]
                 start = _starts(h[sort])
                 first = sort[start]
-                for col, x in zip(cols, [part[first], np.diff(np.append(start, len(sort))).astype(np.uint64), *(c[first] for c in own_words)], strict=True):
+                for col, x in zip(cols, [part[first], np.diff(np.append(start, len(sort))).astype(np.uint64), *(c[first] if c.ndim else np.zeros(len(first), np.uint64) for c in own_words)], strict=True):
                     col.append(x)
             part, n, *found = (np.concatenate(c) for c in cols)
             if len(part):
@@ -152,24 +154,31 @@ def _counted(own: DataFrame, order: int, lengths: range, tasks: int, passes: int
     return total.select(length.alias("length"), F.xxhash64(*cols).alias("h"), F.xxhash64(zero, *cols[:-1]).alias("prefix_h"), suffix.alias("suffix_h"), "n")
 
 
-def _gains(tables: dict[int, list[DataFrame]], all_words: int, order: int, backoff: float, off: int) -> list[DataFrame]:
-    """(h, n, prefix, gain) of each length's n-grams; ``prefix`` is the prefix's count. ``off`` is what a count loses."""
+def _gains(counts: list[tuple[range, DataFrame]], all_words: int, order: int, backoff: float, off: int) -> list[DataFrame]:
+    """(h, n, prefix, gain) of each length's n-grams; ``prefix`` is the prefix's count. ``off`` is what a count loses.
+
+    ``counts`` are tables with the lengths they hold; they are deleted once used.
+    """
     log = lambda c: F.log(F.col(c) - off)
-    out = [tables[1][0].select("h", "n", F.lit(all_words).cast("long").alias("prefix"), (log("n") - math.log(backoff)).alias("gain"))]
-    for table in tables[1][1:]:
-        out[0] = out[0].unionByName(table.select("h", "n", F.lit(all_words).cast("long").alias("prefix"), (log("n") - math.log(backoff)).alias("gain")))
-    below = out[0]
-    for length in range(2, order + 1):
+    out: list[DataFrame] = []
+    for length in range(1, order + 1):
         level = None
-        for table in tables[length]:
-            prefix = below.select(F.col("h").alias("prefix_h"), F.col("n").alias("prefix")).hint("shuffle_hash")
-            suffix = below.select(F.col("h").alias("suffix_h"), F.col("n").alias("suffix"), F.col("prefix").alias("middle")).hint("shuffle_hash")
-            both = table.join(prefix, "prefix_h").join(suffix, "suffix_h")
-            gain = log("n") - log("prefix") - log("suffix") + log("middle") - math.log(backoff)
-            part = written(both.select("h", "n", "prefix", gain.alias("gain")), "gains")
+        for lengths, table in counts:
+            if length not in lengths:
+                continue
+            own = table.where((F.col("length") == length) & (F.col("n") > off))
+            if length == 1:
+                both, gain = own.withColumn("prefix", F.lit(all_words).cast("long")), log("n")
+            else:
+                prefix = out[-1].select(F.col("h").alias("prefix_h"), F.col("n").alias("prefix")).hint("shuffle_hash")
+                suffix = out[-1].select(F.col("h").alias("suffix_h"), F.col("n").alias("suffix"), F.col("prefix").alias("middle")).hint("shuffle_hash")
+                both = own.join(prefix, "prefix_h").join(suffix, "suffix_h")
+                gain = log("n") - log("prefix") - log("suffix") + log("middle")
+            part = written(both.select("h", "n", "prefix", (gain - math.log(backoff)).alias("gain")), "gains")
+            if length == lengths[-1]:
+                dropped(table)
             level = part if level is None else level.unionByName(part)
         out.append(level)
-        below = level
     return out
 
 
@@ -191,17 +200,15 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     seen = own if corpus is None else corpus.select(text)
     # a word is taken to have six bytes; this decides on the number of tasks only
     n_words, n_seen = (-(-(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6) for x in (own, seen))
-    tables: dict[int, list[DataFrame]] = {}
+    tables, all_words = [], 0
     for lengths in (range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))):
         for k in range(COUNT_PASSES):
             tasks = _tasks(spark, n_seen * len(lengths) // COUNT_PASSES)
-            counts = written(_counted(seen, order, lengths, tasks, COUNT_PASSES, k).where((F.col("n") > off) | (F.col("length") == 1)), "counts")
-            for n in lengths:
-                tables.setdefault(n, []).append(counts.where(F.col("length") == n))
-    words_at = [x.agg(F.sum("n")).first()[0] or 0 for x in tables[1]]
-    tables[1] = [x.where(F.col("n") > off) for x in tables[1]]
-    gains = _gains(tables, max(1 + off, sum(words_at)), order, backoff, off)
-    base_word = math.log(max(1, sum(words_at) - off))
+            table = written(_counted(seen, order, lengths, tasks, COUNT_PASSES, k).where((F.col("n") > off) | (F.col("length") == 1)), "counts")
+            tables.append((lengths, table))
+            all_words += table.where("length = 1").agg(F.sum("n")).first()[0] or 0 if lengths[0] == 1 else 0
+    base_word = math.log(max(1, all_words - off))
+    gains = _gains(tables, max(1 + off, all_words), order, backoff, off)
     model = gains[0].select("h", "n", "gain")
     for x in gains[1:]:
         model = model.unionByName(x.select("h", "n", "gain"))
