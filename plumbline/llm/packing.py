@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     ``docs`` needs ``id_col`` (long) and ``text_col``; other columns are left aside. A null text counts as
     empty and gives one piece of one id. A null or repeated id is kept: each row is packed for itself.
-    ``with_ids`` adds the ids as ``array<int>``. Texts are taken whole.
+    Bytes that aren't UTF-8 count as U+FFFD. ``with_ids`` adds the ids as ``array<int>``. Texts are taken whole.
     """
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -61,13 +61,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, kind)
 
 
 def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
     for at in range(0, batch.num_rows, 500):
         part = batch.slice(at, 500)
-        yield from zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()]), strict=True)
+        yield from zip(part.column(0).to_pylist(), encoder.encode([(x or b"").decode("utf-8", "replace") for x in part.column(1).to_pylist()]), strict=True)
 
 
 class _Tree:

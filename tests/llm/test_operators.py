@@ -190,7 +190,7 @@ def test_lines(docs, none):
     held = {}
     for d, text, *_ in rows():
         for k in {key(x) for x in (text or "").split("\n")}:
-            held.setdefault(k, []).append(-1 if d is None else d)
+            held.setdefault(k, set()).update({d} - {None})
     bad = {k: max(v) for k, v in held.items() if len(k) >= 40 and len(v) >= 5}
     want = []
     for d, text, *_ in rows():
@@ -204,14 +204,40 @@ def test_lines(docs, none):
     assert lines.key_of("é".encode() * 39) is None and lines.key_of("é".encode() * 40)
 
 
-def test_line_runs_compact(spark):
+def test_line_runs(spark):
     store = lines.LineRuns(spark, fan_in=2)
     for k in range(5):
-        batch = spark.createDataFrame([(k, b"a"), (k, bytes([k]))], "doc_id long, h binary")
-        assert store.unseen(batch).count() == (2 if k == 0 else 1)
+        batch = spark.createDataFrame([(k, b"a"), (k, b"a"), (10 + k, b"b"), (k, bytes([k])), (None, b"a")], "doc_id long, h binary")
+        assert store.unseen(batch.where("doc_id < 10").distinct()).count() == (2 if k == 0 else 1)
         store.add(batch)
+        every = [bytes(r.h) for run in store.runs() for r in run.collect()]
+        assert len(every) == len(set(every)) == 3 + k
     assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert [(bytes(r.h), r.last) for r in store.shared(5).collect()] == [(b"a", 4)]
+    assert sorted((bytes(r.h), r.last) for r in store.shared(5).collect()) == [(b"a", 4), (b"b", 14)]
+    plan = store.unseen(store.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    store.close()
+
+
+def test_lines_anti_join_is_on_the_path(spark, docs, monkeypatch):
+    calls = []
+    unseen = lines.LineRuns.unseen
+    monkeypatch.setattr(lines.LineRuns, "unseen", lambda self, x: calls.append(len(self.runs())) or unseen(self, x))
+    assert lines.drop_shared_lines(docs).count() == len(rows()) and len(calls) == lines.BATCHES - 1 and min(calls) > 0
+
+
+def test_line_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from plumbline.llm import registry
+
+    data = [(k, f"own {k}\n{LONG}\n{LONG}") for k in range(4)] + [(3, LONG)] * 2 + [(None, LONG + "\nend")] * 2 + [(9, None), (9, "")]
+    data += [(20 + k, f"x\n {LONG}, twice\t") for k in range(6)] + [(25, LONG.upper() + ", TWICE")] * 2
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(str, duck.sql(registry.ORACLE_SQL["op4_line_dedup"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in registry.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()) == want
 
 
 def test_quality(spark, none):
