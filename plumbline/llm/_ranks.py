@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def ranked(rows: DataFrame, *group: str, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ranked(rows: DataFrame, *group: str, also: DataFrame | None = None, order: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``_rank``, from 0 within each group; and the number ``_n`` of rows by group and bucket.
 
     Rows of a group are dealt over buckets by a hash of their contents, ranked within the bucket, and moved
@@ -13,10 +13,12 @@ def ranked(rows: DataFrame, *group: str, also: DataFrame | None = None) -> tuple
     each time it is read. Ranks follow from the contents, so a task that runs again ranks alike; equal rows
     are interchangeable. Null is a group too. ``also`` has a row for each group and adds its other columns; it
     meets the counts, which have a row for each bucket, so that a large group's rows are not dealt out by group.
+    ``order`` names two columns that rows are ranked by instead; values of the first are the buckets.
     """
     buckets = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    content = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = rows.withColumn("_h", F.xxhash64(*content)).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    content = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in rows.dtypes]
+    first = F.col(order[1]) if order else F.xxhash64(*content)
+    rows = rows.withColumn("_h", first).withColumn("_bucket", F.col(order[0]) if order else F.pmod("_h", F.lit(buckets)))
     counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

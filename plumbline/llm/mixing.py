@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], bl
     ``weights`` is a table (source, weight), each source once, or a list of such pairs. Sources without a weight, or of weight zero, null
     among them unless it has one, each have the least weight above zero. ``period`` is the least number of slots in a
     period. Within a source, rows come in an order that hashes of their contents give. ``docs`` must read the same each time,
-    as a table does; all its columns are kept. An empty table stays empty.
+    as a table does; all its columns are kept, those of the new names replaced. Repeated rows stay. An empty table stays empty.
     """
     spark = docs.sparkSession
     if not isinstance(weights, DataFrame):
@@ -108,14 +108,15 @@ def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], bl
     slots = quanta(shares, period := fitting_period(shares, period))
     per_class = spark.createDataFrame([(c, m, q) for (c, m), q in zip(classes, slots, strict=True)], "_c long, _m long, _q long")
     members = members.join(F.broadcast(per_class), F.col("_class") == F.col("_c")).select("_source", "_class", F.col("_rank").alias("_turn"), "_m", "_q")
-    found, _ = ranked(docs.withColumn("_source", F.col(source_col).cast("string")), "_source", also=members)
+    keep = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
+    found, _ = ranked(docs.select(F.struct(*keep).alias("_row"), F.col(source_col).cast("string").alias("_source")), "_source", also=members)
     found = found.withColumn("mix_block", F.floor(F.col("_rank") / block_rows)).withColumn("mix_place", (F.col("_rank") % block_rows).cast("int"))
     found = found.withColumn("_i", F.col("mix_block") * F.col("_m") + F.col("_turn"))
     order = schedule(slots)
     # as many rows as the period has slots, which depends on the classes, not on the sources or rows
     plan = spark.createDataFrame(pa.table({"_s": pa.array([classes[s][0] for _, s, _ in order], pa.int64()), "_j": pa.array([j for *_, j in order], pa.int64()), "_t": pa.array([t for t, *_ in order], pa.int64())}))
     placed = found.join(F.broadcast(plan), (F.col("_class") == F.col("_s")) & (F.col("_i") % F.col("_q") == F.col("_j")))
-    return placed.select(*docs.columns, "mix_block", (F.floor(F.col("_i") / F.col("_q")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
+    return placed.select("_row.*", "mix_block", (F.floor(F.col("_i") / F.col("_q")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
 
 
 def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..shared import written
 from ._ranks import ranked
@@ -33,35 +34,43 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cuts each text's ids, ``end_id`` appended, into pieces of ``capacity`` ids; the last may be shorter.
 
-    ``docs`` needs ``id_col`` (long) and ``text_col``; other columns are left aside. A null text counts as
+    ``docs`` needs ``id_col`` (long) and ``text_col``; of other columns, those of ``keep`` stay. A null text counts as
     empty and gives one piece of one id. A null or repeated id is kept: each row is packed for itself.
     Bytes that aren't UTF-8 count as U+FFFD. ``with_ids`` adds the ids as ``array<int>``. Texts are taken whole.
     """
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kind = PIECE + ", ids array<int>" * with_ids
+    extra = docs.select(*keep).schema.fields if keep else []
+    full = StructType([*docs.sparkSession.createDataFrame([], kind).schema.fields, *extra])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), int(end_id).to_bytes(4, "little")
         names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-        schema = pa.schema(list(zip(names, types, strict=True)))
+
+        def done(batch: pa.RecordBatch, rows: list[tuple], at: list[int]) -> pa.RecordBatch:
+            own = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([*own, *(c.take(pa.array(at)) for c in batch.columns[2:])], names=[*names, *keep])
+
         for batch in batches:
             rows: list[tuple] = []
-            for key, ids in _encoded(batch, encoder):
+            where: list[int] = []
+            for number, (key, ids) in enumerate(_encoded(batch, encoder)):
                 raw = ids + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     row = key, k, at // 4, len(part) // 4, zlib.crc32(part)
                     rows.append((*row, memoryview(part).cast("i").tolist()) if with_ids else row)
+                    where.append(number)
                 if len(rows) >= 20_000 or with_ids and len(rows) >= 500:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
-                    rows = []
+                    yield done(batch, rows, where)
+                    rows, where = [], []
             if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+                yield done(batch, rows, where)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *keep).mapInArrow(cut, full)
 
 
 def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
@@ -140,15 +149,20 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return rules
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces``, packed by best-fit decreasing over all of them.
 
-    Needs a column ``length`` from 1 to ``capacity``; every other column is kept. Equal lengths are ranked
-    by the rows' contents, so a task that runs again ranks alike; equal rows are interchangeable.
+    Needs a column ``length`` from 1 to ``capacity``, nowhere null; every other column is kept, columns of the new
+    names are replaced. Equal lengths are ranked by the rows' contents, so a task that runs again ranks alike; equal
+    rows are interchangeable. ``order`` names two columns instead, first the coarse one (such as a file's name), then
+    a finer one (such as a row's number): equal lengths are taken in this order, sequences are numbered, from 0, by
+    their first piece in it, and the two columns go. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
-    found, counts = ranked(pieces, "length")
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
+    if pieces.where(F.col("length").isNull()).limit(1).count():
+        raise ValueError("a piece has no length")
+    found, counts = ranked(pieces.select(F.struct(*pieces.columns).alias("whole"), "length", *(F.col(c).alias(f"_{k}") for k, c in enumerate(order or ()))), "length", order=order and ("_0", "_1"))
     # at most ``capacity`` rows, whatever the input
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     rules = best_fit_decreasing(histogram, capacity)
@@ -157,7 +171,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         plan = F.broadcast(plan)
     placed = found.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     index = F.col("_rank") - F.col("_from")
-    return placed.select(*pieces.columns, (F.col("_first") + F.floor(index / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + index % F.col("_each") * F.col("length")).cast("long").alias("offset"))
+    sequence, offset = F.col("_first") + F.floor(index / F.col("_each")), F.col("_at") + index % F.col("_each") * F.col("length")
+    placed = placed.select("whole", *(["_0", "_1"] if order else []), sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    if order is None:
+        return placed.select("whole.*", "sequence_id", "offset")
+    placed = written(placed, "placed")
+    first = placed.groupBy("sequence_id").agg(F.min(F.struct("_0", "_1")).alias("m")).select("sequence_id", "m.*")
+    start = Window.orderBy("_0").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each value of the coarse column
+    starts = first.groupBy("_0").count().select("_0", F.coalesce(F.sum("count").over(start), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("_0").orderBy("_1", "sequence_id")) - 1
+    numbered = first.withColumn("k", number).join(starts, "_0").select("sequence_id", (F.col("k") + F.col("before")).cast("long").alias("new"))
+    return placed.join(numbered, "sequence_id").select("whole.*", F.col("new").alias("sequence_id"), "offset").drop(*order)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

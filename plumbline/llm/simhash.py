@@ -240,15 +240,16 @@ def _classes(own: DataFrame, distance: int) -> DataFrame:
 def representatives(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with one row of each class: that of the smallest id.
 
-    Of rows that share that id, or of a class without ids, the one whose contents hash least stays. Texts meet
-    the decisions by a hash of id and text, so a hot class moves in one piece only as far as it stays.
+    Of rows that share that id, or of a class without ids, the one whose contents hash least stays. Null and empty texts
+    are one class; an empty table stays empty. Texts meet the decisions by a hash of id and text, so a hot class moves in one piece only as far as it stays.
     """
     row = [F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_r2")]
     own = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, "text"), shingle, seed), "fingerprints")
     known = own.join(_classes(own, distance), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_r1", "_r2")).alias("first")
     kept = known.groupBy("class_fp").agg(first).select("first._r1", "first._r2")
-    return docs.withColumns({"_r1": row[0], "_r2": row[1]}).join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *row)
+    return whole.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

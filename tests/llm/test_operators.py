@@ -342,3 +342,45 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     # the copies' one line stays in the largest id only; the emptied ones are one class with the null text
     assert 1 in ids and ids & {500, 501, 502, 503, 504} == {504} and not ids & {k for k in range(0, 400, 5)}
+
+
+def test_pipeline_packs_in_mixed_order(spark, tmp_path):
+    import corpus_pipeline
+
+    data = [(k, f"text {k}", "en", f"s{k % 3}", 5) for k in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {}
+    for name, frame in (("up", docs.orderBy("doc_id")), ("down", docs.orderBy(F.desc("doc_id")))):
+        frame.repartitionByRange(4, "doc_id" if name == "up" else F.desc("doc_id")).sortWithinPartitions("doc_id" if name == "up" else F.desc("doc_id")).write.parquet(f"{tmp_path}/{name}")
+        rows = corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path)).orderBy("sequence_id", "offset").collect()
+        assert sorted(r.doc_id for r in rows) == list(range(300))
+        # equal lengths come in the order of the files
+        by = {}
+        for r in rows:
+            by.setdefault(r.length, []).append(r.doc_id)
+        assert all(x == sorted(x, reverse=name == "down") for x in by.values())
+        got[name] = [r.doc_id for r in rows]
+    assert got["up"] != got["down"]
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == 300
+
+
+def test_clashing_names(spark):
+    names = ["mix_slot", "_h", "_rank", "_source", "_name", "_length", "row", "whole", "_r1", "_null", "n_lines", "_text", "rank", "key", "file", "_0"]
+    columns = ", ".join(f"`{n}` long" for n in names)
+    docs = spark.createDataFrame([(k, f"text {k % 2}", "en", f"s{k % 2}", 5, *[k] * len(names)) for k in range(6)], f"doc_id long, text string, lang string, source string, n_chars long, {columns}")
+    mixed = mixing.mix(docs, mixing.size_weights(docs))
+    assert mixed.count() == 6 and len(set(mixed.columns)) == len(mixed.columns)
+    packed = packing.pack(docs.withColumn("length", F.lit(2000).cast("long")).withColumn("offset", F.lit("x")))
+    assert packed.columns[-2:] == ["sequence_id", "offset"] and packed.columns.count("offset") == 1
+    for n in names:
+        assert sorted(r[0] for r in packed.select(n).collect()) == list(range(6))
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(kept.select(*names).distinct().collect()) == [(k,) * len(names) for k in (0, 1)]
+    assert lines.drop_shared_lines(docs).select("_h").count() == 6
+
+
+def test_odd_bytes(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, string(unhex('61FF20FE0A62')) AS text, 'a' AS source")
+    assert packing.token_pieces(docs, packing.tokenizer_path()).count() == 1
+    assert [r.n for r in lines.drop_shared_lines(docs).select(F.hex("kept_text").alias("n")).collect()] == ["61FF20FE0A62"]
+    assert simhash.near_duplicates(docs).count() == 1 and licenses.scan(docs).count() == 0
