@@ -43,12 +43,12 @@ def high_coupling(spark, sf):
 
 @query(f"WITH {M}, {E}, {PE} SELECT src, dst, count(*) AS n FROM pe GROUP BY src, dst")
 def resolve_by_path(spark, sf):
-    return resolve.by_path(fx.modules(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return resolve.by_path(fx.suppliers(spark, sf), fx.imports(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {M}, {E}, {PE} SELECT src, dst, count(*) AS n FROM pe GROUP BY src, dst")
 def resolve_by_name(spark, sf):
-    return resolve.by_name(fx.modules(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return resolve.by_name(fx.suppliers(spark, sf), fx.imports(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {E} SELECT src FROM e WHERE dst = 7")
@@ -111,8 +111,9 @@ COH = "p AS (SELECT path, name, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS pk
 @query(f"WITH {M}, {E}, {COH} SELECT path, round((internal + 1) / (internal + 1 + crates), 6) AS score, internal, crates, top FROM t WHERE (internal + 1) / (internal + 1 + crates) < 0.3 AND crates >= 3")
 def low_cohesion(spark, sf):
     named = F.when(F.col("dst") % 3 == 0, F.format_string("s%d", "dst")).otherwise(F.format_string("c%d::T", F.col("dst") % 7))
-    imports = fx.key_edges(spark, sf).groupBy(F.col("src").alias("key")).agg(F.collect_list(named).alias("imports"))
-    return detect.low_cohesion(fx.suppliers(spark, sf).join(imports, "key", "left").select("path", "name", "imports"))
+    m = fx.suppliers(spark, sf)
+    imports = fx.key_edges(spark, sf).join(m, F.col("src") == F.col("key")).select("path", named.alias("imported"))
+    return detect.low_cohesion(m.select("path", "name"), imports=imports)
 
 
 #: Kinds of access that the documents hold.
@@ -234,7 +235,7 @@ def graph_links(spark, sf):
 def graph_metadata(spark, sf):
     m, edges = fx.suppliers(spark, sf), fx.path_edges(spark, sf)
     one = F.lit(1).alias("_one")
-    a, b, c = m.agg(F.count("*").alias("total_modules"), one), edges.agg(F.count("*").alias("total_dependencies"), one), detect.high_coupling(m, edges, MANY).agg(F.count("*").alias("total_issues"), one)
+    a, b, c = m.agg(F.count("*").alias("total_modules"), one), edges.agg(F.sum("n").alias("total_dependencies"), one), detect.high_coupling(m, edges, MANY).agg(F.count("*").alias("total_issues"), one)
     return a.join(b, "_one").join(c, "_one").drop("_one")
 
 

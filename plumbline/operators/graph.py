@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..shared import written
+from ..shared import bucketed, dropped, written
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, fan_in, fan_out, fan_in_distinct): edges that arrive and leave, zero if none; and different sources."""
-    arrive = edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"), F.countDistinct("src").alias("fan_in_distinct"))
-    leave = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("fan_out"))
+    """(path, fan_in, fan_out, fan_in_distinct): edges that arrive and leave, zero if none; and different sources.
+
+    A column ``n`` of ``edges`` says how often an edge stands; without it, each row is one.
+    """
+    times = F.sum("n") if "n" in edges.columns else F.count("*")
+    arrive = edges.groupBy(F.col("dst").alias("path")).agg(times.alias("fan_in"), F.countDistinct("src").alias("fan_in_distinct"))
+    leave = edges.groupBy(F.col("src").alias("path")).agg(times.alias("fan_out"))
     found = nodes.select("path").join(arrive, "path", "left").join(leave, "path", "left")
     return found.select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("fan_in", "fan_out", "fan_in_distinct")))
 
@@ -25,82 +29,109 @@ def dependents(edges: DataFrame, path) -> DataFrame:
 
 
 def impact(edges: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:
-    """(path, depth): what depends on ``targets`` (path), directly (1) or not, by the shortest way."""
-    back = written(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")).distinct(), "back")
+    """(path, depth): what depends on ``targets`` (path), directly (1) or not, by the shortest way.
+
+    Edges are bucketed once; a round takes two steps, moves the frontier only and writes it.
+    """
+    back = bucketed(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")).distinct(), "back", "path")
     seen = written(targets.select("path", F.lit(0).alias("depth")).distinct(), "seen")
-    level, frontier = 0, seen
+    level, frontier, parts = 0, seen, 0
+
+    def step(reached: DataFrame, at: int, *known: DataFrame) -> DataFrame:
+        new = back.join(reached.select("path"), "path").select(F.col("next").alias("path")).distinct()
+        for x in known:
+            new = new.join(x, "path", "left_anti")
+        return new.select("path", F.lit(at).alias("depth"))
+
     while depth is None or level < depth:
-        level += 1
-        new = back.join(frontier.select("path"), "path").select(F.col("next").alias("path")).distinct().join(seen, "path", "left_anti")
-        frontier = written(new.select("path", F.lit(level).alias("depth")), "frontier")
-        if frontier.isEmpty():
+        one = step(frontier, level + 1, seen)
+        both = one if depth == level + 1 else one.unionByName(step(one, level + 2, seen, one))
+        new = written(both, "frontier")
+        if new.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        level, parts = level + 2, parts + 1
+        frontier, seen = new.where(F.col("depth") == level), seen.unionByName(new)
+        if parts % 8 == 0:
+            seen = written(seen, "seen")
     return seen.where("depth > 0")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, layer): sources come before what they point to; layer is null for nodes on a cycle and all behind one.
 
-    Each round peels the nodes that no remaining edge reaches.
+    Nodes that wait carry the number of edges that still reach them; each round takes off those of the last layer.
     """
-    left = written(nodes.select("path").distinct(), "left")
-    edges = written(edges.select("src", "dst").distinct(), "edges")
+    edges = bucketed(edges.select("src", "dst").distinct(), "edges", "src")
+    arrive = edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("open"))
+    left = written(nodes.select("path").distinct().join(arrive, "path", "left").select("path", F.coalesce("open", F.lit(0)).alias("open")), "left")
     done, level = None, 0
     while True:
-        free = written(left.join(edges.select(F.col("dst").alias("path")), "path", "left_anti").select("path", F.lit(level).alias("layer")), "layer")
+        free = left.where("open = 0").select("path", F.lit(level).alias("layer"))
         if free.isEmpty():
             rest = left.select("path", F.lit(None).cast("int").alias("layer"))
             return rest if done is None else done.unionByName(rest)
         done = free if done is None else done.unionByName(free)
-        left = written(left.join(free, "path", "left_anti"), "left")
-        edges = written(edges.join(free, F.col("src") == F.col("path"), "left_anti"), "edges")
+        taken = edges.join(free.select(F.col("path").alias("src")), "src").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("taken"))
+        left = written(left.where("open > 0").join(taken, "path", "left").select("path", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("open")), "left")
         level += 1
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges without those of nodes that nothing reaches or that reach nothing, again and again."""
-    count = edges.count()
+def acyclic_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """``layers``, or None if there is a cycle."""
+    found = written(layers(nodes, edges), "layers")
+    return None if found.where("layer IS NULL").limit(1).count() else found
+
+
+def contains(nodes: DataFrame, path) -> bool:
+    """Whether ``path`` is one of ``nodes``."""
+    return not nodes.where(F.col("path") == path).isEmpty()
+
+
+def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges without those of nodes that nothing reaches or that reach nothing, ``rounds`` times."""
+    for _ in range(rounds):
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    return written(edges, "trim")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(path, c, d): the smallest node that leads to each node, and the smallest that it leads to, itself included.
+
+    A round takes one step along the edges and then the label of the label, so that steps double.
+    """
+    own = F.col("path")
+    label = written(edges.select(F.col("src").alias("path")).union(edges.select("dst")).distinct().select("path", own.alias("c"), own.alias("d")), "label")
     while True:
-        edges = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trim")
-        now = edges.count()
-        if now == count:
-            return edges
-        count = now
+        from_src = edges.join(label.select(own.alias("src"), "c"), "src").groupBy(F.col("dst").alias("path")).agg(F.min("c").alias("nc"))
+        from_dst = edges.join(label.select(own.alias("dst"), "d"), "dst").groupBy(F.col("src").alias("path")).agg(F.min("d").alias("nd"))
+        near = label.select("path", F.col("c").alias("oc"), F.col("d").alias("od")).join(from_src, "path", "left").join(from_dst, "path", "left")
+        near = near.select("path", "oc", "od", F.least("oc", "nc").alias("mc"), F.least("od", "nd").alias("md"))
+        far = near.join(label.select(own.alias("mc"), F.col("c").alias("uc")), "mc", "left").join(label.select(own.alias("md"), F.col("d").alias("ud")), "md", "left")
+        c, d = F.least("mc", "uc"), F.least("md", "ud")
+        far = written(far.select("path", c.alias("c"), d.alias("d"), ((c < F.col("oc")) | (d < F.col("od"))).alias("moved")), "label")
+        dropped(label)
+        label = far.select("path", "c", "d")
+        if far.where("moved").isEmpty():
+            return label
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(path, component) of nodes on a cycle, one edge to itself among them; the smallest path names a component.
 
-    Rounds of colouring: each node takes the smallest node that reaches it; of the nodes of one colour those that
-    reach the colour's own node are a component and go.
+    Rounds of colouring from both sides: nodes whose smallest ancestor is their smallest descendant are that node's
+    component and go; an edge between nodes that differ in either is on no cycle and goes too.
     """
     kind = edges.schema["src"].dataType.simpleString()
     loops = edges.where("src = dst").select(F.col("src").alias("path")).distinct()
     edges = _trimmed(written(edges.where("src <> dst").select("src", "dst").distinct(), "edges"))
     found = None
     while not edges.isEmpty():
-        colour = written(edges.select(F.col("src").alias("path")).union(edges.select("dst")).distinct().withColumn("c", F.col("path")), "colour")
-        while True:
-            got = edges.join(colour, F.col("src") == F.col("path")).groupBy("dst").agg(F.min("c").alias("new"))
-            new = written(colour.join(got, F.col("path") == F.col("dst"), "left").select("path", F.least("c", "new").alias("c"), F.coalesce(F.col("new") < F.col("c"), F.lit(False)).alias("moved")), "colour")
-            colour = new.select("path", "c")
-            if new.where("moved").isEmpty():
-                break
-        a, b = colour.select(F.col("path").alias("src"), F.col("c").alias("cs")), colour.select(F.col("path").alias("dst"), F.col("c").alias("cd"))
-        inner = written(edges.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst"), "inner")
-        roots = colour.where("path = c")
-        member = written(roots, "member")
-        frontier = member
-        while not frontier.isEmpty():
-            reach = inner.join(frontier, F.col("dst") == F.col("path")).select(F.col("src").alias("path"), "c").distinct()
-            frontier = written(reach.join(member, "path", "left_anti"), "frontier")
-            member = member.unionByName(frontier)
-        part = written(member.select("path", F.col("c").alias("component")), "part")
+        both = _ends(edges)
+        part = both.where("c = d").select("path", F.col("c").alias("component"))
         found = part if found is None else found.unionByName(part)
-        for side in ("src", "dst"):
-            edges = edges.join(part.select(F.col("path").alias(side)), side, "left_anti")
-        edges = _trimmed(written(edges.select("src", "dst"), "edges"))
+        open_ = both.where("c <> d").select("path", F.struct("c", "d").alias("k"))
+        a, b = open_.select(F.col("path").alias("src"), F.col("k").alias("ks")), open_.select(F.col("path").alias("dst"), F.col("k").alias("kd"))
+        edges = _trimmed(written(edges.join(a, "src").join(b, "dst").where("ks = kd").select("src", "dst"), "edges"))
     alone = loops.select("path", F.col("path").alias("component"))
     if found is None:
         return alone.select(F.col("path").cast(kind), F.col("component").cast(kind))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
 from ..operators.graph import chains, degrees, strong_components
+from ..shared import written
 
 SEVERITY = {"info": 0, "warn": 1, "warning": 1, "error": 2}
 
@@ -138,12 +137,14 @@ def boundary_violations(hits: DataFrame, boundaries: list[Boundary], t: Threshol
     return rest.where(F.col("modules") >= t.boundary_violation_min)
 
 
-def low_cohesion(modules: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def low_cohesion(modules: DataFrame, t: Thresholds = Thresholds(), imports: DataFrame | None = None) -> DataFrame:
     """(path, score, internal, crates, top): modules (path, name, imports) that import from many outside packages.
 
-    An import is internal if it is relative or names a module of the same package.
+    An import is internal if it is relative or names a module of the same package. ``imports`` (path, imported) are
+    those of ``modules`` unless given as rows.
     """
-    own = modules.select("path", paths.package(F.col("path")).alias("package"), F.explode("imports").alias("imported"))
+    rows = modules.select("path", F.explode("imports").alias("imported")) if imports is None else imports
+    own = rows.select("path", paths.package(F.col("path")).alias("package"), "imported")
     siblings = modules.select(paths.package(F.col("path")).alias("package"), F.col("name").alias("sibling")).distinct()
     last = F.substring_index(F.substring_index(F.substring_index("imported", "::", -1), "/", -1), ".", 1)
     met = own.withColumn("sibling", last).join(siblings.withColumn("known", F.lit(True)), ["package", "sibling"], "left")
@@ -181,25 +182,29 @@ def importance(modules: DataFrame, edges: DataFrame, counts: DataFrame) -> DataF
     return degrees(modules, edges).join(kinds, "path", "left").select("path", F.round(score, 6).alias("score"))
 
 
-def token_pack(modules: DataFrame, budget: int, reserve: int = 800) -> DataFrame:
+def token_pack(modules: DataFrame, budget: int, reserve: int = 800, step: int = 10_000) -> DataFrame:
     """(path, choice) of modules (rank, path, full, short) that go into a token budget.
 
     In order of rank, then path, a module goes in whole if its ``full`` tokens fit, else ``short`` if those fit,
-    else not; later, smaller ones may still fit. Modules that fit in no form go first, where they lie. The rest
-    passes through one sorted stream with one number of state, as each choice depends on all before.
+    else not; later, smaller ones may still fit. A null size doesn't fit. A budget takes few modules: the next ``step``
+    of those that fit into what is left are looked at, then the ones after them, until none fits. Sizes are positive.
     """
-    room = max(0, budget - reserve)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = room
-        for batch in batches:
-            rows = []
-            for path, full, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if full <= left or short <= left:
-                    rows.append((path, "full" if full <= left else "short"))
-                    left -= full if full <= left else short
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["path", "choice"])
-
-    fits = modules.where(F.least("full", "short") <= room).select("rank", "path", "full", "short")
-    ordered = fits.repartition(1).sortWithinPartitions("rank", "path").select("path", "full", "short")
-    return ordered.mapInArrow(choose, "path string, choice string")
+    spark, left = modules.sparkSession, max(0, budget - reserve)
+    never = F.lit(2**62)
+    sizes = modules.select("rank", "path", F.coalesce("full", never).alias("full"), F.coalesce("short", never).alias("short")).where(F.least("full", "short") <= left)
+    each = written(sizes.groupBy("rank", "path", "full", "short").agg(F.count("*").alias("n")), "sizes")
+    chosen, after = [], None
+    while True:
+        rest = each.where(F.least("full", "short") <= left)
+        if after is not None:
+            rest = rest.where(F.struct("rank", "path", "full", "short") > F.struct(*(F.lit(x) for x in after)))
+        rows = rest.orderBy("rank", "path", "full", "short").limit(step).collect()  # at most ``step``
+        for r in rows:
+            for _ in range(r["n"]):
+                if min(r["full"], r["short"]) > left:
+                    break
+                chosen.append((r["path"], "full" if r["full"] <= left else "short"))
+                left -= r["full"] if r["full"] <= left else r["short"]
+        if len(rows) < step:
+            return spark.createDataFrame(chosen, "path string, choice string")
+        after = rows[-1][:4]

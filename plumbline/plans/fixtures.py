@@ -44,10 +44,11 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(src, dst, n): pairs of paths and how often each stands."""
     m = suppliers(spark, sf_dir).select("key", "path")
     e = key_edges(spark, sf_dir, where).groupBy("src", "dst").count()
     e = e.join(m.select(F.col("key").alias("src"), F.col("path").alias("a")), "src").join(m.select(F.col("key").alias("dst"), F.col("path").alias("b")), "dst")
-    return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.explode(F.array_repeat(F.lit(0), F.col("count").cast("int"))).alias("_")).drop("_")
+    return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("count").alias("n"))
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,12 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers(spark, sf_dir).join(e, "key", "left").select("path", "name", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"))
 
 
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, pos, imported): each dependency of a supplier as an import, a row each."""
+    m = suppliers(spark, sf_dir).select("key", F.col("path").alias("a"))
+    return key_edges(spark, sf_dir).join(m, F.col("src") == F.col("key")).select(F.col("a").alias("src"), F.monotonically_increasing_id().alias("pos"), F.format_string("crate::s%d::T", "dst").alias("imported"))
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, kind, visibility, size): parts as definitions of suppliers."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))

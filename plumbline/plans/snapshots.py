@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def metrics(modules: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of totals: modules, lines, dependencies, mean and largest fan-in over targets, issues."""
-    fan = edges.groupBy("dst").count()
+    """One row of totals: modules, lines, dependencies, mean and largest fan-in over targets, issues.
+
+    A column ``n`` of ``edges`` says how often an edge stands; without it, each row is one.
+    """
+    fan = edges.groupBy("dst").agg((F.sum("n") if "n" in edges.columns else F.count("*")).alias("count"))
     a = modules.agg(F.count("*").alias("total_modules"), F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"))
     b = fan.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_dependencies"), F.round(F.coalesce(F.avg("count"), F.lit(0.0)), 6).alias("avg_coupling"), F.coalesce(F.max("count"), F.lit(0)).alias("max_coupling"))
     c = issues.agg(F.count("*").alias("total_issues"))
