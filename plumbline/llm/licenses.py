@@ -71,23 +71,36 @@ def winnowed(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
+def gram_and_window(n: int, coverage: float, gram: int, window: int) -> tuple[int, int]:
+    """Words of a k-gram and hashes of a window for a template of ``n`` words.
+
+    A text that lacks or changes up to (1 - coverage) of the words leaves a run of some length; winnowing keeps a k-gram of
+    each run of k + window - 1 words, so both are made small enough for that.
+    """
+    lost = int((1 - coverage) * n + 1e-9)
+    run = max(1, -(-(n - lost) // (lost + 1)))
+    gram = min(gram, run)
+    return gram, max(1, min(window, run - gram + 1))
+
+
 class Index:
-    """Inverted index of templates' winnowed hashes."""
+    """Inverted index of templates' winnowed hashes: for each length of k-grams sorted hashes, with templates and places."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
-        self.gram, self.names, self.words = gram, list(templates), []
-        entries = []
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, gram: int = GRAM, window: int = WINDOW):
+        self.names, self.words = list(templates), []
+        entries: dict[int, list[tuple[int, int, int]]] = {}
         for k, text in enumerate(templates.values()):
             w = words(text.encode(), PUNCTUATION)[0]
-            if len(w) < gram:
-                raise ValueError(f"template {self.names[k]} has fewer than {gram} words")
+            if not len(w):
+                raise ValueError(f"template {self.names[k]} has no words")
             self.words.append(w)
-            h = _hashes(w, gram)
-            entries += [(int(h[p]), k, int(p)) for p in winnowed(h, window)]
-        entries.sort()
-        self.h = np.array([e[0] for e in entries], np.uint64)
-        self.template = np.array([e[1] for e in entries], np.int64)
-        self.place = np.array([e[2] for e in entries], np.int64)
+            size, span = gram_and_window(len(w), coverage, gram, window)
+            h = _hashes(w, size)
+            entries.setdefault(size, []).extend((int(h[p]), k, int(p)) for p in winnowed(h, span))
+        self.tables = []
+        for size, rows in sorted(entries.items()):
+            h, template, place = zip(*sorted(rows), strict=True)
+            self.tables.append((size, np.array(h, np.uint64), np.array(template, np.int64), np.array(place, np.int64)))
 
     def band(self, template: int, most: int) -> int:
         """Short templates have narrow bands, so that neighbouring copies stay apart."""
@@ -95,14 +108,16 @@ class Index:
 
     def candidates(self, w: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
         """(template, diagonal): where in the text's words the template's first word would be."""
-        h = _hashes(w, self.gram)
-        low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        at = np.flatnonzero(high > low)
-        n = high[at] - low[at]
-        entry = np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        template, diagonal = self.template[entry], np.repeat(at, n) - self.place[entry]
+        hits: set[tuple[int, int]] = set()
+        for size, known, template, place in self.tables:
+            h = _hashes(w, size)
+            low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            at = np.flatnonzero(high > low)
+            n = high[at] - low[at]
+            entry = np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hits.update(zip(template[entry].tolist(), (np.repeat(at, n) - place[entry]).tolist(), strict=True))
         out: list[tuple[int, int]] = []
-        for k, d in sorted(set(zip(template.tolist(), diagonal.tolist(), strict=True))):
+        for k, d in sorted(hits):
             if not out or out[-1][0] != k or d - out[-1][1] > self.band(k, band):
                 out.append((k, d))
         return out
@@ -143,7 +158,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     kind = "doc_id long, license string, coverage double, matched long, start long, end long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates, gram, window)
+        index = Index(templates, coverage, gram, window)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):

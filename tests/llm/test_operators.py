@@ -134,8 +134,13 @@ def test_large_scores_fall_back():
     assert got[1].tolist() == [1, 2] or sorted(got[1].tolist()) == [1, 2]
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(ann, "BLOCK", 4)
+        monkeypatch.setattr(ann, "SHARD_VALUES", 100)
     df, out = vectors(spark)
+    assert ann.nearest(df.limit(0), df, 3).count() == ann.nearest(df, df.limit(0), 3).count() == 0
     good = usable(out, False)
     hit = total = 0
     for r in ann.nearest(df, df.where("vec_id % 10 = 0"), 10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("l")).collect():
@@ -148,6 +153,29 @@ def test_nearest(spark):
     assert ann.chi_square(ann.stop_ratio(0.9, 8), 8) == pytest.approx(0.9)
 
 
+def test_nearest_prunes_clusters():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32)) * 8
+    c = centres[rng.integers(60, size=12_000)] + rng.normal(size=(12_000, 32))
+    ids, q = np.arange(12_000), np.arange(0, 12_000, 300)
+    looked = []
+    got = ann.search(ids[q], c[q], np.full(len(q), np.inf), ids, c, 10, ann.DIMENSIONS, ann.CONFIDENCE, ann.SEED, looked)
+    hit = 0
+    for k in q:
+        d = ((c - c[k]) ** 2).sum(axis=1)
+        d[k] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & set(got[1][got[0] == k].tolist()))
+    assert hit >= 0.9 * 10 * len(q) and sum(looked) <= 0.2 * len(q) * len(c)
+    # boxes: each point is in one, and a box's distance is never more than that of its points
+    points = c @ ann._plane(32, ann.DIMENSIONS, ann.SEED)
+    boxes = ann.Boxes(points[::10], 16, ann.DIMENSIONS)
+    home, apart = boxes.home(points), boxes.distances(points[q])
+    assert len(np.unique(home)) == 16
+    for k, row in zip(q, apart, strict=True):
+        assert (row[home] <= ((points - points[k]) ** 2).sum(axis=1) + 1e-9).all()
+    assert (apart <= ann.stop_ratio(ann.CONFIDENCE, ann.DIMENSIONS) * 64).mean() < 0.9
+
+
 def components(pairs, nodes):
     root = {n: n for n in nodes}
     for _ in nodes:
@@ -379,6 +407,29 @@ def test_clashing_names(spark):
     assert lines.drop_shared_lines(docs).select("_h").count() == 6
 
 
+def test_short_licences_against_every_diagonal(spark):
+    rng = random.Random(6)
+    short = {n: t for n, t in licenses.TEMPLATES.items() if n.endswith("statement")}
+    data = []
+    for name, text in short.items():
+        w = text.split()
+        data += [f"x y {' '.join(w[:k] + w[k + 1 :])} z" for k in range(len(w))] + [f"x {' '.join(w[:k] + ['an'] + w[k + 1 :])} z" for k in range(len(w))]
+    data += [" ".join(rng.choice("released under the mit license licensed apache version work is a of".split()) for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs, short).collect()}
+    index, missed, want = licenses.Index(short), set(), set()
+    for d, text in enumerate(data):
+        w = licenses.words(text.encode(), licenses.PUNCTUATION)[0]
+        for k, name in enumerate(short):
+            own = index.band(k, licenses.BAND)
+            best = max(licenses.align(index.words[k], w, at, own)[0] for at in range(-len(index.words[k]), len(w)))
+            if best >= licenses.COVERAGE * len(index.words[k]):
+                want.add((d, name))
+    changed = {x for x in want if x[0] < len(data) - 40}
+    assert got <= want and changed <= got
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_odd_bytes(spark):
     docs = spark.sql("SELECT 1L AS doc_id, string(unhex('61FF20FE0A62')) AS text, 'a' AS source")
     assert packing.token_pieces(docs, packing.tokenizer_path()).count() == 1
