@@ -42,7 +42,7 @@ def analyze(sources: DataFrame, config: Config | None = None, max_depth: int | N
     """
     config = config or Config()
     t = config.thresholds
-    t = replace(t, max_dependency_depth=max_depth or t.max_dependency_depth, min_cohesion=t.min_cohesion if min_cohesion is None else min_cohesion)
+    t = replace(t, max_dependency_depth=t.max_dependency_depth if max_depth is None else max_depth, min_cohesion=t.min_cohesion if min_cohesion is None else min_cohesion)
     m = written(parse.modules(sources).where("parse_error IS NULL").drop("parse_error"), "modules")
     edges = written(resolve.by_path(m), "edges")
     definitions = m.select("path", F.explode("definitions").alias("d")).select("path", "d.kind", "d.visibility")
