@@ -17,13 +17,18 @@ BLOCK, TILE, SHARD_VALUES = 2048, 4096, 1 << 20
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer matrix product; floating point where it is exact, else 64-bit integers, which wrap around."""
+    """Integer matrix product; floating point where it is exact, else 64-bit integers. Raises if a score needs more."""
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if largest < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if largest < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if largest < 2**63:
+        return q @ c.T
+    whole = q.astype(object) @ c.astype(object).T
+    if whole.size and max(whole.max(), -whole.min()) >= 2**63:
+        raise OverflowError("a score has more than 64 bits")
+    return whole.astype(np.int64)
 
 
 def best_of_tiles(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +67,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, scale: fl
     Components become floor(scale * x), in double precision. Returns query_id, rank (from 1), vec_id, score;
     ties go to the smaller id. Both tables need ``id_col`` and ``vec_col``. Rows whose vector is null, empty,
     or holds null or non-finite components, and rows without an id, take no part. An id stands for one
-    vector; if it repeats, the smallest vector counts. Vectors of different lengths don't meet. Scores
-    beyond 64 bits wrap around.
+    vector; if it repeats, the smallest vector counts. Vectors of different lengths don't meet. A score
+    beyond 64 bits raises. Empty tables give no rows.
     """
     whole = lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
     q, c = (whole(usable(x, id_col, vec_col)) for x in (queries, vectors))

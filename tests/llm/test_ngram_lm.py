@@ -50,7 +50,7 @@ def same(got, docs, want):
     assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=0.011)
 
 
-@pytest.mark.parametrize(("order", "hot"), [(1, 1 << 17), (2, 30), (3, 1), (3, 30), (3, 1 << 40), (4, 30)])
+@pytest.mark.parametrize(("order", "hot"), [(1, 1 << 17), (3, 1), (3, 30), (4, 1 << 40)])
 def test_left_out(spark, order, hot):
     rows = texts()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)

@@ -130,6 +130,8 @@ def test_top_k(spark, monkeypatch, small):
 def test_large_scores_fall_back():
     q = np.array([[2**40, 1]]), np.array([[2**62, -(2**62)]])
     assert topk._product(q[0], np.array([[2, 3]]))[0, 0] == 2**41 + 3
+    with pytest.raises(OverflowError):
+        topk._product(np.array([[2**40]]), np.array([[2**40]]))
     got = topk.best_of_tiles(np.array([9]), q[0], np.array([1, 2, 3]), np.array([[1, 0], [1, 0], [-(2**22), 0]]), 2)
     assert got[1].tolist() == [1, 2] or sorted(got[1].tolist()) == [1, 2]
 
