@@ -11,11 +11,16 @@ classes, each with the weight of its members together, and the members take turn
 a member has 1/m; so each member is less than one block off. The classes' number depends on the range of weights,
 not on the number of sources. Weights of classes are whole numbers of slots in a period; as the schedule starts anew
 with each period, the table of one period gives every block of every source its slot by arithmetic.
+
+Where the weights' exact ratios fit into a period of ``EXACT_PERIOD`` slots, as those of ``size_weights`` do, a class
+has one exact weight and nothing is rounded: no source is ever a block off its share, over any number of periods.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +32,8 @@ from ._ranks import ranked
 PERIOD, BLOCK_ROWS, STEPS, EXPONENT = 1024, 64, 128, 0.5
 #: Slots that the least class shall have in a period, as long as the period has at most so many.
 LEAST_SLOTS, LONG_PERIOD = 16, 1 << 16
+#: Slots of a period that keeps exact weights, at most; largest weight that a source's size gives; largest denominator of a weight.
+EXACT_PERIOD, WHOLE, DENOMINATOR = 1 << 18, 1024, 10_000
 
 
 def quanta(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -65,8 +72,28 @@ def schedule(slots: list[int]) -> list[tuple[int, int, int]]:
 
 
 def size_weights(docs: DataFrame, source_col: str = "source", exponent: float = EXPONENT) -> DataFrame:
-    """(source, weight): for every source, null too, its rows to the power ``exponent``."""
-    return docs.groupBy(F.col(source_col).cast("string").alias("source")).count().select("source", F.pow("count", F.lit(exponent)).alias("weight"))
+    """(source, weight): for every source, null too, its rows to the power ``exponent``, as a whole number of at least one.
+
+    The largest is WHOLE, or less where there are so many sources that all together would be above EXACT_PERIOD.
+    """
+    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).count()
+    sizes = written(sizes.select("source", F.pow("count", F.lit(exponent)).alias("size")), "sizes")
+    top, total, n = sizes.agg(F.max("size"), F.sum("size"), F.count("*")).first()
+    scale = min(WHOLE / top, max(0, EXACT_PERIOD - n) / total) if n else 1.0
+    # rounded half up for the largest scale; a smaller one leaves no room for more than the whole part
+    half = 0.5 if n and scale * total + n / 2 <= EXACT_PERIOD - n else 0.0
+    return sizes.select("source", F.greatest(F.lit(1.0), F.floor(F.col("size") * scale + half).cast("double")).alias("weight"))
+
+
+def whole_slots(weights: list[tuple[float, int]], most: int = EXACT_PERIOD) -> list[int] | None:
+    """Slots of each (weight, members) in the shortest period that keeps all ratios; None if it has more than ``most`` slots."""
+    exact = [Fraction(w).limit_denominator(DENOMINATOR) for w, _ in weights]
+    if any(float(x) != w for x, (w, _) in zip(exact, weights, strict=True)):
+        return None
+    common = math.lcm(*(x.denominator for x in exact))
+    slots = [int(x * common) * m for x, (_, m) in zip(exact, weights, strict=True)]
+    divisor = math.gcd(*slots) or 1
+    return [x // divisor for x in slots] if 0 < sum(slots) // divisor <= most else None
 
 
 def fitting_period(weights: list[float], least: int = PERIOD) -> int:
@@ -78,7 +105,7 @@ def fitting_period(weights: list[float], least: int = PERIOD) -> int:
 
 
 def _members(docs: DataFrame, weights: DataFrame, source_col: str) -> DataFrame:
-    """(_source, _class) of every source in ``docs``, as a table."""
+    """(_source, _weight) of every source in ``docs``, as a table."""
     worst, least = weights.agg(F.min("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
     if worst is not None and (worst < 0 or least is None):
         raise ValueError("weights must not be negative, nor all zero")
@@ -86,7 +113,7 @@ def _members(docs: DataFrame, weights: DataFrame, source_col: str) -> DataFrame:
     sources = docs.select(F.col(source_col).cast("string").alias("_source")).distinct()
     weight = F.coalesce("_weight", F.lit(float(least or 1.0)))
     found = sources.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left")
-    return written(found.select("_source", F.round(F.log2(weight) * STEPS).cast("long").alias("_class")), "sources")
+    return written(found.select("_source", weight.alias("_weight")), "sources")
 
 
 def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], block_rows: int = BLOCK_ROWS, period: int = PERIOD, source_col: str = "source") -> DataFrame:
@@ -101,20 +128,28 @@ def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], bl
     spark = docs.sparkSession
     if not isinstance(weights, DataFrame):
         weights = spark.createDataFrame([(s, float(w)) for s, w in weights], "source string, weight double")
-    members, sizes = ranked(_members(docs, weights, source_col), "_class")
-    classes = sorted((r["_class"], r["_m"]) for r in sizes.groupBy("_class").agg(F.sum("_n").alias("_m")).collect()) or [(0, 1)]
-    top = classes[-1][0]
-    shares = [m * 2.0 ** max(-1000.0, (c - top) / STEPS) for c, m in classes]
-    slots = quanta(shares, period := fitting_period(shares, period))
-    per_class = spark.createDataFrame([(c, m, q) for (c, m), q in zip(classes, slots, strict=True)], "_c long, _m long, _q long")
+    members = _members(docs, weights, source_col)
+    # distinct whole numbers whose sum is at most EXACT_PERIOD are fewer than the root of twice that
+    apart = members.groupBy("_weight").count().orderBy("_weight").limit(math.isqrt(2 * EXACT_PERIOD) + 1).collect()
+    exact = whole_slots([(r["_weight"], r["count"]) for r in apart]) if len(apart) <= math.isqrt(2 * EXACT_PERIOD) else None
+    name = F.col("_weight") if exact else F.round(F.log2("_weight") * STEPS)
+    members, sizes = ranked(members.select("_source", name.cast("double").alias("_class")), "_class")
+    classes = sorted((r["_class"], r["_m"]) for r in sizes.groupBy("_class").agg(F.sum("_n").alias("_m")).collect()) or [(0.0, 1)]
+    if exact:
+        slots, period = exact, sum(exact)
+    else:
+        top = classes[-1][0]
+        shares = [m * 2.0 ** max(-1000.0, (c - top) / STEPS) for c, m in classes]
+        slots = quanta(shares, period := fitting_period(shares, period))
+    per_class = spark.createDataFrame([(c, m, q) for (c, m), q in zip(classes, slots, strict=True)], "_c double, _m long, _q long")
     members = members.join(F.broadcast(per_class), F.col("_class") == F.col("_c")).select("_source", "_class", F.col("_rank").alias("_turn"), "_m", "_q")
     keep = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
     found, _ = ranked(docs.select(F.struct(*keep).alias("_row"), F.col(source_col).cast("string").alias("_source")), "_source", also=members)
     found = found.withColumn("mix_block", F.floor(F.col("_rank") / block_rows)).withColumn("mix_place", (F.col("_rank") % block_rows).cast("int"))
     found = found.withColumn("_i", F.col("mix_block") * F.col("_m") + F.col("_turn"))
     order = schedule(slots)
-    # as many rows as the period has slots, which depends on the classes, not on the sources or rows
-    plan = spark.createDataFrame(pa.table({"_s": pa.array([classes[s][0] for _, s, _ in order], pa.int64()), "_j": pa.array([j for *_, j in order], pa.int64()), "_t": pa.array([t for t, *_ in order], pa.int64())}))
+    # as many rows as the period has slots, at most EXACT_PERIOD or what the classes need, whatever the number of rows
+    plan = spark.createDataFrame(pa.table({"_s": pa.array([classes[s][0] for _, s, _ in order], pa.float64()), "_j": pa.array([j for *_, j in order], pa.int64()), "_t": pa.array([t for t, *_ in order], pa.int64())}))
     placed = found.join(F.broadcast(plan), (F.col("_class") == F.col("_s")) & (F.col("_i") % F.col("_q") == F.col("_j")))
     return placed.select("_row.*", "mix_block", (F.floor(F.col("_i") / F.col("_q")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
 
