@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._words import mix, pair, texts, words
 
-#: Places of the hash, labelled rows that training takes at most, passes over them.
-BITS, MAX_TRAINING_ROWS, PASSES = 18, 6_000, 5
+#: Places of the hash, labelled rows that training takes at most, features that these have together at most, passes over them.
+BITS, MAX_TRAINING_ROWS, MAX_TRAINING_FEATURES, PASSES = 18, 6_000, 1 << 25, 5
 #: Rates and penalties of follow-the-regularised-leader.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 THRESHOLD = 0.3
@@ -92,11 +92,12 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_TRAINING_FEATURES) -> tuple[np.ndarray, float]:
     """(weights, bias) from the rows of ``labels`` (doc_id, quality 0 or 1) that aren't held out.
 
     The ``max_rows`` of smallest hash are taken, whatever the table's size; their features, not their texts,
-    meet in one task. Rows without a label, an id or a document teach nothing. Without any, all is zero.
+    meet in one task, in the order of the hashes as long as they are at most ``max_features`` together. A label teaches
+    once: of several documents of its id, one is taken, the one whose features' bytes are the smallest. Rows without a label, an id or a document teach nothing. Without any, all is zero.
     """
     sample = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -121,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
                 model.learn(at, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["w", "bias"])
 
-    row = found.mapInArrow(extract, "order long, y int, at binary, x binary").repartition(1).mapInArrow(fit, "w binary, bias double").first()
+    examples = found.mapInArrow(extract, "order long, y int, at binary, x binary").groupBy("order", "y").agg(F.min(F.struct("at", "x")).alias("f")).select("order", "y", "f.*")
+    so_far = F.sum(F.octet_length("at") / 4).over(Window.orderBy("order", "y").rowsBetween(Window.unboundedPreceding, 0))  # max_rows rows at most
+    row = examples.withColumn("so_far", so_far).where(F.col("so_far") <= max_features).drop("so_far").repartition(1).mapInArrow(fit, "w binary, bias double").first()
     return (np.frombuffer(row["w"], np.float32), row["bias"]) if row else (np.zeros(1 << bits, np.float32), 0.0)
 
 
