@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -312,12 +313,10 @@ def test_mixing_many_sources(spark):
     docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
     got = mixing.mix(docs, mixing.size_weights(docs), block_rows=1).collect()
     assert len(got) == sum(sizes.values()) and len({r.mix_slot for r in got}) == len(got)
-    period = mixing.fitting_period([150.0, 200.0, 40.0])
-    slots = dict(zip((1, 4, 1600), mixing.quanta([150.0, 200.0, 40.0], period), strict=True))
-    members = {1: 150, 4: 100, 1600: 1}
+    target = {r.source: int(r.weight) for r in mixing.size_weights(docs).collect()}
     for r in got:
-        w = slots[sizes[r.source]] / members[sizes[r.source]] / period
-        assert abs(w * 390 / {1: 1, 4: 2, 1600: 40}[sizes[r.source]] - 1) < 0.02
+        w = Fraction(target[r.source], sum(target.values()))
+        assert abs(w * 390 / {1: 1, 4: 2, 1600: 40}[sizes[r.source]] - 1) < 0.05
         # before and after its slot the source is less than one block off
         assert abs(r.mix_block - w * r.mix_slot) < 1 and abs(r.mix_block + 1 - w * (r.mix_slot + 1)) < 1
     # sources of equal size take turns
@@ -328,6 +327,140 @@ def test_mixing_many_sources(spark):
     assert {(r.mix_slot // 4, r.mix_block) for r in mixing.mix(odd, [("x", 1.0)], block_rows=1).collect()} == {(0, 0), (1, 1)}
 
 
+def test_mixing_keeps_exact_weights(spark):
+    # by hand over all slots: no source is ever a block off its true weight, over some twenty periods and 100 sources
+    given = [(f"s{k}", w) for k, w in enumerate([17, 5, 3, 2.5, 0.1, *[7] * 90, *[11] * 5])]
+    rows = [(k, s) for s, w in given for k in range(int(w * 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = sorted((r.mix_slot, r.source, r.mix_block) for r in mixing.mix(docs, given, block_rows=1).collect())
+    exact = {s: Fraction(str(w)) for s, w in given}
+    total, done = sum(exact.values()), dict.fromkeys(exact, 0)
+    assert len(got) == len(rows) and len({t for t, *_ in got}) == len(got) and mixing.whole_slots([(w, 1) for _, w in given])
+    for t, s, j in got:
+        w = exact[s] / total
+        assert j == done[s] and abs(j - w * t) < 1 and abs(j + 1 - w * (t + 1)) < 1
+        done[s] += 1
+    # three sources of awkward ratios over a million slots, by the table of one period
+    slots = mixing.whole_slots([(1.0, 1), (97.0, 1), (1013.0, 1)])
+    assert slots == [1, 97, 1013] and mixing.whole_slots([(2**0.5, 1), (1.0, 1)]) is None and mixing.whole_slots([(1.0, 1), (2.0**20, 1)]) is None
+    order, period = mixing.schedule(slots), sum(slots)
+    for again in (0, 1_000_000 // period):
+        for t, s, j in order:
+            t, j = again * period + t, again * slots[s] + j
+            assert abs(j - Fraction(slots[s] * t, period)) < 1 and abs(j + 1 - Fraction(slots[s] * (t + 1), period)) < 1
+    # ratios that no such period keeps are rounded, and every row stays
+    assert mixing.mix(docs, [("s0", 2**0.5), ("s1", 3.1)]).count() == len(rows)
+    many = mixing.size_weights(spark.range(400_000).select(F.concat(F.lit("s"), F.col("id") % 100_000).alias("source")))
+    assert many.agg(F.sum("weight")).first()[0] <= mixing.EXACT_PERIOD and many.where("weight < 1").isEmpty()
+
+
+def test_quality_against_plain_follow_the_leader(spark):
+    """Features in dictionaries, one coordinate at a time, one example at a time."""
+    rng = random.Random(12)
+    data = [(k, " ".join(rng.choice("alpha Beta g4mma, d-e é the of a".split()) for _ in range(rng.randint(0, 25))), k % 2) for k in range(60)] + [(70, None, 1), (71, "", 0)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data] + [(3, "zzz " * 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, quality int")
+    bits = 10
+    weights, bias = quality.train(docs, labels, bits)
+
+    def plain(text):
+        w = [int(x) for x in quality.words((text or "").encode())[0]]
+        low = (text or "").encode().lower().split()
+        assert len(low) == len(w) and len(set(low)) == len(set(w))
+        pair = lambda a, b: int(quality.pair(np.array([a], np.uint64), np.array([b], np.uint64))[0])
+        shape = []
+        for k, x in enumerate(low):
+            same = next((back for back in (1, 2, 3) if k >= back and low[k - back] == x), 0)
+            letters, digits = sum(c > 127 or chr(c).isalpha() for c in x), sum(chr(c) in "0123456789" for c in x)
+            shape.append(int(quality.mix(np.array([same * 64 + min(3, len(x) - letters - digits) * 16 + min(1, digits) * 8 + min(7, len(x).bit_length()) + 1_000_003], np.uint64))[0]))
+        two = lambda s: [pair(a, b) for a, b in zip(s, s[1:])]  # noqa: B905, E731
+        out = {}
+        for sort in (w, two(w), shape, two(shape), [pair(a, b) for a, b in zip(two(shape), shape[2:])]):  # noqa: B905
+            for x in sort:
+                out[x >> (64 - bits)] = out.get(x >> (64 - bits), 0) + 1 / len(sort)
+        return {k: v**0.5 for k, v in out.items()}
+
+    order = {(r.doc_id, r.quality): r.o for r in labels.select("doc_id", "quality", F.xxhash64("doc_id", "quality").alias("o")).collect()}
+    chosen = {k: t for k, t, _ in data}
+    as_bytes = lambda f: np.array(sorted(f), np.int32).tobytes()
+    chosen[3] = min(chosen[3], "zzz " * 9, key=lambda t: as_bytes(plain(t)))
+    examples = sorted((order[k, y], y, k) for k, _, y in data if zlib.crc32(str(k).encode()) % 5)
+    z, n, b, bn = {}, {}, 0.0, 0.0
+    weight = lambda k: 0.0 if abs(z.get(k, 0)) <= quality.L1 else -(z[k] - (quality.L1 if z[k] > 0 else -quality.L1)) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+    for _ in range(quality.PASSES):
+        for _, y, k in examples:
+            x = {p: float(np.float32(v)) for p, v in plain(chosen[k]).items()}
+            g0 = 1 / (1 + np.exp(-(sum(weight(p) * v for p, v in x.items()) + b))) - y
+            for p, v in x.items():
+                w, old, g = weight(p), n.get(p, 0.0), g0 * v
+                z[p] = z.get(p, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / quality.ALPHA * w
+                n[p] = old + g * g
+            bn += g0 * g0
+            b -= quality.ALPHA * g0 / (quality.BETA + bn**0.5)
+    assert np.allclose(weights, [weight(k) for k in range(1 << bits)], atol=1e-5) and abs(bias - b) < 1e-6
+    got = {(r.doc_id, r.text): r.score for r in quality.score(docs, weights, bias).collect()}
+    assert len(got) == len(data) + 1
+    for (_, t), x in got.items():
+        assert abs(x - 1 / (1 + np.exp(-(sum(weights[p] * v for p, v in plain(t).items()) + bias)))) < 1e-6
+    # a bound on features takes whole examples in the order of their hashes; none fits into nothing
+    assert not quality.train(docs, labels, bits, max_features=0)[0].any()
+    first = next(k for _, _, k in examples)
+    one = quality.train(docs, labels, bits, max_features=len(plain(chosen[first])))
+    alone = quality.train(docs, labels.where(F.col("doc_id") == first), bits)
+    assert np.array_equal(one[0], alone[0]) and one[1] == alone[1]
+
+
+def test_url_trees_against_plain(spark):
+    """Rules by prefixes, features by counting, trees by walking; and held-out URLs."""
+    import json
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    hosts = ["a.com", "b.example.com", "c.net", "x.example.net", "d.org", "e.io", "Sub.F.io"]
+    data = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(['7', '8', ''])}{rng.randint(0, 999)}{rng.choice(['', '?q=1&r=2', '#x', '/deep/é'])}" for _ in range(900)]
+    data += ["", "none", "http://" + "9" * 5000 + ".io/en/", None]
+    pages = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    host, path = urls.parts(F.col("url"))
+    rule, verdict = urls.ruled(host, path, urls.RULES)
+    labelled = pages.select("url", host.alias("host"), path.alias("path"), (verdict == "block").alias("bad")).where(rule.isNotNull())
+    model = json.loads(json.dumps(urls.train(labelled)))
+
+    def plain(url):
+        url = url or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        rest = rest.split("#")[0] if "?" not in rest.split("#")[0] else rest.split("?")[0]
+        host, slash, path = rest.partition("/")
+        host, path = host.lower(), slash + path
+        fits = [(len(h + p), h + p, what) for what, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return host, path, *max(fits)[1:]
+        data, size = url.encode(), max(1, len(url))
+        entropy = -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values())
+        x = [len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / size, sum(not c.isalnum() for c in url) / size, entropy, url[url.find("?") :].count("=") if "?" in url else 0, host.count(".")]
+        x.append(model["rates"].get(host.split(".")[-1], model["rate"]))
+        f = model["base"]
+        for tree in model["trees"]:
+            while "v" not in tree:
+                tree = tree["l"] if x[tree["j"]] <= tree["t"] else tree["r"]
+            f += tree["v"]
+        return host, path, None, "block" if f >= 0 else "allow"
+
+    assert model["trees"]
+    for k, url in enumerate(data):
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == plain(url), url
+    # labels that hang on what a URL looks like: trees that learn from four fifths judge the rest
+    looks = [f"http://h{rng.choice(['', '1', '22333'])}.io/{'x' * rng.randint(0, 9)}{rng.randint(0, 10 ** rng.randint(0, 9))}{rng.choice(['', '?a=1', '?a=1&b=2&c=3'])}" for _ in range(1500)]
+    bad = lambda u: (sum(c.isdigit() for c in u) > 9) != (u.count("=") > 1)
+    rows = spark.createDataFrame([(u, bad(u)) for u in sorted(set(looks))], "url string, bad boolean")
+    rows = rows.select("url", host.alias("host"), path.alias("path"), "bad", (F.crc32(F.col("url").cast("binary")) % 5 == 0).alias("out"))
+    model = urls.train(rows.where("NOT out").drop("out"))
+    held = rows.where("out").toPandas()
+    x = urls._with_suffix(urls.lexical(held.url.tolist(), held.host.tolist(), held.path.tolist()), held.host.tolist(), model["rates"], model["rate"])
+    assert len(held) > 100 and ((urls.Trees(model).probability(x) >= 0.5) == held.bad).mean() > 0.9
+
+
 def test_urls(spark):
     bad = ["http://a.com/en/1", "http://COM/en/", "https://x.example.com/en/72", "http://example.net/de/81?x", "http://b.net/de/8", "http://xcom/en/1", None, "no host", "", "ftp://a.org/es/#y", "http://a.org?/es/"]
     pages = spark.createDataFrame([(k, u, "old") for k, u in enumerate(bad)] + [(50, bad[0], "old")], "page_id long, url string, rule string")
