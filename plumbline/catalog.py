@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import samples
 from .functions import paths
 from .operators import graph, resolve
 from .plans import detect, fixtures as fx, snapshots, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(samples.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(samples.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -64,7 +65,7 @@ def impact_by_depth(spark, sf):
 
 @query(f"WITH RECURSIVE {OE}, x AS (SELECT DISTINCT src, dst FROM oe WHERE src <> dst), r(nodes, last, n) AS (SELECT [src, dst], dst, 2 FROM x UNION ALL SELECT list_append(nodes, dst), dst, n + 1 FROM r JOIN x ON x.src = r.last WHERE n < 9 AND NOT list_contains(nodes, dst)) SELECT array_to_string(nodes, ' > ') AS chain, n AS length FROM r WHERE n > 5 ORDER BY length DESC, chain LIMIT 10")
 def deep_chains(spark, sf):
-    return detect.deep_chains(fx.order_edges(spark, sf))
+    return detect.deep_chains(fx.order_edges(spark, sf)).drop("nodes")
 
 
 CLOSED = f"{OE}, r(a, b) AS (SELECT DISTINCT src, dst FROM oe UNION SELECT r.a, oe.dst FROM r JOIN oe ON oe.src = r.b)"

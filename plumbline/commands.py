@@ -63,11 +63,13 @@ class Project:
             return
         yield f"# Architecture of {contexts.paths_name(self.root)}\n\n"
         some = False
-        for (line,) in contexts._rows(engine.report_lines(found.issues, severity), "line"):
+        for (line,) in contexts._rows(engine.report_sections(found, severity), "line"):
             some = True
             yield line.replace(self.root + "/", "") + "\n"
         if not some:
             yield "No issues.\n"
+        if skipped := found.skipped.count():
+            yield f"\n{skipped} files couldn't be parsed and are left out.\n"
 
     def context(self, form: str = "markdown", tokens: int | None = None, signatures: bool = False, topological: bool = True) -> Iterator[str]:
         made = contexts.Context(self.analysis(), self.root, signatures, topological)

@@ -140,7 +140,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame, longer_than: int, keep: int = 10) -> DataFrame:
-    """(chain, length): the ``keep`` longest simple paths of more than ``longer_than`` and at most ``longer_than + 4`` nodes.
+    """(chain, length, nodes): the ``keep`` longest simple paths of more than ``longer_than`` and at most ``longer_than + 4`` nodes.
 
     Longest first, then by the path as text. Paths grow by one join a round.
     """
@@ -152,9 +152,9 @@ def chains(edges: DataFrame, longer_than: int, keep: int = 10) -> DataFrame:
         if grown.isEmpty():
             break
         if n > longer_than:
-            part = grown.select(F.array_join("nodes", " > ").alias("chain"), F.lit(n).alias("length"))
+            part = grown.select(F.array_join("nodes", " > ").alias("chain"), F.lit(n).alias("length"), "nodes")
             best = part if best is None else best.unionByName(part)
         grown = grown.join(steps, F.col("last") == F.col("src")).where(~F.array_contains("nodes", F.col("dst"))).select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.col("dst").alias("last"))
     if best is None:
-        best = grown.limit(0).select(F.lit("").alias("chain"), F.lit(0).alias("length"))
+        best = grown.limit(0).select(F.lit("").alias("chain"), F.lit(0).alias("length"), "nodes")
     return best.orderBy(F.desc("length"), "chain").limit(keep)

@@ -1,7 +1,7 @@
 """From source texts to modules: imports, exports and top-level definitions.
 
-Rust items are found by blanking comments and literals and following brackets; Python's by its own syntax tree;
-scripts have a module of their own. A definition's signature is the text up to its body for functions and impls, the
+Rust items are found by blanking comments and literals and following brackets; Python's by its own syntax tree,
+or line by line where the syntax is wrong; scripts have a module of their own. A definition's signature is the text up to its body for functions and impls, the
 whole text for others.
 Only the top level of a file counts. A text that can't be read keeps its lines and gets ``parse_error``.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import paths
 from .scripts import parse_script
 
-MODULE = "path string, imports array<string>, exports array<string>, definitions array<struct<name:string,kind:string,line:bigint,visibility:string,signature:string>>, parse_error string"
+MODULE = "path string, imports array<string>, exports array<string>, definitions array<struct<name:string,kind:string,line:bigint,visibility:string,signature:string>>, parse_error string, content string"
 
 _LITERAL = re.compile(
     r"""//[^\n]*|(?P<block>/\*)|b?r(?P<hash>\#*)"[\s\S]*?"(?P=hash)|b?"(?:\\[\s\S]|[^"\\])*"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\])'"""
@@ -44,25 +44,24 @@ def blanked(source: str) -> str:
     return "".join([*out, source[at:]])
 
 
+_SIGN, _FIRST, _SQUARE = re.compile(r"[{}()\[\];]"), re.compile(r"\S"), re.compile(r"[\[\]]")
+_ATTRIBUTE, _USE = re.compile(r"#!?\["), re.compile(r"(pub\b[^;]*?)?use\b")
+
+
 def rust_items(source: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, blanked text) of each top-level item, attributes before it left out."""
-    code, depth, start = blanked(source), 0, None
-    k = 0
-    while k < len(code):
-        c = code[k]
-        if start is None and depth == 0 and c == "#" and (m := re.compile(r"#!?\[").match(code, k)):
-            inner, k = 1, m.end()
-            while k < len(code) and inner:
-                inner += (code[k] == "[") - (code[k] == "]")
-                k += 1
-            continue
-        if start is None and not c.isspace():
-            start = k
-        depth += (c in "{([") - (c in "})]")
-        if start is not None and depth == 0 and (c == ";" or c == "}" and not re.match(r"(pub\b[^;]*?)?use\b", code[start:k])):
-            yield start, k + 1, code[start : k + 1]
-            start = None
-        k += 1
+    """(start, end, blanked text) of each top-level item, attributes before it left out; goes from bracket to bracket."""
+    code, end = blanked(source), 0
+    while found := _FIRST.search(code, end):
+        start, depth, end = found.start(), 0, len(code)
+        attribute = _ATTRIBUTE.match(code, start)
+        for sign in (_SQUARE if attribute else _SIGN).finditer(code, start):
+            c = sign[0]
+            depth += (c in "{([") - (c in "})]")
+            if depth == 0 and (attribute or c == ";" or c == "}" and not _USE.match(code, start, sign.start())):
+                end = sign.end()
+                if not attribute:
+                    yield start, end, code[start:end]
+                break
 
 
 def parse_rust(source: str) -> tuple[list, list, list]:
@@ -91,10 +90,36 @@ def parse_rust(source: str) -> tuple[list, list, list]:
     return imports, exports, definitions
 
 
+_PY_LITERAL = re.compile(r"""#[^\n]*|(?P<q>\"{3}|'{3})[\s\S]*?(?:(?P=q)|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""")
+_PY_ITEM = re.compile(r"^(?:import[ \t]+(?P<names>[^\n;]+)|from[ \t]+(?P<origin>[.\w]+)[ \t]+import\b|(?:async[ \t]+)?(?P<what>def|class)[ \t]+(?P<name>\w+))", re.M)
+
+
+def scan_python(source: str) -> tuple[list, list, list]:
+    """What lines that start with import, from, def or class say: for texts that Python itself can't read."""
+    code = _PY_LITERAL.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    imports, exports, definitions = [], [], []
+    for m in _PY_ITEM.finditer(code):
+        if m["names"]:
+            imports += [x.strip() for x in m["names"].split(",") if x.strip() and " as " not in x]
+        elif m["origin"]:
+            imports.append(m["origin"])
+        else:
+            visibility = "Private" if m["name"].startswith("_") else "Public"
+            signature = source[m.start() :].split("\n", 1)[0].split(":", 1)[0].strip()
+            definitions.append((m["name"], "Class" if m["what"] == "class" else "Function", source.count("\n", 0, m.start()) + 1, visibility, signature))
+            if visibility == "Public":
+                exports.append(m["name"])
+    return imports, exports, definitions
+
+
 def parse_python(source: str) -> tuple[list, list, list]:
+    try:
+        body = ast.parse(source).body
+    except (SyntaxError, ValueError, RecursionError):
+        return scan_python(source)
     imports, exports, definitions = [], [], []
     rows = source.split("\n")
-    for node in ast.parse(source).body:
+    for node in body:
         if isinstance(node, ast.Import):
             imports += [x.name for x in node.names if not x.asname]
         elif isinstance(node, ast.ImportFrom):
@@ -113,7 +138,7 @@ PARSERS = {"rs": parse_rust, "py": parse_python, **dict.fromkeys(("ts", "tsx", "
 
 
 def modules(sources: DataFrame) -> DataFrame:
-    """(path, name, lines, imports, exports, definitions, parse_error, content) of ``sources`` (path, content) with a known extension."""
+    """(path, name, lines, imports, exports, definitions, parse_error, content) of ``sources`` (path, content) with a known extension, in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,13 +146,12 @@ def modules(sources: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 error = None
                 try:
-                    got = PARSERS[path.rsplit(".", 1)[1]](content or "")
+                    got = PARSERS[path.rsplit(".", 1)[1]](content)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     got, error = ([], [], []), str(e)
-                out.append((path, *got[:2], [dict(zip(("name", "kind", "line", "visibility", "signature"), d, strict=True)) for d in got[2]], error))
-            yield pd.DataFrame(out, columns=["path", "imports", "exports", "definitions", "parse_error"])
+                out.append((path, *got[:2], [dict(zip(("name", "kind", "line", "visibility", "signature"), d, strict=True)) for d in got[2]], error, content))
+            yield pd.DataFrame(out, columns=["path", "imports", "exports", "definitions", "parse_error", "content"])
 
     known = sources.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*PARSERS)).select("path", F.coalesce("content", F.lit("")).alias("content"))
     parsed = known.mapInPandas(run, MODULE)
-    lines = known.select("path", paths.stem(F.col("path")).alias("name"), paths.line_count(F.col("content")).alias("lines"), "content")
-    return parsed.join(lines, "path")
+    return parsed.select("path", paths.stem(F.col("path")).alias("name"), paths.line_count(F.col("content")).alias("lines"), "imports", "exports", "definitions", "parse_error", "content")

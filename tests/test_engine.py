@@ -22,3 +22,10 @@ def test_analysis(spark):
     assert {(r.path, r.depth) for r in engine.impact(src, "src/hub.rs", 1).collect()} == {("src/a.rs", 1), ("src/b.rs", 1), ("src/c.rs", 1)}
     with pytest.raises(engine.PathNotFound):
         engine.impact(src, "none.rs")
+
+
+def test_commas_in_paths(spark):
+    files = [("src/a,b.rs", "use crate::c > d::X;\n"), ("src/c > d.rs", "use crate::a,b::X;\n")]
+    got = engine.analyze(spark.createDataFrame(files, "path string, content string"))
+    assert {(r.kind, r.path) for r in got.locations.collect()} == {("CircularDependency", p) for p, _ in files}
+    assert [r.line for r in engine.report_sections(got).collect()][2:4] == ["  - in src/a,b.rs", "  - in src/c > d.rs"]

@@ -41,11 +41,19 @@ def test_python():
     assert defs == [("f", "Function", 5, "Public", "def f(a"), ("_C", "Class", 7, "Private", "class _C")]
 
 
+def test_python_with_errors():
+    text = 'import os, sys as s\nfrom ..a import b\ndef f(a: int):\n    return (\nclass _C(X):\n  pass\n"""\nimport no\n"""\nasync def g(): pass\n'
+    imports, exports, defs = parse.parse_python(text)
+    assert imports == ["os", "..a"] and exports == ["f", "g"]
+    assert defs == [("f", "Function", 3, "Public", "def f(a"), ("_C", "Class", 5, "Private", "class _C(X)"), ("g", "Function", 10, "Public", "async def g()")]
+    assert parse.parse_python("import a\0") and parse.parse_python("(" * 5000) == ([], [], [])
+
+
 def test_modules(spark):
     src = spark.createDataFrame([("src/a.rs", "use crate::b::X;\n"), ("src/b.rs", RUST), ("x.py", "def ("), ("y.txt", "z"), ("z.rs", None)], "path string, content string")
     m = parse.modules(src)
     got = {r.path: r for r in m.collect()}
-    assert set(got) == {"src/a.rs", "src/b.rs", "x.py", "z.rs"} and got["x.py"].parse_error and got["z.rs"].lines == 0 and got["src/a.rs"].lines == 1
+    assert set(got) == {"src/a.rs", "src/b.rs", "x.py", "z.rs"} and got["x.py"].definitions == [] and got["x.py"].lines == 1 and got["z.rs"].lines == 0 and got["src/a.rs"].lines == 1
     assert [(r.src, r.dst) for r in resolve.by_path(m).collect()] == [("src/a.rs", "src/b.rs")]
 
 
