@@ -1,15 +1,17 @@
 """A source tree as a table: a Python data source, as Spark's own readers skip names that start with _ or a dot.
 
 ``spark.dataSource.register(SourceTree)``, then ``spark.read.format("source_tree").option("root", ...)``. The
-tree must be visible under the same path on every machine. Hidden names and folders to leave out are pruned
-while listing; files are read by the tasks.
+tree must be visible under the same path on every machine. Hidden names, folders to leave out and, within a
+repository, what its .gitignore files name are pruned while listing; files are read by the tasks.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,14 +25,71 @@ def extensions(languages: str) -> set[str]:
     return {e for x in known or LANGUAGES for e in LANGUAGES[x]}
 
 
+_GLOB = re.compile(r"/\*\*/|\*\*/|/\*\*|\*+|\?|\[!?[^\]]+\]|\\.|[^*?\[\\/]+|.")
+
+
+def ignore_rules(text: str) -> list[tuple[re.Pattern, bool, bool]]:
+    """What the lines of a .gitignore say: (paths below its folder, whether they are kept again, whether only folders count)."""
+    special = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}
+    rules = []
+    for line in (x.rstrip() for x in text.splitlines()):
+        keep, glob = line.startswith("!"), line.removeprefix("!")
+        if not glob.strip("/") or line.startswith("#"):
+            continue
+        near = "" if "/" in glob.rstrip("/") else "(?:.*/)?"
+        parts = []
+        for x in _GLOB.findall(glob.strip("/")):
+            if x in special:
+                parts.append(special[x])
+            elif x[0] == "*":
+                parts.append("[^/]*")
+            elif x[0] == "[" and len(x) > 1:
+                parts.append("[^" + x[2:] if x[1] == "!" else x)
+            else:
+                parts.append(re.escape(x[1:] if x[0] == "\\" and len(x) > 1 else x))
+        try:
+            rules.append((re.compile(near + "".join(parts)), keep, glob.endswith("/")))
+        except re.error:
+            continue  # a class that is none
+    return rules
+
+
+def _rules_of(folder: str) -> list[tuple[str, list]]:
+    try:
+        return [(folder, ignore_rules(Path(folder, ".gitignore").read_text(encoding="utf-8", errors="replace")))]
+    except OSError:
+        return []
+
+
+def _ignored(path: str, is_folder: bool, rules: list[tuple[str, list]]) -> bool:
+    """Whether the last rule that fits ``path`` leaves it out; rules of inner folders come last."""
+    out = False
+    for folder, own in rules:
+        below = os.path.relpath(path, folder)
+        for pattern, keep, folders_only in own:
+            if (is_folder or not folders_only) and pattern.fullmatch(below):
+                out = not keep
+    return out
+
+
 def listed(root: str, languages: str = "", exclude: list[str] | None = None) -> Iterator[str]:
-    """Paths below ``root`` in order; a folder goes if its path ends in an excluded one or holds it."""
+    """Paths below ``root`` in order; a folder goes if its path ends in an excluded one or holds it.
+
+    If ``root`` or a folder above it holds .git, the .gitignore files from there on count.
+    """
     kinds, leave = extensions(languages), [x.strip("/") for x in exclude or [] if x.strip("/")]
+    root = os.path.normpath(root)
+    above = [Path(root).absolute(), *Path(root).absolute().parents]
+    depth = next((k for k, x in enumerate(above) if (x / ".git").exists()), None)
+    outer = [r for x in reversed(above[1 : depth + 1]) for r in _rules_of(str(x))] if depth is not None else []
+    rules: dict[str, list] = {}
     for folder, folders, names in os.walk(root):
+        own = rules[folder] = rules.get(os.path.dirname(folder), outer) + (_rules_of(folder) if depth is not None else [])
         inner = lambda x: f"/{os.path.relpath(os.path.join(folder, x), root)}/"  # noqa: B023, E731
-        folders[:] = sorted(x for x in folders if not x.startswith(".") and not any(f"/{e}/" in inner(x) for e in leave))
+        gone = lambda x, is_folder: x.startswith(".") or _ignored(os.path.join(folder, x), is_folder, own)  # noqa: B023, E731
+        folders[:] = sorted(x for x in folders if not gone(x, True) and not any(f"/{e}/" in inner(x) for e in leave))
         for x in sorted(names):
-            if not x.startswith(".") and x.rpartition(".")[2] in kinds and not any(inner(x).endswith(f"/{e}/") for e in leave):
+            if x.rpartition(".")[2] in kinds and not gone(x, False) and not any(inner(x).endswith(f"/{e}/") for e in leave):
                 yield os.path.join(folder, x)
 
 

@@ -29,3 +29,21 @@ def test_tree_and_watch(spark, tmp_path):
     finally:
         query.stop()
     assert set().union(*seen) >= {("src/new.rs", "added")} and {("src/a.rs", "deleted")} <= set().union(*seen)
+
+
+def test_gitignore(tmp_path, monkeypatch):
+    root = tmp_path / "repo/inner"
+    ignored = "# build\n/out\n*.gen.rs\n!keep.gen.rs\nlogs/\n**/tmp/*.py\na/**/z.rs\n[!a]x.rs\n\\!odd.rs\n[\n"
+    names = ["out/a.rs", "b/out/a.rs", "x.gen.rs", "keep.gen.rs", "c/logs/a.rs", "logs.rs", "d/tmp/a.py", "d/tmp/e/a.py", "a/z.rs", "a/b/c/z.rs", "ax.rs", "bx.rs", "!odd.rs", "own/skip.rs", "own/in/skip.rs"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("")
+    (root / ".gitignore").write_text(ignored)
+    (root / "own/.gitignore").write_text("/skip.rs\n")
+    (root.parent / ".gitignore").write_text("bx.rs\nlogs.rs\n")
+    got = lambda: {str(x)[len(str(root)) + 1 :] for x in tree.listed(str(root))}
+    assert got() == set(names)
+    (root.parent / ".git").mkdir()
+    assert got() == {"b/out/a.rs", "keep.gen.rs", "d/tmp/e/a.py", "ax.rs", "own/in/skip.rs"}
+    monkeypatch.chdir(root.parent)
+    assert set(tree.listed("inner/")) == {f"inner/{x}" for x in got()}
