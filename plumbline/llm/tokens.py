@@ -1,17 +1,20 @@
 """Token ids of whole texts, with a memory of words already encoded.
 
 The library's own pipeline spends most of its time on normalising and splitting. For a tokenizer whose
-steps are the known ones (NFC, white space, lower case; a split into letters, digits, other signs and
-English contractions; byte-level BPE with word ends) many texts at once are split here by array operations
-on their bytes, and only words not met before reach the library's BPE model. Texts with a special token's
-name or with characters outside ``_KNOWN``, and all texts under any other tokenizer, go through the library
-as a whole. Ids are the same either way; tests hold the two together. Words are told apart by a 64-bit hash.
+steps are known, many texts at once are split here by array operations on their bytes, and only words not
+met before reach the library's BPE model. Two kinds are known: NFC, white space and lower case, a split into
+letters, digits, other signs and English contractions, byte-level BPE with word ends; and plain byte-level BPE,
+whose words keep the space before them. Texts with a special token's name or with characters outside ``_KNOWN``,
+and all texts under any other tokenizer, go through the library as a whole. Ids are the same either way; tests hold
+the two together. Words are looked up by a 64-bit hash and then compared byte by byte; texts that hold two words of one
+hash go through the library as well.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import regex
@@ -25,6 +28,7 @@ CHUNK = 1 << 19
 REMEMBERED = 500_000
 #: ASCII and the letters of the Latin blocks: there, every byte of a non-ASCII character is part of a letter.
 _KNOWN = regex.compile(r"[\x00-\x7FÀ-ÖØ-öø-ɏ]*+")
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: The split that the array operations carry out.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -56,6 +60,51 @@ def _split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, nearest
 
 
+#: Stands between texts; no byte of UTF-8.
+_BETWEEN = 255
+_BYTE_KIND = _KIND.copy()
+_BYTE_KIND[_BETWEEN] = 4
+
+
+def _split_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the pieces of UTF-8 for plain byte-level BPE.
+
+    Runs of letters, of digits and of other signs, each with one blank before it; contractions; what is left of white
+    space. The last sign of white space before a run stands alone unless it is that blank.
+    """
+    kind = _BYTE_KIND[data]
+    before, after = np.concatenate(([np.uint8(4)], kind[:-1])), np.concatenate((kind[1:], [np.uint8(4)]))
+    start = kind != before
+    last = np.flatnonzero((kind == 0) & (after != 0) & (after != 4))
+    start[last] = True
+    start[last[data[last] == 32] + 1] = False
+    quotes = np.flatnonzero(start & (data == 39) & (after == 1))
+    if len(quotes):
+        near = np.concatenate((data, np.zeros(3, np.uint8)))
+        a, b = near[quotes + 1], near[quotes + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        for q, size in ((quotes[one], 2), (quotes[two], 3)):
+            start[q + 1] = False
+            rest = q + size
+            rest = rest[rest < len(data)]
+            start[rest[kind[rest] == 1]] = True
+    start |= kind == 4
+    first = np.flatnonzero(start)
+    end = np.append(first[1:], len(data))
+    word = kind[first] != 4
+    return first[word], end[word]
+
+
+def _same(data: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
+    """Whether data[first : first + size] and data[other : other + size] are equal for all bounds."""
+    ends = np.cumsum(size)
+    if not len(ends):
+        return True
+    within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    return bool((data[np.repeat(first, size) + within] == data[np.repeat(other, size) + within]).all())
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -64,10 +113,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(x["content"] for x in spec["added_tokens"])
-        self.fast, self.ids = self._known(spec), {}
+        self.ids: dict[int, tuple[bytes, bytes]] = {}
+        self.lower, self.plain = self._known(spec), self._known_bytes(spec)
+        self.fast = self.lower or self.plain
         if self.fast:
             self.model = Tokenizer(self.whole.model)
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if self.lower:
             vocabulary, end = self.whole.get_vocab(), spec["model"]["end_of_word_suffix"]
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for w, i in vocabulary.items() if w.endswith(end)]] = True
@@ -84,32 +136,50 @@ class Encoder:
             and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"]
         )
 
-    def _learn(self, hashes: list[int], new: list[str]) -> None:
-        got = self.model.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0]
+    @staticmethod
+    def _known_bytes(spec: dict) -> bool:
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        return bool(
+            spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut["add_prefix_space"]
+            and "merges" in model and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("dropout")
+        )
+
+    def _learn(self, hashes: list[int], new: list[bytes]) -> None:
+        words = [x.decode() for x in new]
+        if self.plain:
+            each = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(each), dtype="<u4").tobytes()
+            ends = (4 * np.cumsum([len(x) for x in each])).tolist()
+            self.ids.update((h, (w, raw[a:z])) for h, w, a, z in zip(hashes, new, [0, *ends[:-1]], ends, strict=True))
+            return
+        got = self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(got.ids, dtype="<u4")
         ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()  # ids of the last part of a word are marked
         raw = ids.tobytes()
-        self.ids.update((h, raw[a:z]) for h, a, z in zip(hashes, [0, *ends[:-1]], ends, strict=True))
+        self.ids.update((h, (w, raw[a:z])) for h, w, a, z in zip(hashes, new, [0, *ends[:-1]], ends, strict=True))
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """The ids of several texts of known characters, lower-cased."""
+        """The ids of several texts of known characters, lower-cased if the tokenizer does so."""
         raw = [x.encode() for x in texts]
-        joined = b"\n".join(raw)
+        joined = (b"\n" if self.lower else bytes([_BETWEEN])).join(raw)
         data = np.frombuffer(joined, dtype=np.uint8)
-        first, end = _split(data)
+        first, end = _split(data) if self.lower else _split_bytes(data)
         if not len(first):
             return [b""] * len(texts)
-        hashes = polynomial(data, first, end)
+        hashes, size = polynomial(data, first, end), end - first
         each, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         keys = each.tolist()
+        words = [joined[a:z] for a, z in zip(first[at].tolist(), end[at].tolist(), strict=True)]
         new = [k for k, h in enumerate(keys) if h not in self.ids]
         if new:
-            where = at[new]
-            spans = zip(first[where].tolist(), end[where].tolist(), strict=True)
-            self._learn([keys[k] for k in new], [joined[a:z].decode() for a, z in spans])
-        packed = [self.ids[h] for h in keys]
+            self._learn([keys[k] for k in new], [words[k] for k in new])
+        found = [self.ids[h] for h in keys]
+        alike = all(w == x for w, (x, _) in zip(words, found, strict=True)) and (size == size[at][back]).all() and _same(data, first, size, first[at][back])
+        if not alike:
+            return [self._whole(x) for x in texts]
+        packed = [x for _, x in found]
         arena = np.frombuffer(b"".join(packed), dtype="<u4")
         sizes = np.array([len(x) for x in packed], dtype=np.int64) // 4
         starts = np.cumsum(sizes) - sizes
@@ -120,6 +190,9 @@ class Encoder:
         cut = [0, *(4 * np.append(0, ends)[np.searchsorted(first, bounds)]).tolist(), len(ids)]
         return [ids[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         out: list[bytes] = [b""] * len(texts)
@@ -132,15 +205,18 @@ class Encoder:
             todo.clear()
 
         for k, text in enumerate(texts):
-            plain = unicodedata.normalize("NFC", text) if self.fast and not any(x in text for x in self.special) else None
-            plain = plain.lower() if plain is not None and _KNOWN.fullmatch(plain) else None
+            plain = text if self.fast and not any(x in text for x in self.special) else None
+            if plain is not None and self.lower:
+                plain = unicodedata.normalize("NFC", plain)
+                plain = plain.lower() if _KNOWN.fullmatch(plain) else None
             if plain is None or not _KNOWN.fullmatch(plain):
-                out[k] = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+                out[k] = self._whole(text)
                 continue
             at = 0
             while at < len(plain):
-                cut = plain.find(" ", at + CHUNK)
-                cut = len(plain) if cut < 0 else cut
+                # a blank between two signs that aren't white space starts a piece in either split
+                cut = _CUT.search(plain, at + CHUNK)
+                cut = len(plain) if cut is None else cut.start()
                 todo.append((k, plain[at:cut]))
                 size, at = size + cut - at, cut
                 if size >= CHUNK:
