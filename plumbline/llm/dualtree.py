@@ -108,8 +108,8 @@ def nearest_centroids(x: np.ndarray, tree: CoverTree, centroids: np.ndarray, com
         a, b = pairs.T
         leaves = (tree.kids[a, 1] == 0) & (other.kids[b, 1] == 0)
         met = pairs[leaves][np.argsort(a[leaves], kind="stable")]
-        cuts = np.flatnonzero(np.diff(met[:, 0], prepend=-1)).tolist() if len(met) else []
-        for k, until in zip(cuts, [*cuts[1:], len(met)], strict=True):
+        cuts = [*np.flatnonzero(np.diff(met[:, 0], prepend=-1)).tolist(), len(met)]
+        for k, until in zip(cuts[:-1], cuts[1:], strict=True):
             rows = tree.order[slice(*tree.spans[met[k, 0]])]
             mine = np.sort(np.concatenate([other.order[slice(*other.spans[n])] for n in met[k:until, 1].tolist()]))
             exact = ((x[rows][:, None, :] - centroids[mine][None, :, :]) ** 2).sum(axis=2)
