@@ -43,6 +43,10 @@ class Project:
     def sources(self) -> DataFrame:
         return self.spark.read.format("source_tree").option("root", self.root).option("languages", self.languages).option("exclude", self.exclude).load()
 
+    def watched(self, react):
+        """A query that calls ``react(changes, tick)`` whenever the tree changes."""
+        return watch(self.spark, self.root, react, languages=self.languages, exclude=self.exclude)
+
     def analysis(self, **limits) -> engine.Analysis:
         return engine.analyze(self.sources().select("path", "content"), self.config, **limits)
 
@@ -111,7 +115,7 @@ def analyze(a: argparse.Namespace) -> int:
 
     code = once()
     if a.watch:
-        watch(project.spark, lambda: project.sources().select("path", "mtime"), lambda changes, tick: once()).awaitTermination()
+        project.watched(lambda changes, tick: once()).awaitTermination()
     return code
 
 
@@ -151,7 +155,7 @@ def graph(a: argparse.Namespace) -> int:
 
         server = GraphServer(text(), a.port)
         if a.watch:
-            watch(project.spark, lambda: project.sources().select("path", "mtime"), lambda changes, tick: server.replace(text()))
+            project.watched(lambda changes, tick: server.replace(text()))
         print(f"http://127.0.0.1:{server.port}/", file=sys.stderr)
         if a.open:
             webbrowser.open(f"http://127.0.0.1:{server.port}/")

@@ -55,7 +55,8 @@ def analyze(sources: DataFrame, config: Config | None = None, max_depth: int | N
     counts = m.select("path", F.size("exports").cast("long").alias("exports")).join(counts, "path", "left").select("path", "exports", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c != "path"))
     slim = m.select("path", "name", "lines", "imports")
     hits = detect.boundary_hits(m.select("path", "content"), config.boundaries)
-    on_cycles, deep = written(graph.strong_components(edges), "cycles"), written(detect.deep_chains(edges, t), "chains")
+    on_cycles = written(graph.strong_components(edges), "cycles")
+    deep = written(detect.deep_chains(edges, t, components=on_cycles), "chains")
     crossed = written(detect.boundary_violations(hits, config.boundaries, t), "crossed")
 
     def row(df: DataFrame, kind: str, path, message, key=None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..shared import bucketed, dropped, written
+from .lists import doubled, with_degrees
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,21 +60,58 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int | None = None) -> Da
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, layer): sources come before what they point to; layer is null for nodes on a cycle and all behind one.
 
-    Nodes that wait carry the number of edges that still reach them; each round takes off those of the last layer.
+    A layer is the longest way from a source. Each round contracts runs, nodes with one way in and one way out, to one
+    edge as long as they are, by doubling; then it takes off the sources. Layers within runs follow at the end
+    from that of the node they start behind. So a path has two rounds, however long it is.
     """
-    edges = bucketed(edges.select("src", "dst").distinct(), "edges", "src")
-    arrive = edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("open"))
-    left = written(nodes.select("path").distinct().join(arrive, "path", "left").select("path", F.coalesce("open", F.lit(0)).alias("open")), "left")
-    done, level = None, 0
+    edges = edges.select("src", "dst").distinct()
+    every = nodes.select("path").union(edges.select("src")).union(edges.select("dst")).distinct()
+    edges = written(edges.withColumn("w", F.lit(1).cast("long")), "edges")
+    left = written(every.select("path", F.lit(0).cast("long").alias("v")), "left")
+    done, inside = None, []
     while True:
-        free = left.where("open = 0").select("path", F.lit(level).alias("layer"))
+        if not edges.isEmpty():
+            edges, left, within = _contracted(edges, left)
+            inside += [within] if within is not None else []
+        arrive = edges.select(F.col("dst").alias("path")).distinct()
+        free = written(left.join(arrive, "path", "left_anti"), "layer")
         if free.isEmpty():
-            rest = left.select("path", F.lit(None).cast("int").alias("layer"))
-            return rest if done is None else done.unionByName(rest)
+            break
         done = free if done is None else done.unionByName(free)
-        taken = edges.join(free.select(F.col("path").alias("src")), "src").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("taken"))
-        left = written(left.where("open > 0").join(taken, "path", "left").select("path", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("open")), "left")
-        level += 1
+        taken = edges.join(free.select(F.col("path").alias("src"), "v"), "src").groupBy(F.col("dst").alias("path")).agg(F.max(F.col("v") + F.col("w")).alias("n"))
+        held = left.join(free, "path", "left_anti").join(taken, "path", "left").select("path", F.greatest("v", "n").alias("v"))
+        left = written(held, "left")
+        edges = written(edges.join(free.select(F.col("path").alias("src")), "src", "left_anti"), "edges")
+        if left.isEmpty():
+            break
+    known = left.select("path", F.lit(None).cast("long").alias("v"))
+    known = known if done is None else done.unionByName(known)
+    for within in reversed(inside):
+        at = within.join(known.select(F.col("path").alias("end"), F.col("v").alias("x")), "end", "left")
+        known = written(known.unionByName(at.select("path", F.when(F.col("x").isNotNull(), F.greatest("a", F.col("x") + F.col("b"))).alias("v"))), "known")
+    return nodes.select("path").distinct().join(known, "path").select("path", F.col("v").cast("int").alias("layer"))
+
+
+def _contracted(edges: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges (src, dst, w) and nodes (path, v) without the nodes that have one way in and one out; and (path, end, a, b) of those: v = max(a, v of the end + b).
+
+    Rings of such nodes have no end; theirs is null.
+    """
+    inner = written(with_degrees(edges).where("ins = 1 AND outs = 1").select("path"), "inner")
+    if inner.isEmpty():
+        return edges, left, None
+    links = edges.join(inner.select(F.col("path").alias("dst")), "dst").join(left.select(F.col("path").alias("dst"), "v"), "dst").select(F.col("dst").alias("node"), F.col("src").alias("to"), F.col("v").alias("a"), F.col("w").alias("b"))
+    run = doubled(links)
+    within = run.select(F.col("node").alias("path"), F.when(~F.col("ring"), F.col("end")).alias("end"), "a", "b")
+    at_src = within.where("end IS NOT NULL").select(F.col("path").alias("src"), "end", "a", "b")
+    inner_dst = inner.select(F.col("path").alias("dst"))
+    # the edge out of a run's last node
+    out = written(edges.join(at_src, "src").join(inner_dst, "dst", "left_anti").select(F.col("end").alias("src"), "dst", (F.col("b") + F.col("w")).alias("w"), (F.col("a") + F.col("w")).alias("n")), "runs")
+    kept = edges.join(inner.select(F.col("path").alias("src")), "src", "left_anti").join(inner_dst, "dst", "left_anti")
+    new = written(kept.select("src", "dst", "w").unionByName(out.select("src", "dst", "w")).groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
+    floor = out.groupBy(F.col("dst").alias("path")).agg(F.max("n").alias("n"))
+    held = left.join(inner, "path", "left_anti").join(floor, "path", "left").select("path", F.greatest("v", "n").alias("v"))
+    return new, written(held, "left"), within
 
 
 def acyclic_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
@@ -118,12 +156,29 @@ def _ends(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(path, component) of nodes on a cycle, one edge to itself among them; the smallest path names a component.
 
-    Rounds of colouring from both sides: nodes whose smallest ancestor is their smallest descendant are that node's
-    component and go; an edge between nodes that differ in either is on no cycle and goes too.
+    Runs, nodes with one way in and one way out, are contracted first, by doubling; a ring of them is a component. Then
+    rounds of colouring from both sides: nodes whose smallest ancestor is their smallest descendant are that node's
+    component and go; an edge between nodes that differ in either is on no cycle and goes too. A run belongs to the
+    component that both nodes at its ends are of.
     """
     kind = edges.schema["src"].dataType.simpleString()
     loops = edges.where("src = dst").select(F.col("src").alias("path")).distinct()
-    edges = _trimmed(written(edges.where("src <> dst").select("src", "dst").distinct(), "edges"))
+    edges = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    inner = written(with_degrees(edges).where("ins = 1 AND outs = 1").select("path"), "inner")
+    runs = rings = None
+    if not inner.isEmpty():
+        at_src, at_dst = inner.select(F.col("path").alias("src")), inner.select(F.col("path").alias("dst"))
+        run = written(doubled(edges.join(at_dst, "dst").select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(0).alias("a"), F.lit(1).alias("b"))), "run")
+        rings = run.where("ring").select(F.col("node").alias("path"), F.col("least").alias("component"))
+        open_ = run.where("NOT ring").select(F.col("node").alias("path"), F.col("end").alias("head"))
+        # every node of a run: its head, and the tail by the run's last node, which is farthest behind the head on the way there
+        back = doubled(edges.join(at_src, "src").join(run.where("NOT ring").select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+        runs = written(open_.join(back.select(F.col("node").alias("path"), F.col("end").alias("tail")), "path"), "runs")
+        kept = edges.join(at_src, "src", "left_anti").join(at_dst, "dst", "left_anti").select("src", "dst")
+        edges = written(kept.unionByName(runs.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct(), "edges")
+    # a run from a node back to it makes a component of both
+    tied = edges.where("src = dst").select(F.col("src").alias("path"), F.col("src").alias("component"))
+    edges = _trimmed(edges.where("src <> dst"))
     found = None
     while not edges.isEmpty():
         both = _ends(edges)
@@ -133,28 +188,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
         a, b = open_.select(F.col("path").alias("src"), F.col("k").alias("ks")), open_.select(F.col("path").alias("dst"), F.col("k").alias("kd"))
         edges = _trimmed(written(edges.join(a, "src").join(b, "dst").where("ks = kd").select("src", "dst"), "edges"))
     alone = loops.select("path", F.col("path").alias("component"))
-    if found is None:
-        return alone.select(F.col("path").cast(kind), F.col("component").cast(kind))
-    large = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component").select("path", "component")
-    return large.unionByName(alone.join(large, "path", "left_anti"))
-
-
-def chains(edges: DataFrame, longer_than: int, keep: int = 10) -> DataFrame:
-    """(chain, length, nodes): the ``keep`` longest simple paths of more than ``longer_than`` and at most ``longer_than + 4`` nodes.
-
-    Longest first, then by the path as text. Paths grow by one join a round.
-    """
-    steps = written(edges.where("src <> dst").select("src", "dst").distinct(), "steps")
-    grown = steps.select(F.array("src", "dst").alias("nodes"), F.col("dst").alias("last"))
-    best = None
-    for n in range(2, longer_than + 5):
-        grown = written(grown, "paths")
-        if grown.isEmpty():
-            break
-        if n > longer_than:
-            part = grown.select(F.array_join("nodes", " > ").alias("chain"), F.lit(n).alias("length"), "nodes")
-            best = part if best is None else best.unionByName(part)
-        grown = grown.join(steps, F.col("last") == F.col("src")).where(~F.array_contains("nodes", F.col("dst"))).select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.col("dst").alias("last"))
-    if best is None:
-        best = grown.limit(0).select(F.lit("").alias("chain"), F.lit(0).alias("length"), "nodes")
-    return best.orderBy(F.desc("length"), "chain").limit(keep)
+    if found is not None:
+        large = found.join(found.groupBy("component").count().where("count > 1").select("component"), "component").select("path", "component")
+        tied = large.unionByName(tied.join(large, "path", "left_anti"))
+    if runs is not None:
+        tied = written(tied, "tied")
+        ends = runs.join(tied.select(F.col("path").alias("head"), "component"), "head").join(tied.select(F.col("path").alias("tail"), F.col("component").alias("other")), "tail")
+        tied = tied.unionByName(ends.where(F.col("component") == F.col("other")).select("path", "component"))
+        # names again, as a node of a run may be the smallest
+        named = tied.groupBy("component").agg(F.min("path").alias("name"))
+        tied = tied.join(named, "component").select("path", F.col("name").alias("component")).unionByName(rings)
+    tied = written(tied, "components")
+    return tied.unionByName(alone.join(tied, "path", "left_anti")).select(F.col("path").cast(kind), F.col("component").cast(kind))

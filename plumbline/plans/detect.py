@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
-from ..operators.graph import chains, degrees, strong_components
-from ..shared import written
+from ..operators.chains import chains
+from ..operators.graph import degrees, strong_components
+from .budget import token_pack as token_pack
 
 SEVERITY = {"info": 0, "warn": 1, "warning": 1, "error": 2}
 
@@ -161,8 +162,8 @@ def low_cohesion(modules: DataFrame, t: Thresholds = Thresholds(), imports: Data
     return found.select("path", F.round("score", 6).alias("score"), "internal", "crates", "top")
 
 
-def deep_chains(edges: DataFrame, t: Thresholds = Thresholds(), keep: int = 10) -> DataFrame:
-    return chains(edges, t.max_dependency_depth, keep)
+def deep_chains(edges: DataFrame, t: Thresholds = Thresholds(), keep: int = 10, components: DataFrame | None = None) -> DataFrame:
+    return chains(edges, t.max_dependency_depth, keep, components)
 
 
 def at_least(issues: DataFrame, severity: str) -> DataFrame:
@@ -180,31 +181,3 @@ def importance(modules: DataFrame, edges: DataFrame, counts: DataFrame) -> DataF
     kinds = counts.select("path", (F.col("structs") + F.col("enums")).alias("data"))
     score = 2 * F.col("fan_in") + F.col("fan_out") + F.when(core, 10).otherwise(0) + 1.5 * F.coalesce("data", F.lit(0))
     return degrees(modules, edges).join(kinds, "path", "left").select("path", F.round(score, 6).alias("score"))
-
-
-def token_pack(modules: DataFrame, budget: int, reserve: int = 800, step: int = 10_000) -> DataFrame:
-    """(path, choice) of modules (rank, path, full, short) that go into a token budget.
-
-    In order of rank, then path, a module goes in whole if its ``full`` tokens fit, else ``short`` if those fit,
-    else not; later, smaller ones may still fit. A null size doesn't fit. A budget takes few modules: the next ``step``
-    of those that fit into what is left are looked at, then the ones after them, until none fits. Sizes are positive.
-    """
-    spark, left = modules.sparkSession, max(0, budget - reserve)
-    never = F.lit(2**62)
-    sizes = modules.select("rank", "path", F.coalesce("full", never).alias("full"), F.coalesce("short", never).alias("short")).where(F.least("full", "short") <= left)
-    each = written(sizes.groupBy("rank", "path", "full", "short").agg(F.count("*").alias("n")), "sizes")
-    chosen, after = [], None
-    while True:
-        rest = each.where(F.least("full", "short") <= left)
-        if after is not None:
-            rest = rest.where(F.struct("rank", "path", "full", "short") > F.struct(*(F.lit(x) for x in after)))
-        rows = rest.orderBy("rank", "path", "full", "short").limit(step).collect()  # at most ``step``
-        for r in rows:
-            for _ in range(r["n"]):
-                if min(r["full"], r["short"]) > left:
-                    break
-                chosen.append((r["path"], "full" if r["full"] <= left else "short"))
-                left -= r["full"] if r["full"] <= left else r["short"]
-        if len(rows) < step:
-            return spark.createDataFrame(chosen, "path string, choice string")
-        after = rows[-1][:4]

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Extensions by language.
 LANGUAGES = {"rust": ["rs"], "typescript": ["ts", "tsx", "js", "jsx"], "python": ["py"]}
@@ -72,10 +73,10 @@ def _ignored(path: str, is_folder: bool, rules: list[tuple[str, list]]) -> bool:
     return out
 
 
-def listed(root: str, languages: str = "", exclude: list[str] | None = None) -> Iterator[str]:
+def listed(root: str, languages: str = "", exclude: list[str] | None = None, top: set[str] | None = None) -> Iterator[str]:
     """Paths below ``root`` in order; a folder goes if its path ends in an excluded one or holds it.
 
-    If ``root`` or a folder above it holds .git, the .gitignore files from there on count.
+    ``top`` restricts them to those below, or equal to, entries of ``root`` of these names. If ``root`` or a folder above it holds .git, the .gitignore files from there on count.
     """
     kinds, leave = extensions(languages), [x.strip("/") for x in exclude or [] if x.strip("/")]
     root = os.path.normpath(root)
@@ -88,6 +89,8 @@ def listed(root: str, languages: str = "", exclude: list[str] | None = None) ->
         inner = lambda x: f"/{os.path.relpath(os.path.join(folder, x), root)}/"  # noqa: B023, E731
         gone = lambda x, is_folder: x.startswith(".") or _ignored(os.path.join(folder, x), is_folder, own)  # noqa: B023, E731
         folders[:] = sorted(x for x in folders if not gone(x, True) and not any(f"/{e}/" in inner(x) for e in leave))
+        if top is not None and folder == root:
+            folders[:], names = [x for x in folders if x in top], [x for x in names if x in top]
         for x in sorted(names):
             if x.rpartition(".")[2] in kinds and not gone(x, False) and not any(inner(x).endswith(f"/{e}/") for e in leave):
                 yield os.path.join(folder, x)
@@ -129,3 +132,57 @@ class SourceTree(DataSource):
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
+
+
+@dataclass
+class _Entries(InputPartition):
+    names: list[str]
+
+
+class _ListingReader(DataSourceStreamReader):
+    """Every scan is an offset, the time it began. Tasks list what lies below some entries of the root each.
+
+    A scan that runs again after a failure may find a later state of the tree; who compares it with a state of their own,
+    kept with the scan's results, sees each change once all the same.
+    """
+
+    def __init__(self, options: dict):
+        self.root = os.path.realpath(options["root"], strict=True)
+        self.languages, self.exclude = options.get("languages", ""), options.get("exclude", "").split(",")
+        self.tasks = int(options.get("tasks", "8"))
+        self.last = 0
+
+    def initialOffset(self) -> dict:
+        return {"scan": 0}
+
+    def latestOffset(self) -> dict:
+        self.last = max(self.last + 1, time.time_ns() // 1_000_000)
+        return {"scan": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[_Entries]:
+        names = sorted(os.listdir(self.root))
+        return [_Entries(names[k :: self.tasks]) for k in range(min(self.tasks, len(names)))] or [_Entries([])]
+
+    def read(self, partition: _Entries) -> Iterator[tuple[str, int]]:
+        for path in listed(self.root, self.languages, self.exclude, set(partition.names)):
+            try:
+                yield path, os.stat(path).st_mtime_ns // 1000
+            except OSError:
+                continue  # gone meanwhile
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class SourceTreeListing(DataSource):
+    """A stream of whole listings, (path, mtime): each trigger lists the tree once. Options: root, languages, exclude, tasks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree_listing"
+
+    def schema(self) -> str:
+        return "path string, mtime long"
+
+    def streamReader(self, schema) -> _ListingReader:
+        return _ListingReader(self.options)

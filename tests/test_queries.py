@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from plumbline import catalog
 from plumbline.functions import paths
 from plumbline.operators import graph, resolve
+from plumbline.plans import budget as budgets
 from plumbline.plans import detect
+from plumbline.shared import settings
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
-QUICK = [n for n in catalog.QUERIES if n not in ("cycles", "graph_links", "topo_layers", "impact_by_depth")]
+QUICK = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +98,33 @@ def test_token_pack_skips(spark):
     assert {r.path: r.choice for r in detect.token_pack(m, 810).collect()} == {"a": "full", "c": "full"}
 
 
+def brute_pack(rows, budget):
+    """Rows in order, nulls last; each in full, else short, else not at all."""
+    left, out = max(0, budget - 800), []
+    last = lambda x: (x is None, x)
+    size = lambda x: 2**62 if x is None else max(0, x)
+    for _, path, full, short in sorted(rows, key=lambda r: (last(r[0]), last(r[1]), size(r[2]), size(r[3]))):
+        for n, choice in ((size(full), "full"), (size(short), "short")):
+            if n <= left:
+                left -= n
+                out.append((path, choice))
+                break
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("fan_in", "batch", "budget"), [(64, 10_000, 900), (2, 3, 900), (2, 3, 800), (3, 7, 3000), (2, 5, 0)])
+def test_token_pack(spark, monkeypatch, fan_in, batch, budget):
+    monkeypatch.setattr(budgets, "FAN_IN", fan_in)
+    rng = random.Random(budget + batch)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c", "d", None]), rng.choice([0, 5, 20, 90, 400, None, -1]), rng.choice([0, 1, 3, 9, 40, None])) for _ in range(150)]
+    rows += [(2, "zero", 0, 0)] * 20 + [(1, "same", 7, 2)] * 5
+    m = spark.createDataFrame(rows, "rank int, path string, full long, short long")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(batch)):
+        got = sorted(map(tuple, detect.token_pack(m, budget).collect()), key=repr)
+    assert got == brute_pack(rows, budget)
+    assert detect.token_pack(m.limit(0), 900).count() == 0
+
+
 def test_boundaries(spark):
     src = spark.createDataFrame([("a.rs", 'x("SELECT 1")\nSELECT 2\nfetch(1)'), ("db/b.rs", "SELECT 1"), ("c.rs", "SELECT 1\nSELECT 2")], "path string, content string")
     hits = detect.boundary_hits(src, detect.BOUNDARIES)

@@ -1,9 +1,11 @@
 """The source tree reader and the watch on it."""
 
+import os
 import time
 
+from plumbline.shared import settings
 from plumbline.sources import parse, tree
-from plumbline.streaming.watch import watch
+from plumbline.streaming.watch import STORE, changes, tree_listings, watch
 
 
 def test_tree_and_watch(spark, tmp_path):
@@ -17,7 +19,7 @@ def test_tree_and_watch(spark, tmp_path):
     assert {r.path[base:] for r in read(languages="python,cobol").collect()} == {"src/__init__.py"}
     assert {r.path[base:]: r.imports for r in parse.modules(read()).collect()}["src/__init__.py"] == ["x"]
     seen = []
-    query = watch(spark, read, lambda changes, tick: seen.append({(r.path[base:], r.status) for r in changes.collect()}))
+    query = watch(spark, str(tmp_path), lambda changes, tick: seen.append({(r.path[base:], r.status) for r in changes.collect()}), exclude="target")
     try:
         until = time.time() + 60
         while time.time() < until and not (query.lastProgress and query.lastProgress["batchId"] >= 1):
@@ -31,6 +33,44 @@ def test_tree_and_watch(spark, tmp_path):
     assert set().union(*seen) >= {("src/new.rs", "added")} and {("src/a.rs", "deleted")} <= set().union(*seen)
 
 
+def test_changes_are_given_once(spark, tmp_path):
+    """The query stops and starts again from its checkpoint; a file sink takes each change once."""
+    root, out, at = tmp_path / "tree", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for name in ("a/x.py", "b/y.py", "z.py", "n.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("")
+
+    def run(*want: tuple[str, str]) -> None:
+        with settings(spark, spark__sql__streaming__stateStore__providerClass=STORE):
+            query = changes(tree_listings(spark, str(root))).writeStream.option("checkpointLocation", at).trigger(processingTime="0 seconds").start(out, "parquet")
+        try:
+            until = time.time() + 90
+            while time.time() < until and query.isActive and not set(want) <= set(got()):
+                time.sleep(0.5)
+            assert query.exception() is None
+        finally:
+            query.stop()
+
+    def got() -> list[tuple[str, str]]:
+        try:
+            return sorted((r.path[len(str(root)) + 1 :], r.status) for r in spark.read.schema("path string, status string, mtime long").parquet(out).collect())
+        except Exception:  # nothing is written yet
+            return []
+
+    first = [("a/x.py", "added"), ("b/y.py", "added"), ("z.py", "added")]
+    run(*first)
+    assert got() == sorted(first)
+    (root / "z.py").unlink()
+    (root / "b/new.py").write_text("")
+    os.utime(root / "a/x.py", (1, 1))
+    later = [("z.py", "deleted"), ("b/new.py", "added"), ("a/x.py", "modified")]
+    run(*later)
+    assert got() == sorted(first + later)
+    (root / "w.py").write_text("")
+    run(("w.py", "added"))
+    assert sorted(got()) == sorted([*first, *later, ("w.py", "added")])
+
+
 def test_gitignore(tmp_path, monkeypatch):
     root = tmp_path / "repo/inner"
     ignored = "# build\n/out\n*.gen.rs\n!keep.gen.rs\nlogs/\n**/tmp/*.py\na/**/z.rs\n[!a]x.rs\n\\!odd.rs\n[\n"
