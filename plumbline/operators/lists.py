@@ -15,27 +15,38 @@ def doubled(links: DataFrame) -> DataFrame:
 
     A link is the function x -> max(a, x + b) of what stands at ``to``. Links are followed until ``end`` is no node with a
     link; ``a`` and ``b`` are those of all functions on the way together, so b adds up and, with b = 1, counts steps. ``least`` is
-    the smallest node on the way, without the end. A node on a ring has no end: ``ring`` is true, and least is the ring's smallest.
+    the smallest of what follows on the way. A node on a ring has no end: ``ring`` is true, and least is the ring's smallest.
 
-    A round follows each link's link, so rounds are as many as the logarithm of the longest way.
+    A round follows each link's link, so rounds are as many as the logarithm of the longest way, or ring: a node that
+    follows itself as the smallest is on a ring, and so is every node on whose way it is the smallest of all.
     """
-    table = written(links.select("node", F.col("to").alias("end"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("node").alias("least"), F.lit(True).alias("open")), "links")
+    table = written(links.select("node", F.col("to").alias("end"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("to").alias("least"), F.lit(False).alias("ring"), F.lit(True).alias("open")), "links")
     rounds = 0
+
+    def kept(new: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        own = F.col("open") & (F.col("least") == F.col("node"))
+        new = written(new.observe(seen, F.count_if("open").alias("open"), F.count_if(own).alias("own"), F.count("*").alias("nodes")), "links")
+        return new, {"open": 0, "own": 0, "nodes": 0} | seen.get
+
     while True:
         next_ = table.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("least").alias("fl"))
         # nodes whose way has ended don't ask again
         met = table.where("open").join(next_, "end", "left")
         on = F.col("far").isNotNull()
         a = F.when(on, F.greatest("a", F.col("fa") + F.col("b"))).otherwise(F.col("a"))
-        moved = met.select("node", F.coalesce("far", "end").alias("end"), a.alias("a"), F.when(on, F.col("b") + F.col("fb")).otherwise(F.col("b")).alias("b"), F.least("least", "fl").alias("least"), on.alias("open"))
-        seen = Observation()
-        new = written(table.where("NOT open").unionByName(moved).observe(seen, F.count_if("open").alias("open"), F.count("*").alias("nodes")), "links")
+        moved = met.select("node", F.coalesce("far", "end").alias("end"), a.alias("a"), F.when(on, F.col("b") + F.col("fb")).otherwise(F.col("b")).alias("b"), F.least("least", "fl").alias("least"), "ring", on.alias("open"))
+        new, seen = kept(table.where("NOT open").unionByName(moved))
         dropped(table)
         table, rounds = new, rounds + 1
-        if not seen.get.get("open"):
-            return table.select("node", "end", "a", "b", "least", F.lit(False).alias("ring"))
-        if 2 ** (rounds - 1) > seen.get["nodes"]:  # a way that ends has been told so
-            return table.select("node", "end", "a", "b", "least", F.col("open").alias("ring"))
+        if seen["own"] and (rounds > 2 or seen["own"] == seen["open"]):
+            heads = table.where(F.col("open") & (F.col("least") == F.col("node"))).select(F.col("node").alias("least"), F.lit(True).alias("head"))
+            marked = table.join(heads, "least", "left").withColumn("ring", F.col("ring") | F.col("open") & F.col("head").isNotNull()).withColumn("open", F.col("open") & F.col("head").isNull()).drop("head")
+            new, seen = kept(marked.select(table.columns))
+            dropped(table)
+            table = new
+        if not seen["open"] or 2 ** (rounds - 1) > seen["nodes"]:  # a way that ends has been told so by then
+            return table.select("node", "end", "a", "b", "least", (F.col("ring") | F.col("open")).alias("ring"))
 
 
 def with_degrees(edges: DataFrame) -> DataFrame:

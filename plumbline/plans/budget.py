@@ -137,7 +137,7 @@ def token_pack(modules: DataFrame, budget: int, reserve: int = 800) -> DataFrame
 
     levels, nodes = [rows.select("node", "spend")], total
 
-    def composed(key, table: pa.Table) -> pa.Table:
+    def composed(key, table):
         table = table.sort_by("node")
         done = Spend(most)
         for raw in table["spend"].to_pylist():
@@ -145,7 +145,7 @@ def token_pack(modules: DataFrame, budget: int, reserve: int = 800) -> DataFrame
             done = done.then(later.start, later.off)
         return pa.table({"node": [key[0].as_py()], "spend": pa.array([done.pack()], pa.binary())})
 
-    def entered(key, table: pa.Table) -> pa.Table:
+    def entered(key, table):
         table = table.sort_by("node")
         left, out = table["left"][0].as_py(), []
         for raw in table["spend"].to_pylist():
