@@ -1,25 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks. With weight w, block j of a source (from 0) is released at slot
-floor(j / w) and due by slot ceil((j + 1) / w); of the released blocks the one due first takes the slot. At every
+Each source's rows are cut into blocks. With weight w, its share of all weights, block j of a source (from 0) is released at
+slot floor(j / w) and due by slot ceil((j + 1) / w); of the released blocks the one due first takes the slot. At every
 slot each source with blocks left has had its weight's share, less than one block off. A source that has run
 out leaves its slots empty; what is left keeps its order and its ratios.
 
-Sources of one weight, to within half a step of ``2 ** (1 / STEPS)``, are a class: what the scheduler sees is
-classes, each with the weight of its members together, and the members take turns. With m members, turns are at most
+Weights are the exact values of their floating-point numbers, and releases and deadlines follow from them in whole numbers
+of any length, so nothing is rounded and nothing adds up. Sources of one weight and as many blocks are a class: what the scheduler
+sees is classes, each with the weight of its members together, and the members take turns. With m members, turns are at most
 1 - 1/m of a block off the class's blocks / m, and the class is less than one block off its own share, of which
-a member has 1/m; so each member is less than one block off. The classes' number depends on the range of weights,
-not on the number of sources. Weights of classes are whole numbers of slots in a period; as the schedule starts anew
-with each period, the table of one period gives every block of every source its slot by arithmetic.
+a member has 1/m; so each member is less than one block off.
 
-Where the weights' exact ratios fit into a period of ``EXACT_PERIOD`` slots, as those of ``size_weights`` do, a class
-has one exact weight and nothing is rounded: no source is ever a block off its share, over any number of periods.
+The plan has a row for each block. Blocks are as long as needed to be SLOTS or fewer, besides one for each source.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
@@ -28,130 +28,95 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..shared import written
 from ._ranks import ranked
 
-#: Least slots of a period, rows of a block, classes in a doubling of weights, exponent of a source's size.
-PERIOD, BLOCK_ROWS, STEPS, EXPONENT = 1024, 64, 128, 0.5
-#: Slots that the least class shall have in a period, as long as the period has at most so many.
-LEAST_SLOTS, LONG_PERIOD = 16, 1 << 16
-#: Slots of a period that keeps exact weights, at most; largest weight that a source's size gives; largest denominator of a weight.
-EXACT_PERIOD, WHOLE, DENOMINATOR = 1 << 18, 1024, 10_000
-
-
-def quanta(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole slots of a period for each weight: at least one, in all ``period``, by largest remainders."""
-    if not weights or len(weights) > period or min(weights) < 0 or sum(weights) <= 0:
-        raise ValueError("weights must be 1 to `period` numbers, none negative, not all zero")
-    free, total = period - len(weights), sum(weights)
-    exact = [w * period / total for w in weights]
-    spare = [max(0.0, x - 1) for x in exact]
-    share = [x * free / (sum(spare) or 1) for x in spare]
-    out = [1 + int(x) for x in share]
-    for k in sorted(range(len(out)), key=lambda k: (int(share[k]) - share[k], k))[: period - sum(out)]:
-        out[k] += 1
-    if sum(out) < period:  # all weights are below one slot
-        out[0] += period - sum(out)
-    return out
-
-
-def schedule(slots: list[int]) -> list[tuple[int, int, int]]:
-    """(slot, source, block) of one period, by earliest deadline among released blocks; sum(slots) is the period."""
-    period = sum(slots)
-    waiting = [(0, s, 0) for s in range(len(slots))]
+#: Least rows of a block, whole blocks of a plan at most, exponent of a source's size.
+BLOCK_ROWS, SLOTS, EXPONENT = 64, 1 << 18, 0.5
+#: Plans of more rows are joined by a shuffle. A row has three longs.
+BROADCAST_ROWS = 1 << 19
+
+
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the ratios of the weights, which are all above zero and finite."""
+    exact = [Fraction(w) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("a weight isn't above zero")
+    common = math.lcm(*(w.denominator for w in exact))
+    out = [int(w * common) for w in exact]
+    divisor = math.gcd(*out) or 1
+    return [x // divisor for x in out]
+
+
+def schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block), in turn, by earliest deadline among released blocks; sources with ``blocks`` each."""
+    total = sum(weights)
+    waiting = [(0, s, 0) for s, n in enumerate(blocks) if n]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
         due, s, j = heapq.heappop(ready)
         assert due > t
-        out.append((t, s, j))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
-    return out
+        yield t, s, j
+        t += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
 
 
 def size_weights(docs: DataFrame, source_col: str = "source", exponent: float = EXPONENT) -> DataFrame:
-    """(source, weight): for every source, null too, its rows to the power ``exponent``, as a whole number of at least one.
-
-    The largest is WHOLE, or less where there are so many sources that all together would be above EXACT_PERIOD.
-    """
+    """(source, weight): for every source, null too, its rows to the power ``exponent``."""
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).count()
-    sizes = written(sizes.select("source", F.pow("count", F.lit(exponent)).alias("size")), "sizes")
-    top, total, n = sizes.agg(F.max("size"), F.sum("size"), F.count("*")).first()
-    scale = min(WHOLE / top, max(0, EXACT_PERIOD - n) / total) if n else 1.0
-    # rounded half up for the largest scale; a smaller one leaves no room for more than the whole part
-    half = 0.5 if n and scale * total + n / 2 <= EXACT_PERIOD - n else 0.0
-    return sizes.select("source", F.greatest(F.lit(1.0), F.floor(F.col("size") * scale + half).cast("double")).alias("weight"))
-
-
-def whole_slots(weights: list[tuple[float, int]], most: int = EXACT_PERIOD) -> list[int] | None:
-    """Slots of each (weight, members) in the shortest period that keeps all ratios; None if it has more than ``most`` slots."""
-    exact = [Fraction(w).limit_denominator(DENOMINATOR) for w, _ in weights]
-    if any(float(x) != w for x, (w, _) in zip(exact, weights, strict=True)):
-        return None
-    common = math.lcm(*(x.denominator for x in exact))
-    slots = [int(x * common) * m for x, (_, m) in zip(exact, weights, strict=True)]
-    divisor = math.gcd(*slots) or 1
-    return [x // divisor for x in slots] if 0 < sum(slots) // divisor <= most else None
-
-
-def fitting_period(weights: list[float], least: int = PERIOD) -> int:
-    """``least`` doubled until the least weight has LEAST_SLOTS or LONG_PERIOD is reached, and until there are four slots for each weight."""
-    period = least
-    while period < 4 * len(weights) or period < LONG_PERIOD and min(weights) * period < LEAST_SLOTS * sum(weights):
-        period *= 2
-    return period
-
-
-def _members(docs: DataFrame, weights: DataFrame, source_col: str) -> DataFrame:
-    """(_source, _weight) of every source in ``docs``, as a table."""
-    worst, least = weights.agg(F.min("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
-    if worst is not None and (worst < 0 or least is None):
-        raise ValueError("weights must not be negative, nor all zero")
+    return sizes.select("source", F.pow("count", F.lit(exponent)).alias("weight"))
+
+
+def _members(docs: DataFrame, weights: DataFrame, source_col: str, block_rows: int | None) -> tuple[DataFrame, int]:
+    """(_source, _weight, _blocks) of every source in ``docs``, as a table; and the rows of a block."""
+    worst, least, top = weights.agg(F.min("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight"))), F.max("weight")).first()
+    if worst is not None and (worst < 0 or least is None or not math.isfinite(top)):
+        raise ValueError("weights must be finite, none negative, not all zero")
     given = weights.where("weight > 0").select(F.col("source").cast("string").alias("_name"), F.col("weight").cast("double").alias("_weight"))
-    sources = docs.select(F.col(source_col).cast("string").alias("_source")).distinct()
-    weight = F.coalesce("_weight", F.lit(float(least or 1.0)))
+    sources = written(docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count("*").alias("_rows")), "sizes")
+    if block_rows is None:
+        block_rows = max(BLOCK_ROWS, -(-(sources.agg(F.sum("_rows")).first()[0] or 0) // SLOTS))
     found = sources.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left")
-    return written(found.select("_source", weight.alias("_weight")), "sources")
+    blocks = F.ceil(F.col("_rows") / block_rows).cast("long")
+    return written(found.select("_source", F.coalesce("_weight", F.lit(float(least or 1.0))).alias("_weight"), blocks.alias("_blocks")), "sources"), block_rows
 
 
-def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], block_rows: int = BLOCK_ROWS, period: int = PERIOD, source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | list[tuple[str | None, float]], block_rows: int | None = None, source_col: str = "source") -> DataFrame:
     """``docs`` with ``mix_block`` (within its source), ``mix_slot`` and ``mix_place`` (within the block).
 
     Order by slot, then place, is the mixed order. Every row stays, once, and every source is one of its own.
     ``weights`` is a table (source, weight), each source once, or a list of such pairs. Sources without a weight, or of weight zero, null
-    among them unless it has one, each have the least weight above zero. ``period`` is the least number of slots in a
-    period. Within a source, rows come in an order that hashes of their contents give. ``docs`` must read the same each time,
+    among them unless it has one, each have the least weight above zero. ``block_rows`` is BLOCK_ROWS, or more where there would be more than
+    SLOTS whole blocks. Within a source, rows come in an order that hashes of their contents give. ``docs`` must read the same each time,
     as a table does; all its columns are kept, those of the new names replaced. Repeated rows stay. An empty table stays empty.
     """
     spark = docs.sparkSession
     if not isinstance(weights, DataFrame):
         weights = spark.createDataFrame([(s, float(w)) for s, w in weights], "source string, weight double")
-    members = _members(docs, weights, source_col)
-    # distinct whole numbers whose sum is at most EXACT_PERIOD are fewer than the root of twice that
-    apart = members.groupBy("_weight").count().orderBy("_weight").limit(math.isqrt(2 * EXACT_PERIOD) + 1).collect()
-    exact = whole_slots([(r["_weight"], r["count"]) for r in apart]) if len(apart) <= math.isqrt(2 * EXACT_PERIOD) else None
-    name = F.col("_weight") if exact else F.round(F.log2("_weight") * STEPS)
-    members, sizes = ranked(members.select("_source", name.cast("double").alias("_class")), "_class")
-    classes = sorted((r["_class"], r["_m"]) for r in sizes.groupBy("_class").agg(F.sum("_n").alias("_m")).collect()) or [(0.0, 1)]
-    if exact:
-        slots, period = exact, sum(exact)
-    else:
-        top = classes[-1][0]
-        shares = [m * 2.0 ** max(-1000.0, (c - top) / STEPS) for c, m in classes]
-        slots = quanta(shares, period := fitting_period(shares, period))
-    per_class = spark.createDataFrame([(c, m, q) for (c, m), q in zip(classes, slots, strict=True)], "_c double, _m long, _q long")
-    members = members.join(F.broadcast(per_class), F.col("_class") == F.col("_c")).select("_source", "_class", F.col("_rank").alias("_turn"), "_m", "_q")
+    members, block_rows = _members(docs, weights, source_col, block_rows)
+    members, sizes = ranked(members, "_weight", "_blocks")
+    # a row for each weight and number of blocks
+    classes = sorted((r["_weight"], r["_blocks"], r["_m"]) for r in sizes.groupBy("_weight", "_blocks").agg(F.sum("_n").alias("_m")).collect())
+    table = spark.createDataFrame([(k, *c) for k, c in enumerate(classes)], "_class long, _w double, _b long, _m long")
+    members = members.join(F.broadcast(table), (F.col("_weight") == F.col("_w")) & (F.col("_blocks") == F.col("_b"))).select("_source", "_class", F.col("_rank").alias("_turn"), "_m")
     keep = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_place")]
-    found, _ = ranked(docs.select(F.struct(*keep).alias("_row"), F.col(source_col).cast("string").alias("_source")), "_source", also=members)
+    found, _ = ranked(docs.select(F.struct(*(f"`{c}`" for c in keep)).alias("_row"), F.col(source_col).cast("string").alias("_source")), "_source", also=members)
     found = found.withColumn("mix_block", F.floor(F.col("_rank") / block_rows)).withColumn("mix_place", (F.col("_rank") % block_rows).cast("int"))
     found = found.withColumn("_i", F.col("mix_block") * F.col("_m") + F.col("_turn"))
-    order = schedule(slots)
-    # as many rows as the period has slots, at most EXACT_PERIOD or what the classes need, whatever the number of rows
-    plan = spark.createDataFrame(pa.table({"_s": pa.array([classes[s][0] for _, s, _ in order], pa.float64()), "_j": pa.array([j for *_, j in order], pa.int64()), "_t": pa.array([t for t, *_ in order], pa.int64())}))
-    placed = found.join(F.broadcast(plan), (F.col("_class") == F.col("_s")) & (F.col("_i") % F.col("_q") == F.col("_j")))
-    return placed.select("_row.*", "mix_block", (F.floor(F.col("_i") / F.col("_q")) * period + F.col("_t")).cast("long").alias("mix_slot"), "mix_place")
+    shares = [w * m for w, (*_, m) in zip(whole([w for w, *_ in classes]) if classes else [], classes, strict=True)]
+    at, own, number = array("q"), array("q"), array("q")
+    for t, s, j in schedule(shares, [b * m for _, b, m in classes]):
+        at.append(t)
+        own.append(s)
+        number.append(j)
+    plan = spark.createDataFrame(pa.table({"_s": pa.array(own, pa.int64()), "_j": pa.array(number, pa.int64()), "mix_slot": pa.array(at, pa.int64())}))
+    placed = found.join(F.broadcast(plan) if len(at) <= BROADCAST_ROWS else plan, (F.col("_class") == F.col("_s")) & (F.col("_i") == F.col("_j")))
+    return placed.select("_row.*", "mix_block", "mix_slot", "mix_place")
 
 
 def in_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
