@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Labelled URLs that training takes at most, trees, depth, bins, rate, penalty.
 MAX_TRAINING_ROWS, TREES, DEPTH, BINS, RATE, PENALTY = 20_000, 40, 3, 32, 0.2, 1.0
+#: Parts of the training rows; a row's suffix rate comes from the other parts.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,26 +106,39 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
+def suffix_rates(hosts: list[str], y: np.ndarray, base: float) -> dict[str, float]:
+    """The rate of bad rows of every suffix, drawn towards ``base`` as by ten more rows."""
+    each = pd.DataFrame({"s": [suffix(h) for h in hosts], "y": y}).groupby("s")["y"].agg(["sum", "count"])
+    return ((each["sum"] + 10 * base) / (each["count"] + 10)).to_dict()
+
+
 def _with_suffix(x: np.ndarray, hosts: list[str], rates: dict[str, float], base: float) -> np.ndarray:
     return np.column_stack([x, [rates.get(suffix(h), base) for h in hosts]])
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> dict:
-    """A model from (url, host, path, bad) rows: the ``max_rows`` of smallest hash. Without rows, or of one sort only, it gives their rate."""
+    """A model from (url, host, path, bad) rows: the ``max_rows`` of smallest hash. Without rows, or of one sort only, it gives their rate.
+
+    Bytes that aren't UTF-8 count as U+FFFD.
+    """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         urls, hosts, paths, y = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
         y = np.array(y, dtype=np.float64)
         base = (y.sum() + 1) / (len(y) + 2)
-        each = pd.DataFrame({"s": [suffix(h) for h in hosts], "y": y}).groupby("s")["y"].agg(["sum", "count"])
-        each = each.sort_values("count", ascending=False).head(500)
-        rates = ((each["sum"] + 10 * base) / (each["count"] + 10)).to_dict()
-        model = Trees.fit(_with_suffix(lexical(urls, hosts, paths), hosts, rates, base), y).model
+        fold = np.arange(len(y)) % FOLDS
+        x, own = lexical(urls, hosts, paths), np.full(len(y), base)
+        for k in range(FOLDS):  # a row's own label has no part in its suffix's rate
+            others, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            known = suffix_rates([hosts[n] for n in others], y[others], base)
+            own[mine] = [known.get(suffix(hosts[n]), base) for n in mine]
+        rates = suffix_rates(hosts, y, base)
+        model = Trees.fit(np.column_stack([x, own]), y).model
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model | {"rates": rates, "rate": float(base)})])], names=["model"])
 
     sample = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows).repartition(1)
-    row = sample.select("url", "host", "path", F.col("bad").cast("int")).mapInArrow(fit, "model string").first()
+    row = sample.select(*(F.make_valid_utf8(c).alias(c) for c in ("url", "host", "path")), F.col("bad").cast("int").alias("bad")).mapInArrow(fit, "model string").first()
     return json.loads(row["model"]) if row else {"base": 0.0, "trees": [], "rates": {}, "rate": 0.5}
 
 
@@ -131,7 +146,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_rows:
     """``pages`` with host, path, rule and verdict; columns of ``pages`` of these names are replaced.
 
     A rule's verdict holds where one fits; else the trees block at a probability of ``threshold`` or more. A
-    null or malformed URL has empty parts and is judged by the trees as an empty one. Rows are kept as they are.
+    null or malformed URL has empty parts and is judged by the trees as an empty one. Bytes that aren't UTF-8 count as U+FFFD, in host
+    and path too. Rows are kept as they are.
     """
     host, path = parts(F.col(url_col))
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
@@ -143,12 +159,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_rows:
     trees, rates, base = Trees({"base": model["base"], "trees": model["trees"]}), model["rates"], model["rate"]
 
     @F.pandas_udf("double")
-    def bad(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        hosts = host.tolist()
-        x = lexical([u if isinstance(u, str) else None for u in url], hosts, path.tolist())
-        return pd.Series(trees.probability(_with_suffix(x, hosts, rates, base)))
-
-    unruled = F.when(bad(F.col(url_col), F.col("host"), F.col("path")) >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    def bad(open_: pd.Series, url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
+        out, open_ = np.zeros(len(url)), open_.to_numpy(dtype=bool)
+        hosts = host[open_].tolist()
+        x = lexical([u if isinstance(u, str) else None for u in url[open_]], hosts, path[open_].tolist())
+        out[open_] = trees.probability(_with_suffix(x, hosts, rates, base))
+        return pd.Series(out)
+
+    valid = [F.make_valid_utf8(c) for c in (F.col(url_col), F.col("host"), F.col("path"))]
+    unruled = F.when(bad(F.col("verdict").isNull(), *valid) >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return found.withColumn("verdict", F.coalesce("verdict", unruled))
 
 

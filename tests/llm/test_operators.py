@@ -288,14 +288,19 @@ def test_quality(spark, none):
 
 
 def test_mixing(docs, none, spark):
-    for weights in ([1.0], [5, 3, 1, 0.5], [1e-6, 1.0], [0.2] * 7):
-        slots = mixing.quanta(weights, 64)
-        assert sum(slots) == 64 and min(slots) >= 1
+    for weights in ([1.0], [5, 3, 1, 0.5], [1e-6, 1.0], [0.2] * 7, [1 / 3.0001, 0.123457, 0.777771]):
+        slots, total = mixing.whole(weights), sum(Fraction(w) for w in weights)
+        assert [Fraction(x, sum(slots)) for x in slots] == [Fraction(w) / total for w in weights]
+        blocks = [int(w / sum(weights) * 2000) + 1 for w in weights]
         done = [0] * len(slots)
-        for t, s, j in mixing.schedule(slots):
+        for t, s, j in mixing.schedule(slots, blocks):
             assert j == done[s]
             done[s] += 1
-            assert all(abs(n - (t + 1) * w / 64) < 1 for n, w in zip(done, slots, strict=True))
+            assert all(n == b or abs(n * sum(slots) - (t + 1) * w) < sum(slots) for n, b, w in zip(done, blocks, slots, strict=True))
+        assert done == blocks
+    for w in ([0.0, 1.0], [-1.0]):
+        with pytest.raises(ValueError):
+            mixing.whole(w)
     got = mixing.mix(docs, mixing.size_weights(docs), block_rows=4)
     found = got.collect()
     assert len(found) == len(rows()) and len({(r.mix_slot, r.mix_place) for r in found}) == len(found)
@@ -307,18 +312,23 @@ def test_mixing(docs, none, spark):
     assert sorted(map(str, mixing.in_order(got).select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
 
 
+def on_time(got, exact, blocks):
+    """No source is ever a block off its exact share, until it has run out. By hand over all slots, before and after each."""
+    total, done = sum(exact.values()), dict.fromkeys(exact, 0)
+    assert len({t for t, *_ in got}) == len(got)
+    for t, s, j in sorted(got, key=lambda r: r[0]):
+        w = exact[s] / total
+        assert j == done[s] and abs(j - w * t) < 1 and abs(j + 1 - w * (t + 1)) < 1
+        done[s] += 1
+    assert done == blocks
+
+
 def test_mixing_many_sources(spark):
-    # 150 sources of 1 row, 100 of 4, one of 1600: weights 1, 2, 40, so 390 together
+    # 150 sources of 1 row, 100 of 4, one of 1600
     sizes = {**{f"a{k}": 1 for k in range(150)}, **{f"b{k}": 4 for k in range(100)}, "c": 1600}
     docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
-    got = mixing.mix(docs, mixing.size_weights(docs), block_rows=1).collect()
-    assert len(got) == sum(sizes.values()) and len({r.mix_slot for r in got}) == len(got)
-    target = {r.source: int(r.weight) for r in mixing.size_weights(docs).collect()}
-    for r in got:
-        w = Fraction(target[r.source], sum(target.values()))
-        assert abs(w * 390 / {1: 1, 4: 2, 1600: 40}[sizes[r.source]] - 1) < 0.05
-        # before and after its slot the source is less than one block off
-        assert abs(r.mix_block - w * r.mix_slot) < 1 and abs(r.mix_block + 1 - w * (r.mix_slot + 1)) < 1
+    got = [(r.mix_slot, r.source, r.mix_block) for r in mixing.mix(docs, mixing.size_weights(docs), block_rows=1).collect()]
+    on_time(got, {s: Fraction(n**0.5) for s, n in sizes.items()}, sizes)
     # sources of equal size take turns
     even = spark.createDataFrame([(k, f"s{s}") for s in range(200) for k in range(3)], "doc_id long, source string")
     assert {(r.mix_slot // 200, r.mix_block) for r in mixing.mix(even, mixing.size_weights(even), block_rows=1).collect()} == {(0, 0), (1, 1), (2, 2)}
@@ -327,31 +337,34 @@ def test_mixing_many_sources(spark):
     assert {(r.mix_slot // 4, r.mix_block) for r in mixing.mix(odd, [("x", 1.0)], block_rows=1).collect()} == {(0, 0), (1, 1)}
 
 
-def test_mixing_keeps_exact_weights(spark):
-    # by hand over all slots: no source is ever a block off its true weight, over some twenty periods and 100 sources
-    given = [(f"s{k}", w) for k, w in enumerate([17, 5, 3, 2.5, 0.1, *[7] * 90, *[11] * 5])]
-    rows = [(k, s) for s, w in given for k in range(int(w * 300))]
+def test_mixing_keeps_exact_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 100)
+    given = [(f"s{k}", w) for k, w in enumerate([17, 5, 3, 2.5, 0.1, 2**0.5, 1 / 3.0001, *[7] * 40, *[11] * 5])]
+    rows = [(k, s) for s, w in given for k in range(int(w * 100))]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    got = sorted((r.mix_slot, r.source, r.mix_block) for r in mixing.mix(docs, given, block_rows=1).collect())
-    exact = {s: Fraction(str(w)) for s, w in given}
-    total, done = sum(exact.values()), dict.fromkeys(exact, 0)
-    assert len(got) == len(rows) and len({t for t, *_ in got}) == len(got) and mixing.whole_slots([(w, 1) for _, w in given])
+    got = [(r.mix_slot, r.source, r.mix_block) for r in mixing.mix(docs, given, block_rows=1).collect()]
+    on_time(got, {s: Fraction(w) for s, w in given}, {s: int(w * 100) for s, w in given})
+
+
+def test_mixing_awkward_weights_over_many_slots():
+    weights = [1 / 3.0001, 0.123457, 0.777771]
+    slots, total = mixing.whole(weights), sum(map(Fraction, weights))
+    blocks = [int(120_000 * Fraction(w) / total) for w in weights]
+    got = list(mixing.schedule(slots, blocks))
+    assert len(got) == sum(blocks) > 119_990
     for t, s, j in got:
-        w = exact[s] / total
-        assert j == done[s] and abs(j - w * t) < 1 and abs(j + 1 - w * (t + 1)) < 1
-        done[s] += 1
-    # three sources of awkward ratios over a million slots, by the table of one period
-    slots = mixing.whole_slots([(1.0, 1), (97.0, 1), (1013.0, 1)])
-    assert slots == [1, 97, 1013] and mixing.whole_slots([(2**0.5, 1), (1.0, 1)]) is None and mixing.whole_slots([(1.0, 1), (2.0**20, 1)]) is None
-    order, period = mixing.schedule(slots), sum(slots)
-    for again in (0, 1_000_000 // period):
-        for t, s, j in order:
-            t, j = again * period + t, again * slots[s] + j
-            assert abs(j - Fraction(slots[s] * t, period)) < 1 and abs(j + 1 - Fraction(slots[s] * (t + 1), period)) < 1
-    # ratios that no such period keeps are rounded, and every row stays
-    assert mixing.mix(docs, [("s0", 2**0.5), ("s1", 3.1)]).count() == len(rows)
-    many = mixing.size_weights(spark.range(400_000).select(F.concat(F.lit("s"), F.col("id") % 100_000).alias("source")))
-    assert many.agg(F.sum("weight")).first()[0] <= mixing.EXACT_PERIOD and many.where("weight < 1").isEmpty()
+        assert abs(j * sum(slots) - slots[s] * t) < sum(slots) and abs((j + 1) * sum(slots) - slots[s] * (t + 1)) < sum(slots)
+
+
+def test_mixing_three_hundred_thousand_sources(spark):
+    # 270 000 sources of one row, 30 000 of three and one of a million
+    docs = spark.range(1_360_000).select(F.when(F.col("id") < 270_000, F.concat(F.lit("a"), "id")).when(F.col("id") < 360_000, F.concat(F.lit("b"), F.col("id") % 30_000)).otherwise("c").alias("source"))
+    got = mixing.mix(docs, mixing.size_weights(docs))
+    total = 270_000 + 30_000 * 3**0.5 + 1000
+    weight = F.when(F.startswith("source", F.lit("a")), 1.0).when(F.startswith("source", F.lit("b")), 3**0.5).otherwise(1000.0)
+    off = F.abs(F.col("mix_block") - F.col("mix_slot") * weight / total)
+    rows, slots, worst = got.agg(F.count("*"), F.countDistinct("mix_slot", "mix_place"), F.max(off)).first()
+    assert rows == slots == 1_360_000 and worst < 1
 
 
 def test_quality_against_plain_follow_the_leader(spark):
@@ -570,3 +583,13 @@ def test_odd_bytes(spark):
     assert packing.token_pieces(docs, packing.tokenizer_path()).count() == 1
     assert [r.n for r in lines.drop_shared_lines(docs).select(F.hex("kept_text").alias("n")).collect()] == ["61FF20FE0A62"]
     assert simhash.near_duplicates(docs).count() == 1 and licenses.scan(docs).count() == 0
+    pages = spark.sql("SELECT 1L AS page_id, string(unhex('687474703A2F2F61FF2E636F6D2F656E2F')) AS url UNION ALL SELECT 2L, string(unhex('FF3A2F2F622E696F2FFE'))")
+    got = {r.page_id: (r.h, r.rule, r.verdict) for r in urls.judge(pages).select("page_id", F.hex("host").alias("h"), "rule", "verdict").collect()}
+    assert got[1] == ("61EFBFBD2E636F6D", "com/en/", "block") and got[2][:2] == ("622E696F", None)
+
+
+def test_every_suffix_has_its_rate(spark):
+    """More suffixes than any cap on them, each with labels of its own."""
+    rows = spark.range(4800).select(F.concat(F.lit("http://h.s"), F.col("id") % 800, F.lit("/x")).alias("url"), F.concat(F.lit("h.s"), F.col("id") % 800).alias("host"), F.lit("/x").alias("path"), (F.col("id") % 800 % 2 == 0).alias("bad"))
+    rates = urls.train(rows)["rates"]
+    assert len(rates) == 800 and all((rates[f"s{k}"] > 0.5) == (k % 2 == 0) for k in range(800))
