@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from ._words import SPACES, polynomial
 
 #: Characters of one piece of work; longer texts are cut at spaces only.
-CHUNK = 1 << 19
+CHUNK = 1 << 21
 #: Words remembered at most; beyond, the memory starts again.
 REMEMBERED = 500_000
 #: ASCII and the letters of the Latin blocks: there, every byte of a non-ASCII character is part of a letter.
@@ -97,12 +97,17 @@ def _split_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _same(data: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
-    """Whether data[first : first + size] and data[other : other + size] are equal for all bounds."""
-    ends = np.cumsum(size)
-    if not len(ends):
-        return True
-    within = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    return bool((data[np.repeat(first, size) + within] == data[np.repeat(other, size) + within]).all())
+    """Whether data[first : first + size] and data[other : other + size] are equal for all bounds, eight bytes at a time."""
+    room = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+    while len(first):
+        rest = np.minimum(size, 8).astype(np.uint64)
+        unused = np.uint64(64) - np.uint64(8) * rest
+        if ((eight[first] << unused) != (eight[other] << unused)).any():
+            return False
+        more = size > 8
+        first, other, size = first[more] + 8, other[more] + 8, size[more] - 8
+    return True
 
 
 class Encoder:
