@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import samples
 from .functions import paths
-from .operators import graph, resolve
-from .plans import detect, fixtures as fx, snapshots, views
+from .operators import graph, lists, resolve
+from .plans import detect, fixtures as fx, rendered, snapshots, views
+from .shared import written
+from .sources import parse
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(samples.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(samples.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -82,6 +83,18 @@ def topo_layers(spark, sf):
     return graph.layers(nodes, fx.order_edges(spark, sf))
 
 
+TREE = "t AS (SELECT CAST(r_regionkey AS BIGINT) AS path, CAST(NULL AS BIGINT) AS parent, CAST(r_regionkey AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS d, 0 AS depth FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_regionkey, n_nationkey, NULL, NULL, 1 FROM nation UNION ALL SELECT 1000 + 2 * c_custkey, 100 + c_nationkey, n_regionkey, c_nationkey, c_custkey, NULL, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 1001 + 2 * o_orderkey, 1000 + 2 * o_custkey, n_regionkey, c_nationkey, c_custkey, o_orderkey, 3 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(f"WITH {TREE}, z AS (SELECT c, count(*) AS n FROM t WHERE depth >= 2 GROUP BY c), y AS (SELECT b, count(*) AS n FROM t WHERE depth >= 1 GROUP BY b), x AS (SELECT a, count(*) AS n FROM t GROUP BY a) SELECT t.path, parent, row_number() OVER (ORDER BY t.a, t.b NULLS FIRST, t.c NULLS FIRST, t.d NULLS FIRST) - 1 AS position, depth, CASE depth WHEN 0 THEN x.n WHEN 1 THEN y.n WHEN 2 THEN z.n ELSE 1 END AS size, t.path = max(t.path) OVER (PARTITION BY parent) AS last FROM t LEFT JOIN z ON z.c = t.c LEFT JOIN y ON y.b = t.b LEFT JOIN x ON x.a = t.a")
+def tree_preorder(spark, sf):
+    """Regions, nations, customers and orders as trees."""
+    as_long = lambda c: c.cast("long")
+    of = lambda name, path, parent: fx.table(spark, sf, name).select(as_long(path).alias("path"), as_long(parent).alias("parent"))
+    trees = of("region", F.col("r_regionkey"), F.lit(None)).unionByName(of("nation", 100 + F.col("n_nationkey"), F.col("n_regionkey"))).unionByName(of("customer", 1000 + 2 * F.col("c_custkey"), 100 + F.col("c_nationkey"))).unionByName(of("orders", 1001 + 2 * F.col("o_orderkey"), 1000 + 2 * F.col("o_custkey")))
+    return lists.preorder(trees)
+
+
 @query(f"WITH {M}, {E}, {PE}, {DEG}, {D} SELECT g.path, round(2 * fan_in + fan_out + 1.5 * coalesce(structs + enums, 0), 6)::DOUBLE AS score FROM g LEFT JOIN c ON c.path = g.path")
 def importance(spark, sf):
     return detect.importance(fx.suppliers(spark, sf), fx.path_edges(spark, sf), detect.definition_counts(fx.definitions(spark, sf)))
@@ -291,3 +304,99 @@ def crate_name(spark, sf):
 def change_status(spark, sf):
     of = lambda where: fx.table(spark, sf, "events").where(where).groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("event_id").alias("mtime"))
     return snapshots.file_changes(of("value < 50"), of("event_type <> 'click'"))
+
+
+# Parsers and what follows from them, over files that Spark writes out of the tables.
+R = rendered.SQL
+#: Limits that the rendered files meet at every scale.
+SMALL = detect.Thresholds(god_object_lines=100, fat_module_lines=100, fat_module_private_functions=3, lines_per_export=20.0)
+FOUND = f"""{R}, ct AS (
+  SELECT path, count(*) FILTER (kind = 'Struct') AS structs, count(*) FILTER (kind = 'Function') AS functions, count(*) FILTER (kind = 'Impl') AS impls, count(*) FILTER (kind = 'Trait') AS traits,
+         count(*) FILTER (kind = 'Function' AND visibility = 'Private') AS private_functions, count(*) FILTER (kind = 'Function' AND visibility = 'Public') AS public_functions,
+         count(*) FILTER (visibility = 'Public') AS exports
+  FROM de GROUP BY path
+)"""
+
+
+def _parsed(spark, sf):
+    return parse.modules(rendered.sources(spark, sf))
+
+
+def _parsed_definitions(spark, sf):
+    return _parsed(spark, sf).select("path", F.explode("definitions").alias("d")).select("path", "d.*")
+
+
+@query(f"WITH {R} SELECT path, name, kind, CAST(line AS BIGINT) AS line, visibility, signature FROM de")
+def parsed_definitions(spark, sf):
+    return _parsed_definitions(spark, sf)
+
+
+@query(f"WITH {R} SELECT path, CAST(pos AS BIGINT) AS pos, imported FROM im")
+def parsed_imports(spark, sf):
+    return resolve.import_rows(_parsed(spark, sf)).select(F.col("src").alias("path"), F.col("pos").cast("long").alias("pos"), "imported")
+
+
+@query(
+    f"WITH {R}, ex AS (SELECT key, string_agg(name, ',' ORDER BY line) AS exported FROM de WHERE visibility = 'Public' GROUP BY key) "
+    "SELECT path, name, CAST(lines AS BIGINT) AS lines, coalesce(exported, '') AS exported, FALSE AS failed FROM mo LEFT JOIN ex ON ex.key = mo.key"
+)
+def parsed_modules(spark, sf):
+    m = _parsed(spark, sf)
+    return m.select("path", "name", "lines", F.array_join("exports", ",").alias("exported"), F.col("parse_error").isNotNull().alias("failed"))
+
+
+RESOLVED = "ed AS (SELECT im.path AS src, t.path AS dst, CAST(pos AS BIGINT) AS pos FROM im JOIN w t ON t.key = im.dst AND t.x = 'rs' WHERE im.x = 'rs' AND im.dst % 2 = 0)"
+
+
+@query(f"WITH {R}, {RESOLVED} SELECT src, dst, pos FROM ed")
+def parsed_edges(spark, sf):
+    return resolve.by_path(_parsed(spark, sf)).select("src", "dst", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH {R}, {RESOLVED} SELECT dst AS path, count(*) AS fan_in, count(DISTINCT src) AS fan_in_distinct FROM ed WHERE dst NOT LIKE '%/models/%' GROUP BY dst HAVING count(*) >= 5")
+def parsed_high_coupling(spark, sf):
+    """With the default limit and the files that may be coupled."""
+    m = written(_parsed(spark, sf), "modules")
+    return detect.high_coupling(m, resolve.by_path(m))
+
+
+@query(f"""WITH {R}, b AS (
+  SELECT CASE t WHEN 2 THEN 'Persistence' ELSE 'Network' END AS boundary, path, CAST(line + 1 AS BIGINT) AS line, CASE t WHEN 2 THEN 'SELECT ' ELSE 'fetch(' END AS indicator, folder
+  FROM de WHERE kind = 'Function' AND t IN (2, 3)
+) SELECT boundary, path, line, indicator FROM b WHERE NOT (boundary = 'Persistence' AND folder = 'db')""")
+def parsed_boundary_hits(spark, sf):
+    """With the default boundaries; what a quote sign precedes doesn't count, nor what is allowed in its folder."""
+    return detect.boundary_hits(rendered.sources(spark, sf), detect.BOUNDARIES)
+
+
+@query(
+    f"WITH {FOUND}, k AS (SELECT mo.path, lines, list_filter([CASE WHEN structs > 3 THEN 'structs' END, CASE WHEN functions > 10 THEN 'functions' END, CASE WHEN traits > 0 THEN 'traits' END, "
+    "CASE WHEN impls > 5 THEN 'impls' END], lambda x: x IS NOT NULL) AS l FROM mo JOIN ct ON ct.path = mo.path WHERE lines >= 100) SELECT path, CAST(lines AS BIGINT) AS lines, array_to_string(l, ',') AS responsibilities FROM k WHERE len(l) > 1"
+)
+def parsed_god_objects(spark, sf):
+    m = written(_parsed(spark, sf), "modules")
+    return detect.god_objects(m.select("path", "lines"), detect.definition_counts(m.select("path", F.explode("definitions").alias("d")).select("path", "d.*")), SMALL)
+
+
+@query(
+    f"WITH {FOUND} SELECT mo.path, CAST(lines AS BIGINT) AS lines, private_functions, public_functions, round(lines / greatest(exports, 1), 6)::DOUBLE AS lines_per_export FROM mo JOIN ct ON ct.path = mo.path "
+    "WHERE lines >= 100 AND private_functions >= 3 AND lines / greatest(exports, 1) > 20 AND folder <> 'tests'"
+)
+def parsed_fat_modules(spark, sf):
+    m = written(_parsed(spark, sf), "modules")
+    return detect.fat_modules(m.select("path", "lines"), detect.definition_counts(m.select("path", F.explode("definitions").alias("d")).select("path", "d.*")), SMALL)
+
+
+@query(f"""WITH {R}, z AS (
+  SELECT path, CASE WHEN imported LIKE 'crate::%' OR imported LIKE './%' THEN NULL ELSE split_part(imported, '::', 1) END AS crate, count(*) AS n FROM im GROUP BY path, crate
+), t AS (
+  SELECT path, CAST(coalesce(sum(n) FILTER (crate IS NULL), 0) AS BIGINT) AS internal, count(crate) AS crates, array_to_string(list(crate ORDER BY n DESC, crate) FILTER (crate IS NOT NULL)[1:3], ',') AS top FROM z GROUP BY path
+) SELECT path, round((internal + 1) / (internal + 1 + crates), 6) AS score, internal, crates, top FROM t WHERE (internal + 1) / (internal + 1 + crates) < 0.3 AND crates >= 3""")
+def parsed_low_cohesion(spark, sf):
+    m = written(_parsed(spark, sf), "modules")
+    return detect.low_cohesion(m)
+
+
+@query(f"WITH {R} SELECT path, CASE folder WHEN 'tests' THEN 'test' WHEN 'models' THEN 'model' ELSE 'module' END AS category, folder = 'tests' AS is_test FROM w")
+def parsed_categories(spark, sf):
+    return rendered.sources(spark, sf).select("path", paths.category(F.col("path")).alias("category"), paths.is_test(F.col("path")).alias("is_test"))

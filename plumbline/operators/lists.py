@@ -70,10 +70,10 @@ def _with_next(parents: DataFrame) -> DataFrame:
 
 
 def preorder(parents: DataFrame) -> DataFrame:
-    """(path, parent, position, depth, size) of trees ``parents`` (path, parent), a null parent for a root.
+    """(path, parent, position, depth, size, last) of trees ``parents`` (path, parent), a null parent for a root.
 
     Children stand in the order of their paths, roots too. ``position`` counts from 0 over all trees; ``depth`` is 0 at a
-    root; ``size`` counts a vertex and all below it. Rows on a ring or below one, and those whose parent isn't there, have none of the three.
+    root; ``size`` counts a vertex and all below it; ``last`` marks the last of its parent's children. Rows on a ring or below one, and those whose parent isn't there, have neither position, depth nor size.
 
     The Euler tour of a tree goes down into each vertex and up out of it. Its steps are a list: down goes on to the first
     child or up again, up goes on to the next sibling or up out of the parent. The steps' ranks from the list's end come
@@ -95,4 +95,4 @@ def preorder(parents: DataFrame) -> DataFrame:
     deep = doubled(above).select(F.col("node").alias("path"), F.col("b").alias("steps"))
     found = rooted.join(deep, "path", "left").crossJoin(F.broadcast(total))  # one row
     known = F.col("d").isNotNull()
-    return found.select("path", "parent", F.when(known, F.col("total") - F.col("d")).alias("position"), F.when(known, F.coalesce("steps", F.lit(0))).cast("int").alias("depth"), F.when(known, F.col("d") - F.col("u")).alias("size"))
+    return found.select("path", "parent", F.when(known, F.col("total") - F.col("d")).alias("position"), F.when(known, F.coalesce("steps", F.lit(0))).cast("int").alias("depth"), F.when(known, F.col("d") - F.col("u")).alias("size"), F.col("next").isNull().alias("last"))

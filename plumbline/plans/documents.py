@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..operators import graph, resolve
+from ..operators.lists import preorder
 from ..shared import place, written
 from . import snapshots, views
 from .contexts import _list, _rows, paths_name
@@ -212,7 +213,7 @@ def impact_document(affected: DataFrame, edges: DataFrame, target: str, root: st
         yield "\n  ],\n"
         yield from _list("all_affected", (json.dumps(p) for _, p in rows()))
         yield '  "tree": '
-        yield from _nested(_tree(shown, edges, own, root))
+        yield from _nested(_rows(_tree(shown, edges, own, root), "path", "depth"))
         yield "\n}\n"
         return
     yield f"# Change Impact Analysis: {own}\n\n## Summary\n\n- **Total Affected Files**: {total}\n- **Maximum Chain Length**: {longest}\n\n"
@@ -229,39 +230,30 @@ def impact_document(affected: DataFrame, edges: DataFrame, target: str, root: st
     yield "\n"
     if tree:
         yield "## Impact Tree\n\n```\n"
-        stack = [(_tree(shown, edges, own, root), "", "")]
-        while stack:
-            node, lead, mark = stack.pop()
-            yield f"{lead}{mark}{node['path']}\n"
-            below = lead + ("" if not mark else "│   " if mark == "├── " else "    ")
-            kids = node["children"]
-            stack += [(kid, below, "└── " if k == 0 else "├── ") for k, kid in enumerate(reversed(kids))]
+        lasts: list[bool] = []
+        for path, depth, last in _rows(_tree(shown, edges, own, root), "path", "depth", "last"):
+            lasts[depth:] = [last]
+            lead = "".join("    " if x else "│   " for x in lasts[1:depth])
+            yield lead + ("" if depth == 0 else "└── " if last else "├── ") + f"{path}\n"
         yield "```\n"
 
 
-def _tree(shown: DataFrame, edges: DataFrame, target: str, root: str) -> dict:
-    """The tree of one report, as nested records: its rows are those of the report that the caller asked for."""
+def _tree(shown: DataFrame, edges: DataFrame, target: str, root: str) -> DataFrame:
+    """(path, depth, last) of the tree below ``target`` in preorder; ``last`` marks the last child of its parent."""
     near = shown.unionByName(shown.sparkSession.createDataFrame([(target, 0)], "path string, depth int"))
     to = near.select(F.col("path").alias("dst"), F.col("depth").alias("d"))
     own = edges.select(*(paths.relative(F.col(c), root).alias(c) for c in ("src", "dst"))).join(to, "dst")
-    parent = shown.join(own, (F.col("src") == F.col("path")) & (F.col("d") == F.col("depth") - 1)).groupBy("path", "depth").agg(F.min("dst").alias("parent"))
-    top = {"path": target, "depth": 0, "children": []}
-    at = {target: top}
-    for path, depth, above in _rows(parent.orderBy("depth", "path"), "path", "depth", "parent"):
-        at[path] = {"path": path, "depth": depth, "children": []}
-        at[above]["children"].append(at[path])
-    return top
-
-
-def _nested(top: dict) -> Iterator[str]:
-    """A tree of any depth as JSON."""
-    stack: list = [top]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str):
-            yield node
-            continue
-        yield f'{{"path": {json.dumps(node["path"])}, "depth": {node["depth"]}, "children": ['
-        stack.append("]}")
-        for k, kid in reversed(list(enumerate(node["children"]))):
-            stack += [kid, ", "] if k else [kid]
+    parent = shown.join(own, (F.col("src") == F.col("path")) & (F.col("d") == F.col("depth") - 1)).groupBy("path").agg(F.min("dst").alias("parent"))
+    top = shown.sparkSession.createDataFrame([(target, None)], "path string, parent string")
+    return preorder(parent.unionByName(top)).orderBy("position")
+
+
+def _nested(rows: Iterator) -> Iterator[str]:
+    """Rows (path, depth) of a tree in preorder as JSON."""
+    before = -1
+    for path, depth in rows:
+        if depth <= before:
+            yield "]}" * (before - depth + 1) + ", "
+        yield f'{{"path": {json.dumps(path)}, "depth": {depth}, "children": ['
+        before = depth
+    yield "]}" * (before + 1)
