@@ -10,6 +10,7 @@ from ..functions import paths
 from ..operators.chains import chains
 from ..operators.graph import degrees, strong_components
 from .budget import token_pack as token_pack
+from .indicators import marked_lines
 
 SEVERITY = {"info": 0, "warn": 1, "warning": 1, "error": 2}
 
@@ -103,19 +104,8 @@ def high_coupling(nodes: DataFrame, edges: DataFrame, t: Thresholds = Thresholds
 
 
 def boundary_hits(sources: DataFrame, boundaries: list[Boundary]) -> DataFrame:
-    """(boundary, path, line, indicator): lines of ``sources`` (path, content) with an indicator that no quote sign precedes.
-
-    Texts are split once; a line counts once for a boundary, with the first indicator in it.
-    """
-    lines = sources.select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("line", "text"))
-    hits = []
-    for b in boundaries:
-        hit = F.lit(None).cast("string")
-        for i in reversed(b.indicators):
-            hit = F.when(F.contains("text", F.lit(i)) & ~paths.quoted_before(F.col("text"), i), F.lit(i)).otherwise(hit)
-        hits.append(F.when(~paths.matches_any(F.col("path"), b.allowed_in), F.struct(F.lit(b.name).alias("boundary"), hit.alias("indicator"))))
-    each = lines.select("path", (F.col("line") + 1).cast("long").alias("line"), F.explode(F.array(*hits)).alias("hit"))
-    return each.where(F.col("hit.indicator").isNotNull()).select("hit.boundary", "path", "line", "hit.indicator")
+    """(boundary, path, line, indicator): lines of ``sources`` (path, content) with an indicator that no quote sign precedes; as ``marked_lines`` says."""
+    return marked_lines(sources, boundaries)
 
 
 def boundary_crossers(hits: DataFrame, boundaries: list[Boundary]) -> DataFrame:

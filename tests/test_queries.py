@@ -130,3 +130,34 @@ def test_boundaries(spark):
     hits = detect.boundary_hits(src, detect.BOUNDARIES)
     assert {(r.boundary, r.path, r.line) for r in hits.collect()} == {("Persistence", "a.rs", 2), ("Network", "a.rs", 3), ("Persistence", "c.rs", 1), ("Persistence", "c.rs", 2)}
     assert {(r.boundary, r.modules, r.hits) for r in detect.boundary_violations(hits, detect.BOUNDARIES).collect()} == set()  # c.rs owns the boundary, one module is left
+
+
+def plain_hits(rows, boundaries):
+    """Each line against each indicator in turn."""
+    out = set()
+    for path, content in rows:
+        for n, text in enumerate((content or "").split("\n"), 1):
+            for b in boundaries:
+                if path is None or any(re.search(paths.glob_regex(g).replace(r"\z", r"\Z"), path) for g in b.allowed_in):
+                    continue
+                fits = [i for i in b.indicators if i and i in text and text.partition(i)[0].rstrip(" ")[-1:] not in list("'\"`")]
+                if fits:
+                    out.add((b.name, path, n, fits[0]))
+    return out
+
+
+def test_a_thousand_indicators(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab.:('` ") for _ in range(n))
+    boundaries = [detect.Boundary(f"B{k}", [word(rng.randint(1, 6)) for _ in range(100)] + ["", "a\nb"], ["**/ab/**"] if k % 2 else []) for k in range(10)]
+    rows = [(f"{rng.choice(['x', 'ab', 'db'])}/{k}.rs", "\n".join(word(rng.randint(0, 25)) for _ in range(rng.randint(0, 8)))) for k in range(60)]
+    rows += [(None, "aaa"), ("n.rs", None), ("e.rs", ""), rows[0], ("long.rs", "ab" * 50_000)]
+    src = spark.createDataFrame(rows, "path string, content string")
+    got = detect.boundary_hits(src, boundaries)
+    assert {tuple(r) for r in got.collect()} == plain_hits(rows, boundaries)
+    assert got.where("path = 'x/0.rs' OR path = 'ab/0.rs' OR path = 'db/0.rs'").count() == 2 * len(plain_hits(rows[:1], boundaries))
+    plan = lambda b: len(detect.boundary_hits(src, b)._jdf.queryExecution().executedPlan().toString())
+    assert plan(boundaries) == plan(boundaries[:1])
+    assert detect.boundary_hits(src, []).count() == 0
+    odd = spark.sql("SELECT 'x.rs' AS path, cast(unhex('FF6162FE') AS STRING) AS content")
+    assert detect.boundary_hits(odd, [detect.Boundary("B", ["ab"])]).collect() == [("B", "x.rs", 1, "ab")]
