@@ -273,9 +273,29 @@ def min_severity(spark, sf):
     return detect.at_least(_union(spark, sf), "warn").drop("advice")
 
 
-@query(f"WITH {ALL} SELECT bool_or(severity = 'error') AS any_error, count(*) AS issues FROM u")
+KINDS = f"""SELECT kind, severity, path FROM (WITH {ALL} SELECT kind, severity, path FROM u)
+UNION ALL SELECT 'LowCohesion', 'info', path FROM ({ORACLE_SQL['low_cohesion']})
+UNION ALL SELECT 'BoundaryViolation', 'warn', boundary FROM ({ORACLE_SQL['boundary_violations']})
+UNION ALL SELECT 'CircularDependency', 'error', CAST(component AS VARCHAR) FROM ({ORACLE_SQL['cycles']})
+UNION ALL SELECT 'DeepDependencyChain', 'warn', split_part(chain, ' > ', 1) FROM ({ORACLE_SQL['deep_chains']})"""
+
+
+@query(KINDS)
+def issues_of_all_kinds(spark, sf):
+    """All seven detectors; components are found once, for cycles and chains."""
+    edges = written(fx.order_edges(spark, sf), "edges")
+    components = graph.strong_components(edges)
+    row = lambda df, kind, severity, path: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), path.cast("string").alias("path"))
+    found = _union(spark, sf).drop("advice")
+    found = found.unionByName(row(low_cohesion(spark, sf), "LowCohesion", "info", F.col("path")))
+    found = found.unionByName(row(boundary_violations(spark, sf), "BoundaryViolation", "warn", F.col("boundary")))
+    found = found.unionByName(row(components.select("component").distinct(), "CircularDependency", "error", F.col("component")))
+    return found.unionByName(row(detect.deep_chains(edges, components=components), "DeepDependencyChain", "warn", F.element_at("nodes", 1)))
+
+
+@query(f"SELECT bool_or(severity = 'error') AS any_error, count(*) AS issues FROM ({KINDS})")
 def any_error(spark, sf):
-    return _union(spark, sf).agg(F.bool_or(F.col("severity") == "error").alias("any_error"), F.count("*").alias("issues"))
+    return issues_of_all_kinds(spark, sf).agg(F.bool_or(F.col("severity") == "error").alias("any_error"), F.count("*").alias("issues"))
 
 
 @query(f"WITH {ALL} SELECT path, count(*) AS issues, string_agg(DISTINCT advice, ',' ORDER BY advice) AS advice FROM u GROUP BY path")

@@ -26,9 +26,11 @@ def by_path(modules: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     keys = keys.union(rs.where(F.endswith("p", F.lit("/mod.rs"))).select(F.regexp_extract("p", r"([^/]+)/mod\.rs$", 1), "path")).union(rs.select(two, "path"))
     target = keys.where("key <> ''").groupBy("key").agg(F.min("path").alias("dst"))
     s = F.split("imported", "::")
-    asked = (import_rows(modules) if imports is None else imports).where(F.element_at(s, 1) == "crate").select("src", "pos", F.lower(F.try_element_at(s, F.lit(2))).alias("a"), F.lower(F.try_element_at(s, F.lit(3))).alias("b"))
-    each = asked.select("src", "pos", F.explode(F.array("a", F.concat_ws("/", "a", "b"))).alias("key"))
-    return each.join(target, "key").groupBy("src", "pos").agg(F.min("dst").alias("dst")).select("src", "dst", "pos")
+    rows = (import_rows(modules) if imports is None else imports).where(F.element_at(s, 1) == "crate").select("src", "pos", "imported")
+    # each text is resolved once, however often it is imported
+    asked = rows.select("imported").distinct().select("imported", F.lower(F.try_element_at(s, F.lit(2))).alias("a"), F.lower(F.try_element_at(s, F.lit(3))).alias("b"))
+    each = asked.select("imported", F.explode(F.array_distinct(F.array("a", F.concat_ws("/", "a", "b")))).alias("key"))
+    return rows.join(each.join(target, "key").groupBy("imported").agg(F.min("dst").alias("dst")), "imported").select("src", "dst", "pos")
 
 
 def by_name(modules: DataFrame, imports: DataFrame | None = None) -> DataFrame:

@@ -58,9 +58,9 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, pos, imported): each dependency of a supplier as an import, a row each."""
+    """(src, pos, imported): each dependency of a supplier as an import, a row each; positions are all 0."""
     m = suppliers(spark, sf_dir).select("key", F.col("path").alias("a"))
-    return key_edges(spark, sf_dir).join(m, F.col("src") == F.col("key")).select(F.col("a").alias("src"), F.monotonically_increasing_id().alias("pos"), F.format_string("crate::s%d::T", "dst").alias("imported"))
+    return key_edges(spark, sf_dir).join(m, F.col("src") == F.col("key")).select(F.col("a").alias("src"), F.lit(0).alias("pos"), F.format_string("crate::s%d::T", "dst").alias("imported"))
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
