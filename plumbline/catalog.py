@@ -351,6 +351,13 @@ def parsed_definitions(spark, sf):
     return _parsed_definitions(spark, sf)
 
 
+@query(f"WITH {R} SELECT x AS language, kind, visibility, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM de GROUP BY ALL")
+def parsed_by_sql(spark, sf):
+    """The parsers as a table function of SQL."""
+    parse.register_sql(spark)
+    return spark.sql("SELECT substring_index(path, '.', -1) AS language, kind, visibility, count(*) AS n, sum(line) AS lines FROM source_definitions(TABLE(SELECT * FROM {files})) GROUP BY ALL", files=rendered.sources(spark, sf))
+
+
 @query(f"WITH {R} SELECT path, CAST(pos AS BIGINT) AS pos, imported FROM im")
 def parsed_imports(spark, sf):
     return resolve.import_rows(_parsed(spark, sf)).select(F.col("src").alias("path"), F.col("pos").cast("long").alias("pos"), "imported")

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import paths
 from .scripts import parse_script
@@ -133,12 +136,51 @@ def parse_python(source: str) -> tuple[list, list, list]:
     return imports, exports, definitions
 
 
-#: Parsers by extension; others may be added.
+#: Parsers by extension: a text's imports, exports and definitions (name, kind, line, visibility, signature). ``register_language`` adds others.
 PARSERS = {"rs": parse_rust, "py": parse_python, **dict.fromkeys(("ts", "tsx", "js", "jsx"), parse_script)}
 
 
+def register_language(extension: str, parser: Callable[[str], tuple[list, list, list]]) -> None:
+    """From now on ``modules``, and ``source_definitions`` once it is registered again, read files with this extension.
+
+    Queries take the parsers with them as they stand when the query is made. A parser gives imports, exports and definitions (name,
+    kind, line, visibility, signature), and may raise SyntaxError, ValueError or RecursionError.
+    """
+    PARSERS[extension.removeprefix(".")] = parser
+
+
+def register_sql(spark: SparkSession, name: str = "source_definitions") -> None:
+    """A table function for SQL, ``source_definitions(TABLE(...))``: (path, name, kind, line, visibility, signature) of rows with columns path and content.
+
+    Rows stay in the partitions they are in. Other columns are left aside, and so are files without a parser and texts that it can't read; a null text is empty.
+    """
+    parsers = dict(PARSERS)
+    fields = ("name", "kind", "line", "visibility", "signature")
+
+    class Definitions:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or not {"path", "content"} <= set(rows.dataType.names):
+                raise ValueError("source_definitions needs a TABLE with the columns path and content")
+            schema = StructType().add("path", "string")
+            for f in fields:
+                schema.add(f, "long" if f == "line" else "string")
+            return AnalyzeResult(schema)
+
+        def eval(self, row):
+            parser = parsers.get((row["path"] or "").rpartition(".")[2])
+            if parser:
+                try:
+                    yield from ((row["path"], *d) for d in parser(row["content"] or "")[2])
+                except (SyntaxError, ValueError, RecursionError):
+                    return
+
+    spark.udtf.register(name, udtf(Definitions))
+
+
 def modules(sources: DataFrame) -> DataFrame:
     """(path, name, lines, imports, exports, definitions, parse_error, content) of ``sources`` (path, content) with a known extension, in one pass."""
+    parsers = dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,12 +188,12 @@ def modules(sources: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 error = None
                 try:
-                    got = PARSERS[path.rsplit(".", 1)[1]](content)
+                    got = parsers[path.rsplit(".", 1)[1]](content)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     got, error = ([], [], []), str(e)
                 out.append((path, *got[:2], [dict(zip(("name", "kind", "line", "visibility", "signature"), d, strict=True)) for d in got[2]], error, content))
             yield pd.DataFrame(out, columns=["path", "imports", "exports", "definitions", "parse_error", "content"])
 
-    known = sources.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*PARSERS)).select("path", F.coalesce("content", F.lit("")).alias("content"))
+    known = sources.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*parsers)).select("path", F.coalesce("content", F.lit("")).alias("content"))
     parsed = known.mapInPandas(run, MODULE)
     return parsed.select("path", paths.stem(F.col("path")).alias("name"), paths.line_count(F.col("content")).alias("lines"), "imports", "exports", "definitions", "parse_error", "content")

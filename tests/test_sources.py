@@ -122,3 +122,22 @@ def test_script():
 def test_script_edges():
     for text in ("", "\n", "}", "`", "'", "/*", "import", "export", "const", "import x from y", "a".join(["{"] * 50)):
         assert scripts.parse_script(text)[0] == []
+
+
+def test_a_language_of_ones_own(spark, monkeypatch):
+    """A registered parser works in the DataFrame API and from SQL."""
+    monkeypatch.setattr(parse, "PARSERS", dict(parse.PARSERS))
+
+    def rules(text):
+        if "bad" in text:
+            raise ValueError("bad")
+        return [], [], [(line.removeprefix("rule "), "Function", n, "Public", line) for n, line in enumerate(text.split("\n"), 1) if line.startswith("rule ")]
+
+    parse.register_language(".rules", rules)
+    src = spark.createDataFrame([("a.rules", "x\nrule one\nrule two", 1), ("b.py", "def f():\n    pass\n", 2), ("c.rules", "bad", 3), ("d.rules", None, 4), ("e.txt", "rule no", 5), (None, "rule no", 6)], "path string, content string, other int")
+    assert sorted((r.path, len(r.definitions), r.parse_error) for r in parse.modules(src).collect()) == [("a.rules", 2, None), ("b.py", 1, None), ("c.rules", 0, "bad"), ("d.rules", 0, None)]
+    parse.register_sql(spark)
+    got = spark.sql("SELECT * FROM source_definitions(TABLE(SELECT * FROM {src})) ORDER BY path, line", src=src)
+    assert [tuple(r) for r in got.collect()] == [("a.rules", "one", "Function", 2, "Public", "rule one"), ("a.rules", "two", "Function", 3, "Public", "rule two"), ("b.py", "f", "Function", 1, "Public", "def f()")]
+    with pytest.raises(Exception, match="path and content"):
+        spark.sql("SELECT * FROM source_definitions(TABLE(SELECT other FROM {src}))", src=src).collect()
