@@ -27,7 +27,7 @@ class Analysis:
     """What an analysis gives.
 
     modules as ``parse.modules`` has them; edges (src, dst, pos); issues (kind, severity, path, message, advice, key);
-    locations (kind, key, path), every module an issue names; counts of each module's definitions; and skipped
+    locations (kind, key, path, times), every module an issue names, and how often it crosses a boundary; counts of each module's definitions; and skipped
     (path, parse_error), files that couldn't be parsed.
     """
 
@@ -77,11 +77,11 @@ def analyze(sources: DataFrame, config: Config | None = None, max_depth: int | N
     for x in parts[1:]:
         issues = issues.unionByName(x)
     issues = written(issues, "issues")
-    at = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "path")
+    at = lambda df, kind, key, times=F.lit(1): df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "path", times.cast("long").alias("times"))
     several = at(on_cycles, "CircularDependency", "component")
     several = several.unionByName(at(deep.select("chain", F.explode("nodes").alias("path")), "DeepDependencyChain", "chain"))
-    several = several.unionByName(at(detect.boundary_crossers(hits, config.boundaries).join(crossed.select("boundary"), "boundary", "left_semi"), "BoundaryViolation", "boundary"))
-    single = issues.where(~F.col("kind").isin("CircularDependency", "DeepDependencyChain", "BoundaryViolation")).select("kind", "key", "path")
+    several = several.unionByName(at(detect.boundary_crossers(hits, config.boundaries).join(crossed.select("boundary"), "boundary", "left_semi"), "BoundaryViolation", "boundary", F.col("n")))
+    single = issues.where(~F.col("kind").isin("CircularDependency", "DeepDependencyChain", "BoundaryViolation")).select("kind", "key", "path", F.lit(1).cast("long").alias("times"))
     return Analysis(m, edges, issues, written(several.unionByName(single), "locations"), counts, skipped)
 
 

@@ -155,7 +155,7 @@ def token_pack(modules: DataFrame, budget: int, reserve: int = 800) -> DataFrame
 
     above = F.floor(F.col("node") / FAN_IN).cast("long")
     while nodes > FAN_IN:
-        levels.append(written(levels[-1].groupBy(above.alias("node")).applyInArrow(composed, "node long, spend binary"), "spends"))
+        levels.append(written(levels[-1].withColumn("up", above).groupBy("up").applyInArrow(composed, "node long, spend binary"), "spends"))
         nodes = -(-nodes // FAN_IN)
     entry = modules.sparkSession.createDataFrame([(0, most)], "up long, left long")
     for level in reversed(levels):

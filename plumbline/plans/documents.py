@@ -119,22 +119,22 @@ class Difference:
 
     def as_markdown(self) -> Iterator[str]:
         s, sign = self._summary(), lambda n: f"+{n}" if n > 0 else str(n)
-        yield f"# Architectural Diff\n\n**Baseline**: {self.base.created_at} | **Current**: {self.now.created_at}\n\n## Summary\n\n"
+        yield f"# What changed\n\nFrom the snapshot of {self.base.created_at} to that of {self.now.created_at}.\n\n"
         yield f"- **Modules**: {sign(s['module_count_delta'])} (+{self.added.count()} added, -{self.removed.count()} removed, {self.modified.count()} modified)\n- **Lines**: {sign(s['line_count_delta'])}\n"
         yield f"- **Dependencies**: {sign(s['dependency_count_delta'])} (+{self.edges['added'].count()} / -{self.edges['removed'].count()})\n- **Cycles**: {sign(s['cycle_count_delta'])}\n- **Avg Coupling**: {s['coupling_delta']:+.2f}\n\n"
-        for title, issues, n in (("New Issues", self.new, s["new_issue_count"]), ("Resolved Issues", self.resolved, s["resolved_issue_count"])):
+        for title, issues, n in (("Issues that came", self.new, s["new_issue_count"]), ("Issues that went", self.resolved, s["resolved_issue_count"])):
             if n:
-                yield f"## {title} ({n})\n\n"
+                yield f"## {title}: {n}\n\n"
                 for kind, severity, message, where in _rows(issues.orderBy("kind", "message"), "kind", "severity", "message", "locations"):
                     yield f"- **{kind}** [{severity}]: {message}\n" + "".join(f"  - `{x}`\n" for x in where)
                 yield "\n"
-        for title, table in (("Added Modules", self.added), ("Removed Modules", self.removed)):
+        for title, table in (("Modules that came", self.added), ("Modules that went", self.removed)):
             if not table.isEmpty():
                 yield f"## {title}\n\n"
                 yield from (f"- `{p}`\n" for (p,) in _rows(table.orderBy("path"), "path"))
                 yield "\n"
         if not self.modified.isEmpty():
-            yield "## Modified Modules\n\n"
+            yield "## Modules that differ\n\n"
             for p, old, new in _rows(self.modified.orderBy("path"), "path", "old_lines", "new_lines"):
                 yield f"- `{p}` ({sign(new - old)} lines)\n"
 
@@ -216,20 +216,20 @@ def impact_document(affected: DataFrame, edges: DataFrame, target: str, root: st
         yield from _nested(_rows(_tree(shown, edges, own, root), "path", "depth"))
         yield "\n}\n"
         return
-    yield f"# Change Impact Analysis: {own}\n\n## Summary\n\n- **Total Affected Files**: {total}\n- **Maximum Chain Length**: {longest}\n\n"
+    yield f"# What depends on {own}\n\n- Files: {total}\n- Steps to the farthest: {longest}\n\n"
     if not total:
-        yield "*No files depend on this module.*\n"
+        yield "Nothing depends on it.\n"
         return
-    yield "## Affected Files by Distance\n\n"
+    yield "## By number of steps\n\n"
     last = 0
     for depth, path in rows():
         if depth != last:
-            yield ("\n" if last else "") + f"### {'Direct Dependents' if depth == 1 else f'Depth {depth}'} ({sizes[depth]})\n\n"
+            yield ("\n" if last else "") + f"### {'One step' if depth == 1 else f'{depth} steps'}: {sizes[depth]}\n\n"
             last = depth
         yield f"- `{path}`\n"
     yield "\n"
     if tree:
-        yield "## Impact Tree\n\n```\n"
+        yield "## Tree\n\n```\n"
         lasts: list[bool] = []
         for path, depth, last in _rows(_tree(shown, edges, own, root), "path", "depth", "last"):
             lasts[depth:] = [last]

@@ -55,16 +55,16 @@ def test_contexts(found, project, context):
     tree = ET.fromstring("".join(contexts.as_xml(context)))
     assert tree.find("modules").get("count") == "6" and tree.find(".//class").get("name") == "V" and len(tree.findall(".//step")) == 6
     plain = "".join(contexts.markdown(context))
-    assert plain.startswith("# Architectural Context: tree\n\n## Modules (6)\n") and "- Exports: f, S\n" in plain
+    assert plain.startswith("# tree, module by module\n\nModules: 6\n") and "- Exports: f, S\n" in plain
     assert int(plain.rsplit("~", 1)[1].split()[0]) == len(plain[: plain.rindex("---\n")].encode()) // 4
 
 
 def test_budget(context):
     text = "".join(contexts.budgeted(context, 800 + 40))
-    used = int(text.split("Token Budget: ")[1].split("/")[0])
-    assert 800 < used <= 840 and "## Omitted Modules" in text or "## Truncated Modules" in text
-    assert "## Included Modules (6)" in "".join(contexts.budgeted(context, 5000))
-    assert "Token Budget: 800/10\n" in "".join(contexts.budgeted(context, 10))
+    used = int(text.split("Tokens: ")[1].split(" of ")[0])
+    assert 800 < used <= 840 and "## By name: " in text or "## By their imports: " in text
+    assert "## In full: 6" in "".join(contexts.budgeted(context, 5000))
+    assert "Tokens: 800 of 10\n" in "".join(contexts.budgeted(context, 10))
 
 
 def test_snapshots(spark, project, found, tmp_path):
@@ -85,7 +85,7 @@ def test_snapshots(spark, project, found, tmp_path):
     assert [m["path"] for m in got["modified_modules"]] == [changed] and got["modified_modules"][0]["imports_removed"] == ["was"]
     assert [i["kind"] for i in got["new_issues"]] == ["CircularDependency"] == [i["kind"] for i in got["resolved_issues"]]
     text = "".join(d.as_markdown())
-    assert "+1 added, -1 removed, 1 modified" in text and "## New Issues (1)" in text
+    assert "+1 added, -1 removed, 1 modified" in text and "## Issues that came: 1" in text
     same = documents.Difference(now, now)
     assert not same.regressed() and "- **Lines**: 0\n" in "".join(same.as_markdown())
 
@@ -104,8 +104,8 @@ def test_impact(project):
     assert doc["by_depth"] == [{"depth": 1, "files": ["src/a.rs", "src/b.rs"]}, {"depth": 2, "files": ["src/c.rs"]}]
     assert doc["tree"]["children"][1] == {"path": "src/b.rs", "depth": 1, "children": [{"path": "src/c.rs", "depth": 2, "children": []}]}
     text = "".join(project.impact("src/hub.rs", tree=True))
-    assert "### Direct Dependents (2)" in text and text.endswith("```\nsrc/hub.rs\n├── src/a.rs\n└── src/b.rs\n    └── src/c.rs\n```\n")
-    assert "*No files depend" in "".join(project.impact("web/view.ts"))
+    assert "### One step: 2" in text and text.endswith("```\nsrc/hub.rs\n├── src/a.rs\n└── src/b.rs\n    └── src/c.rs\n```\n")
+    assert "Nothing depends on it." in "".join(project.impact("web/view.ts"))
 
 
 def test_commands(project, tmp_path, capsys):
@@ -114,7 +114,7 @@ def test_commands(project, tmp_path, capsys):
     assert json.loads(out.read_text())["module_count"] == 5
     assert commands.main(["analyze", "/none/here"]) == 2 and "not found" in capsys.readouterr().err
     assert commands.main(["snapshot", "--save", str(out), project.root]) == 0
-    assert commands.main(["diff", str(out), project.root, "--fail-on-regression"]) == 0 and "# Architectural Diff" in capsys.readouterr().out
+    assert commands.main(["diff", str(out), project.root, "--fail-on-regression"]) == 0 and "# What changed" in capsys.readouterr().out
     assert commands.main(["init", str(tmp_path)]) == 0 and commands.main(["init", str(tmp_path)]) == 1
     assert config.load(tmp_path / commands.CONFIG) == config.Config()
 
