@@ -50,7 +50,7 @@ def rings_and_runs(rng):
     return sorted(edges)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_layers_and_components(spark, seed):
     rng = random.Random(seed)
     edges = [e for k in range(6) for e in ((a + 1000 * k, b + 1000 * k) for a, b in rings_and_runs(rng))]  # six graphs at once
