@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import paths
-from .operators import graph, lists, resolve
+from .operators import globs, graph, lists, resolve
 from .plans import detect, fixtures as fx, rendered, snapshots, views
 from .shared import written
 from .sources import parse
@@ -53,6 +53,30 @@ def resolve_by_name(spark, sf):
     return resolve.by_name(fx.suppliers(spark, sf), fx.imports(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+#: A glob for each supplier: of its region, a plain name, one with a folder left open, one with an open ending.
+GLOB = "CASE s_suppkey % 4 WHEN 0 THEN '**/r' || (s_suppkey // 4 % 5) || '/s' || s_suppkey || '*' WHEN 1 THEN 's' || s_suppkey || '.rs' WHEN 2 THEN '/proj/src/*/s' || s_suppkey || '.rs' ELSE '**/s' || s_suppkey || '.*' END"
+GLOBS = f"""gl AS (SELECT s_suppkey AS k, {GLOB} AS pattern FROM supplier), gm AS (
+  SELECT path, pattern FROM m JOIN gl ON CASE k % 4
+    WHEN 0 THEN regexp_matches(path, '^.*r' || (k // 4 % 5) || '/s' || k || '[^/]*$')
+    WHEN 1 THEN ends_with(path, '/s' || k || '.rs')
+    WHEN 2 THEN regexp_matches(path, '^/proj/src/[^/]*(.*/)?/s' || k || '[.]rs$')
+    ELSE regexp_matches(path, '^.*s' || k || '[.][^/]*$') END)"""
+
+
+def _globs(spark, sf):
+    return fx.table(spark, sf, "supplier").select(F.expr(GLOB.replace("//", "DIV")).alias("glob"))
+
+
+@query(f'WITH {M}, {GLOBS} SELECT path, pattern AS "glob" FROM gm')
+def glob_matches(spark, sf):
+    return globs.matched(fx.suppliers(spark, sf), _globs(spark, sf))
+
+
+@query(f"WITH {M}, {E}, {PE}, {DEG}, {GLOBS} SELECT path, fan_in, fan_in_distinct FROM g WHERE fan_in >= 450 AND path NOT IN (SELECT path FROM gm WHERE starts_with(pattern, '**'))")
+def high_coupling_allowed(spark, sf):
+    return detect.high_coupling(fx.suppliers(spark, sf), fx.path_edges(spark, sf), MANY, _globs(spark, sf).where("glob LIKE '**%'"))
+
+
 @query(f"WITH {E} SELECT src FROM e WHERE dst = 7")
 def direct_dependents(spark, sf):
     return graph.dependents(fx.key_edges(spark, sf), 7)

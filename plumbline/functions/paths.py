@@ -23,6 +23,19 @@ def glob_regex(glob: str) -> str:
     return "^" + rest(glob)
 
 
+def literals(glob: str) -> list[str]:
+    """Texts that every path that ``glob`` matches holds, as ``glob_regex`` reads it."""
+    glob, found = glob.replace("\\", "/"), []
+    while True:
+        mark = "**" if "**" in glob else "*"
+        before, wild, glob = glob.partition(mark)
+        found += [before] if before else []
+        if not wild:
+            return found
+        if mark == "**":
+            glob = glob.removeprefix("/")
+
+
 def matches_any(path: Column, globs: list[str]) -> Column:
     """Whether any glob matches; none in the list, no match."""
     found = F.lit(False)

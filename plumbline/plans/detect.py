@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
 from ..operators.chains import chains
+from ..operators.globs import matched
 from ..operators.graph import degrees, strong_components
 from .budget import token_pack as token_pack
 from .indicators import marked_lines
@@ -96,11 +97,15 @@ def fat_modules(modules: DataFrame, counts: DataFrame, t: Thresholds = Threshold
     return found.select("path", "lines", "private_functions", "public_functions", F.round(per, 6).alias("lines_per_export"))
 
 
-def high_coupling(nodes: DataFrame, edges: DataFrame, t: Thresholds = Thresholds(), expected: list[str] | None = None) -> DataFrame:
-    """(path, fan_in, fan_in_distinct): modules that many edges reach, but for those expected to be."""
-    allowed = paths.matches_any(F.col("path"), EXPECTED_HIGH_COUPLING if expected is None else expected)
-    found = degrees(nodes, edges).where(F.col("fan_in") >= t.coupling_fanin)
-    return found.where(~allowed).select("path", "fan_in", "fan_in_distinct")
+def high_coupling(nodes: DataFrame, edges: DataFrame, t: Thresholds = Thresholds(), expected: list[str] | DataFrame | None = None) -> DataFrame:
+    """(path, fan_in, fan_in_distinct): modules that many edges reach, but for those expected to be.
+
+    ``expected`` are globs, a few in a list or any number in a table (glob).
+    """
+    found = degrees(nodes, edges).where(F.col("fan_in") >= t.coupling_fanin).select("path", "fan_in", "fan_in_distinct")
+    if isinstance(expected, DataFrame):
+        return found.join(matched(found, expected).select("path").distinct(), "path", "left_anti")
+    return found.where(~paths.matches_any(F.col("path"), EXPECTED_HIGH_COUPLING if expected is None else expected))
 
 
 def boundary_hits(sources: DataFrame, boundaries: list[Boundary]) -> DataFrame:
