@@ -35,15 +35,17 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], values.reshape(len(ids), -1)[order]
 
 
-def cells(queries: DataFrame, candidates: DataFrame, search: Callable, kind: str, block: int, cell_values: int) -> tuple[DataFrame, int]:
+def cells(queries: DataFrame, candidates: DataFrame, search: Callable, kind: str, block: int, cell_values: int, least: int) -> tuple[DataFrame, int]:
     """``search(query ids, query vectors, candidate ids, candidate vectors)`` for each cell, with a column ``node``, the shard; and the number of shards.
 
-    Vectors meet only vectors of their own length. ``cell_values`` bounds a shard's components.
+    Vectors meet only vectors of their own length. ``cell_values`` bounds a shard's components. Shards are smaller, down to
+    ``least`` vectors, where there would be fewer cells than shuffle partitions; the lists that merge are the same.
     """
     n_queries = queries.count()
     n, longest = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n_queries // block))
-    shards = max(1, -(-n * (longest or 1) // cell_values))
+    wanted = -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    shards = max(1, -(-n * (longest or 1) // cell_values), min(wanted, -(-n // least)))
     deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     left = queries.select("id", "v", F.size("v").alias("dim"), deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("node"))
     right = candidates.select("id", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(shards).alias("node"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shared import written
 from ._grid import cells, merged, usable
 
-#: Queries in a block, candidates in a tile, components in a shard.
-BLOCK, TILE, SHARD_VALUES = 2048, 4096, 1 << 20
+#: Queries in a block, candidates in a tile, components in a shard (64 MB).
+BLOCK, TILE, SHARD_VALUES = 2048, 4096, 1 << 23
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -71,9 +72,10 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, scale: fl
     beyond 64 bits raises. Empty tables give no rows.
     """
     whole = lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
-    q, c = (whole(usable(x, id_col, vec_col)) for x in (queries, vectors))
+    # both are counted, then dealt out; the grouping behind them happens once
+    q, c = (written(whole(usable(x, id_col, vec_col)), "vectors") for x in (queries, vectors))
     search = lambda *cell: best_of_tiles(*cell, k)
-    lists, shards = cells(q, c, search, "score long", BLOCK, SHARD_VALUES)
+    lists, shards = cells(q, c, search, "score long", BLOCK, SHARD_VALUES, TILE)
     return merged(lists, k, F.desc, shards)
 
 
