@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import paths
+from .functions import counting, paths
 from .operators import globs, graph, lists, resolve
 from .plans import detect, fixtures as fx, rendered, snapshots, views
 from .shared import written
@@ -174,6 +174,20 @@ def module_lines(spark, sf):
     return fx.sources(spark, sf).select("path", paths.line_count(F.col("content")).alias("lines"), F.md5("content").alias("hash"))
 
 
+@query()
+def token_counts(spark, sf):
+    """Tokens of every document, estimated and by a public vocabulary."""
+    import public_tokenizers
+
+    text = F.col("content")
+    return fx.sources(spark, sf).select("path", counting.estimated(text).alias("estimated"), counting.counted(text, public_tokenizers.path("byte_bpe_50k.json")).alias("counted"))
+
+
+@query(f"WITH {S} SELECT path, left(content, 50) AS first FROM s")
+def truncated_texts(spark, sf):
+    return fx.sources(spark, sf).select("path", paths.truncated(F.col("content"), 50).alias("first"))
+
+
 @query(f"WITH {S}, {M}, u AS (SELECT path FROM s UNION ALL SELECT path FROM m) SELECT path, regexp_replace(regexp_extract(path, '[^/]+$'), '\\.[^.]*$', '') AS stem, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS package, CASE WHEN starts_with(path, '/proj/') THEN substr(path, 7) ELSE path END AS relative FROM u")
 def path_parts(spark, sf):
     every = fx.sources(spark, sf).select("path").union(fx.suppliers(spark, sf).select("path"))
@@ -277,6 +291,15 @@ def graph_metadata(spark, sf):
     return a.join(b, "_one").join(c, "_one").drop("_one")
 
 
+@query(f"WITH RECURSIVE {CLOSED}, f AS (SELECT dst, count(*) AS n FROM oe GROUP BY dst), y AS ({ORACLE_SQL['cycles']}) SELECT (SELECT count(*) FROM orders) AS total_modules, (SELECT CAST(sum(length(o_orderpriority)) AS BIGINT) FROM orders) AS total_lines, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS total_dependencies, (SELECT round(avg(n), 6) FROM f) AS avg_coupling, (SELECT max(n) FROM f) AS max_coupling, (SELECT count(*) FROM y) AS total_issues, (SELECT count(*) FROM y) AS total_cycles")
+def snapshot_cycles(spark, sf):
+    """Totals with cycles; each cycle is an issue."""
+    edges = written(fx.order_edges(spark, sf), "edges")
+    on_cycles = graph.strong_components(edges)
+    sized = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.length("o_orderpriority").cast("long").alias("lines"))
+    return snapshots.metrics(sized, edges, on_cycles.select("component").distinct(), on_cycles)
+
+
 def _union(spark, sf):
     m, edges, defs = fx.suppliers(spark, sf), fx.path_edges(spark, sf), fx.definitions(spark, sf)
     counts, sized = detect.definition_counts(defs), fx.sized_modules(defs)
@@ -292,6 +315,11 @@ def issues_union(spark, sf):
     return _union(spark, sf).drop("advice")
 
 
+@query(f"WITH {ALL} SELECT kind, severity, count(*) AS n FROM u GROUP BY kind, severity")
+def issue_counts(spark, sf):
+    return snapshots.issue_counts(_union(spark, sf))
+
+
 @query(f"WITH {ALL} SELECT kind, severity, path FROM u WHERE severity = 'warn'")
 def min_severity(spark, sf):
     return detect.at_least(_union(spark, sf), "warn").drop("advice")

@@ -13,10 +13,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import engine
+from .errors import PathNotFound, PlumblineError, ReadError
 from .operators import resolve
 from .plans import contexts, documents
 from .sources import config, parse
-from .sources.tree import SourceTree
+from .sources.tree import EVERY, SourceTree
 from .streaming.watch import watch
 
 CONFIG = "plumbline.toml"
@@ -24,8 +25,11 @@ COMMANDS = ("analyze", "ai", "impact", "snapshot", "diff", "graph", "init", "mcp
 
 
 def session() -> SparkSession:
+    """The session; on one machine with as many shuffle partitions as cores, unless they are set."""
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -35,7 +39,7 @@ class Project:
     def __init__(self, spark: SparkSession, root: str | Path, languages: str | None = None, exclude: Iterable[str] = ()):
         where = Path(root)
         if not where.exists():
-            raise engine.PathNotFound(str(root))
+            raise PathNotFound(str(root))
         self.spark, self.root, self.languages, self.exclude = spark, str(where.resolve()), languages or "", ",".join(exclude)
         self.config = config.load(where / CONFIG)
         spark.dataSource.register(SourceTree)
@@ -44,8 +48,8 @@ class Project:
         return self.spark.read.format("source_tree").option("root", self.root).option("languages", self.languages).option("exclude", self.exclude).load()
 
     def watched(self, react):
-        """A query that calls ``react(changes, tick)`` whenever the tree changes."""
-        return watch(self.spark, self.root, react, languages=self.languages, exclude=self.exclude)
+        """A query that calls ``react(changes, tick)`` whenever a file of the tree changes, of any name: the configuration is one."""
+        return watch(self.spark, self.root, react, languages=EVERY, exclude=self.exclude)
 
     def analysis(self, **limits) -> engine.Analysis:
         return engine.analyze(self.sources().select("path", "content"), self.config, **limits)
@@ -55,7 +59,7 @@ class Project:
         for candidate in (Path(self.root) / file, Path(file)):
             if candidate.is_file():
                 return str(candidate.resolve())
-        raise engine.PathNotFound(file)
+        raise PathNotFound(file)
 
     def report(self, found: engine.Analysis, form: str = "markdown", severity: str = "info") -> Iterator[str]:
         """The issues; as JSON all of them, whatever the severity."""
@@ -75,13 +79,13 @@ class Project:
         if skipped := found.skipped.count():
             yield f"\n{skipped} files couldn't be parsed and are left out.\n"
 
-    def context(self, form: str = "markdown", tokens: int | None = None, signatures: bool = False, topological: bool = True) -> Iterator[str]:
+    def context(self, form: str = "markdown", tokens: int | None = None, signatures: bool = False, topological: bool = True, vocabulary: str | None = None) -> Iterator[str]:
         made = contexts.Context(self.analysis(), self.root, signatures, topological)
         if form == "json":
             return contexts.as_json(made)
         if form == "xml":
             return contexts.as_xml(made)
-        return contexts.markdown(made) if tokens is None else contexts.budgeted(made, tokens)
+        return contexts.markdown(made) if tokens is None else contexts.budgeted(made, tokens, vocabulary)
 
     def impact(self, file: str, depth: int | None = None, form: str = "markdown", tree: bool = False) -> Iterator[str]:
         target, sources = self.find(file), self.sources().select("path", "content")
@@ -94,7 +98,11 @@ def _output(path: str | None):
     if path is None:
         yield sys.stdout
     else:
-        with open(path, "w", encoding="utf-8") as f:
+        try:
+            f = open(path, "w", encoding="utf-8")  # noqa: SIM115
+        except OSError as e:
+            raise ReadError(str(e)) from e
+        with f:
             yield f
 
 
@@ -120,7 +128,7 @@ def analyze(a: argparse.Namespace) -> int:
 
 
 def ai(a: argparse.Namespace) -> int:
-    _write(Project(session(), a.path, a.lang).context(a.format, a.tokens, a.signatures, a.topo_order), a.output)
+    _write(Project(session(), a.path, a.lang).context(a.format, a.tokens, a.signatures, a.topo_order, a.vocabulary), a.output)
     return 0
 
 
@@ -175,8 +183,11 @@ def init(a: argparse.Namespace) -> int:
 
 
 def mcp(a: argparse.Namespace) -> int:
-    from .tools import serve
+    from .tools import manifest, serve
 
+    if a.manifest:
+        print(json.dumps(manifest(), indent=2))
+        return 0
     serve(session(), a.path, sys.stdin, sys.stdout)
     return 0
 
@@ -205,6 +216,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-x", "--exclude", action="append", default=[], metavar="DIR")
     p = add("ai", ai, formats=("markdown", "json", "xml"))
     p.add_argument("--tokens", type=int)
+    p.add_argument("--vocabulary", metavar="FILE", help="a tokenizer's JSON file; without it a token is four bytes")
     p.add_argument("--signatures", action="store_true")
     p.add_argument("--topo-order", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--priority", choices=("fan-in", "fan-out", "combined"), default="fan-in", help="accepted; the score is always the combined one")
@@ -226,7 +238,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-w", "--watch", action="store_true")
     p.add_argument("--export")
     add("init", init, lang=False)
-    add("mcp", mcp, lang=False)
+    add("mcp", mcp, lang=False).add_argument("--manifest", action="store_true", help="print what the tools are and how to start them")
     return top
 
 
@@ -237,6 +249,8 @@ def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(given)
     try:
         return a.run(a)
-    except (engine.PathNotFound, FileNotFoundError) as e:
+    except (PathNotFound, FileNotFoundError) as e:
         print(f"not found: {e}", file=sys.stderr)
-        return 2
+    except (PlumblineError, OSError) as e:
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+    return 2

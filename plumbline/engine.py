@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .errors import ImpactError, PathNotFound as PathNotFound
 from .operators import graph, resolve
 from .plans import detect, views
 from .shared import written
@@ -18,10 +19,6 @@ SEVERITIES = {"CircularDependency": "error", "GodObject": "warn", "HighCoupling"
 NAMED, SHOWN = 20, 5
 
 
-class PathNotFound(ValueError):
-    """A module that was asked for isn't among the sources."""
-
-
 @dataclass(frozen=True)
 class Analysis:
     """What an analysis gives.
@@ -103,7 +100,7 @@ def impact(sources: DataFrame, path: str, depth: int | None = None) -> DataFrame
     m = written(parse.modules(sources).where("parse_error IS NULL").select("path", "imports"), "modules")
     target = m.where(F.col("path") == path).select("path")
     if target.isEmpty():
-        raise PathNotFound(path)
+        raise ImpactError(path)
     return graph.impact(resolve.by_path(m), target, depth)
 
 

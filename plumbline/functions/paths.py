@@ -127,6 +127,11 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+def truncated(text: Column, most: int) -> Column:
+    """The first ``most`` code points."""
+    return F.left(text, F.lit(most))
+
+
 def delta(n: Column) -> Column:
     """A change with its sign; 0 without."""
     return F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))

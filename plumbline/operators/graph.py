@@ -34,7 +34,12 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int | None = None) -> Da
 
     Edges are bucketed once; a round takes two steps, moves the frontier only and writes it.
     """
-    back = bucketed(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")).distinct(), "back", "path")
+    with bucketed(edges.select(F.col("dst").alias("path"), F.col("src").alias("next")).distinct(), "back", "path") as back:
+        return _reached(back, targets, depth)
+
+
+def _reached(back: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
+    """``impact`` over ``back`` (path, next); every round's rows are written."""
     seen = written(targets.select("path", F.lit(0).alias("depth")).distinct(), "seen")
     level, frontier, parts = 0, seen, 0
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def metrics(modules: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of totals: modules, lines, dependencies, mean and largest fan-in over targets, issues.
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """(kind, severity, n) of ``issues`` (kind, severity)."""
+    return issues.groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+def metrics(modules: DataFrame, edges: DataFrame, issues: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """One row of totals: modules, lines, dependencies, mean and largest fan-in over targets, issues; with ``components`` (path, component) also cycles.
 
     A column ``n`` of ``edges`` says how often an edge stands; without it, each row is one.
     """
@@ -15,7 +20,10 @@ def metrics(modules: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFram
     b = fan.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_dependencies"), F.round(F.coalesce(F.avg("count"), F.lit(0.0)), 6).alias("avg_coupling"), F.coalesce(F.max("count"), F.lit(0)).alias("max_coupling"))
     c = issues.agg(F.count("*").alias("total_issues"))
     one = F.lit(1).alias("_one")  # three single rows side by side
-    return a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one").drop("_one")
+    found = a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one")
+    if components is not None:
+        found = found.join(components.agg(F.countDistinct("component").alias("total_cycles"), one), "_one")
+    return found.drop("_one")
 
 
 def module_changes(base: DataFrame, now: DataFrame) -> DataFrame:

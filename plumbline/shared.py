@@ -66,13 +66,21 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed and sorted by ``column``: joins on it don't shuffle it again."""
+@contextmanager
+def bucketed(df: DataFrame, name: str, column: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``column``: joins on it don't shuffle it again.
+
+    It leaves the catalog and the folder with the block, so what is read from it is written within.
+    """
     spark, path = df.sparkSession, place(df.sparkSession, name)
     buckets, table = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "t_" + path.rsplit("-", 1)[1]
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        forget(spark, path)
 
 
 def dropped(df: DataFrame) -> None:

@@ -7,6 +7,7 @@ import warnings
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+from ..errors import ConfigError
 from ..plans.detect import BOUNDARIES, EXPECTED_HIGH_COUPLING, Boundary, Thresholds
 
 
@@ -18,8 +19,17 @@ class Config:
 
 
 def parse(text: str) -> Config:
-    """A configuration from TOML. Boundaries of the text replace the default ones; empty lists count as left out."""
-    raw = tomllib.loads(text)
+    """A configuration from TOML. Boundaries of the text replace the default ones; empty lists count as left out.
+
+    ConfigError if the text is no TOML or lacks what a boundary needs.
+    """
+    try:
+        return _read(tomllib.loads(text))
+    except (AttributeError, KeyError, TypeError, ValueError) as e:
+        raise ConfigError(f"{type(e).__name__}: {e}") from e
+
+
+def _read(raw: dict) -> Config:
     known = {f.name for f in fields(Thresholds)}
     given = {("lines_per_export" if k == "fat_module_lines_per_export" else k): v for k, v in raw.get("thresholds", {}).items()}
     thresholds = replace(Thresholds(), **{k: v for k, v in given.items() if k in known})
@@ -37,7 +47,7 @@ def load(path: str | Path) -> Config:
         return parse(Path(path).read_text(encoding="utf-8"))
     except FileNotFoundError:
         return Config()
-    except (OSError, KeyError, TypeError, ValueError) as e:
+    except (OSError, ValueError) as e:
         warnings.warn(f"{path}: {e}", stacklevel=2)
         return Config()
 

@@ -20,8 +20,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 LANGUAGES = {"rust": ["rs"], "typescript": ["ts", "tsx", "js", "jsx"], "python": ["py"]}
 
 
-def extensions(languages: str) -> set[str]:
-    """Extensions of the comma-separated languages; unknown ones don't count, and without a known one all do."""
+#: In place of languages: files of any name.
+EVERY = "*"
+
+
+def extensions(languages: str) -> set[str] | None:
+    """Extensions of the comma-separated languages; unknown ones don't count, and without a known one all do. None, for EVERY, is any."""
+    if languages.strip() == EVERY:
+        return None
     known = [x for x in (y.strip().lower() for y in languages.split(",")) if x in LANGUAGES]
     return {e for x in known or LANGUAGES for e in LANGUAGES[x]}
 
@@ -92,7 +98,7 @@ def listed(root: str, languages: str = "", exclude: list[str] | None = None, top
         if top is not None and folder == root:
             folders[:], names = [x for x in folders if x in top], [x for x in names if x in top]
         for x in sorted(names):
-            if x.rpartition(".")[2] in kinds and not gone(x, False) and not any(inner(x).endswith(f"/{e}/") for e in leave):
+            if (kinds is None or x.rpartition(".")[2] in kinds) and not gone(x, False) and not any(inner(x).endswith(f"/{e}/") for e in leave):
                 yield os.path.join(folder, x)
 
 
@@ -175,7 +181,7 @@ class _ListingReader(DataSourceStreamReader):
 
 
 class SourceTreeListing(DataSource):
-    """A stream of whole listings, (path, mtime): each trigger lists the tree once. Options: root, languages, exclude, tasks."""
+    """A stream of whole listings, (path, mtime): each trigger lists the tree once. Options: root, languages (``*`` for files of any name), exclude, tasks."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,8 +7,9 @@ from typing import IO
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .commands import Project
-from .engine import PathNotFound
+from .errors import PlumblineError
 
 PROTOCOL = "2025-06-18"
 _TEXT, _NUMBER = {"type": "string"}, {"type": "integer", "minimum": 0}
@@ -26,8 +27,8 @@ TOOLS = [
 
 
 def manifest() -> dict:
-    """The tools' description, from the list that the server itself uses."""
-    return {"name": "plumbline", "description": "Architecture analytics of code bases.", "tools": TOOLS}
+    """The tools' description, from the list that the server itself uses, and the command that starts it."""
+    return {"name": "plumbline", "version": __version__, "command": ["python", "-m", "plumbline", "mcp"], "description": "Architecture analytics of code bases.", "tools": TOOLS}
 
 
 class BadCall(ValueError):
@@ -56,7 +57,7 @@ def answer(spark: SparkSession, root: str, message: dict) -> dict | None:
         return None
     method, given, result, error = message.get("method"), message.get("params") or {}, None, None
     if method == "initialize":
-        result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "plumbline", "version": "0.1"}, "instructions": "analyze finds issues, ai gives a context, impact shows what a change reaches."}
+        result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "plumbline", "version": __version__}, "instructions": "analyze finds issues, ai gives a context, impact shows what a change reaches."}
     elif method == "ping":
         result = {}
     elif method == "tools/list":
@@ -66,7 +67,7 @@ def answer(spark: SparkSession, root: str, message: dict) -> dict | None:
             text, bad = call(spark, root, given.get("name", ""), given.get("arguments") or {}), False
         except BadCall as e:
             error = {"code": -32602, "message": str(e)}
-        except (PathNotFound, ValueError) as e:
+        except (PlumblineError, ValueError) as e:
             text, bad = str(e), True
         if error is None:
             result = {"content": [{"type": "text", "text": text}], "isError": bad}

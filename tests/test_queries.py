@@ -17,7 +17,7 @@ from plumbline.shared import settings
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
-QUICK = [n for n in catalog.QUERIES if n != "any_error"]  # the rows of issues_of_all_kinds, counted
+QUICK = [n for n in catalog.ORACLE_SQL if n != "any_error"]  # the rows of issues_of_all_kinds, counted
 
 
 @pytest.fixture(scope="module")
