@@ -19,7 +19,7 @@ def estimated(text: Column) -> Column:
 def counted(text: Column, vocabulary: str) -> Column:
     """Tokens of ``text`` by a tokenizer's JSON file, which all machines see under this path; null for a null text, 0 for an empty one.
 
-    Whole texts; special tokens are neither added nor read as such.
+    Whole texts; special tokens are neither added nor read as such. Bytes that aren't UTF-8 count as the replacement character.
     """
 
     @F.pandas_udf("long")
@@ -37,4 +37,4 @@ def counted(text: Column, vocabulary: str) -> Column:
                 n |= {k: len(e.ids) for k, e in zip(part.index, encoder.encode_batch(part.tolist(), add_special_tokens=False), strict=True)}
             yield pd.Series([n.get(k) for k in batch.index], index=batch.index, dtype="Int64")
 
-    return run(text)
+    return run(F.make_valid_utf8(text))

@@ -21,11 +21,11 @@ GRAM = 4
 def matched(paths: DataFrame, globs: DataFrame) -> DataFrame:
     """(path, glob): each different path of ``paths`` (path) with each different glob of ``globs`` (glob) that matches it.
 
-    Null paths and globs take no part; other columns are left aside. An empty glob fits what is empty or ends in a slash,
+    Null paths and globs take no part, nor do globs that aren't UTF-8; other columns are left aside. An empty glob fits what is empty or ends in a slash,
     as ``glob_regex`` says. A glob without literals, such as ``**``, is verified against every path. Empty tables give no rows.
     """
     every = paths.select("path").where("path IS NOT NULL").distinct()
-    asked = globs.select("glob").where("glob IS NOT NULL").distinct().mapInPandas(_read, "glob string, regex string, grams array<string>")
+    asked = globs.select("glob").where("is_valid_utf8(glob)").distinct().mapInPandas(_read, "glob string, regex string, grams array<string>")
     grams = asked.select("glob", "regex", F.explode("grams").alias("gram"))
     # n-grams of paths that any glob asks for; each path holds each once
     p, most = F.col("path"), F.length("path")

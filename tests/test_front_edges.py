@@ -59,6 +59,8 @@ def test_token_counts(spark):
     encoder.encode_special_tokens = True
     assert got == {k: None if x is None else len(encoder.encode(x, add_special_tokens=False).ids) for k, x in enumerate(texts)}
     assert df.where("false").select(counting.counted(F.col("t"), path)).collect() == []
+    odd = spark.sql("SELECT CAST(X'61FF' AS STRING) AS t")
+    assert odd.select(counting.counted(F.col("t"), path)).first()[0] == len(encoder.encode("a\N{REPLACEMENT CHARACTER}", add_special_tokens=False).ids)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")

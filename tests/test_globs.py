@@ -33,3 +33,8 @@ def test_nothing_to_match(spark):
     assert run(spark, [], ["**"]) == run(spark, ["a"], []) == []
     assert run(spark, [None, "a/b"], [None, "b", "c"]) == [("a/b", "b")]
     assert run(spark, [""], ["", "**", "a"]) == [("", ""), ("", "**")]
+
+
+def test_odd_bytes(spark):
+    odd = spark.sql("SELECT CAST(X'61FF' AS STRING) AS path, CAST(X'61FF' AS STRING) AS glob UNION ALL SELECT 'a/b', 'b'")
+    assert [tuple(r) for r in globs.matched(odd, odd).where("is_valid_utf8(path)").collect()] == [("a/b", "b")]
