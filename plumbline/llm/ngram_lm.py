@@ -1,37 +1,36 @@
 """Language-model scores by stupid backoff, from counts of the corpus itself.
 
-Count tables have a row for each n-gram, (hash, count) and the hashes of its prefix and suffix, partitioned by hash.
-Each document's n-grams are exploded, joined with them and summed. A word is scored under the counts of all other
+Texts are cut into words once, in groups of rows that lie together; a group is a row with its words' hashes. Counts are
+partitioned by the hash of the n-gram: a group asks each partition for its n-grams there, every one once with its number,
+so a frequent n-gram is one entry of a group. The partition adds up what all groups have, and its counts return to the
+groups, whose words then get their scores, summed for each document. A word is scored under the counts of all other
 words (leaving one out): its own occurrence is taken off every count, or each n-gram would be found.
 
-Scores add up level by level. Every position starts as if no n-gram ending there were known; an n-gram that is found
-adds log(count / count of its prefix) and takes away what its suffix, one level below, had given. Joins of the count
-tables with each other give this ``gain`` of each n-gram, so that one join with the documents serves all levels and
-n-grams that aren't found need no row.
-
-N-grams travel in arrays by partition and are exploded where they are counted or joined. Counting takes each
-n-gram once for a group of documents. The most frequent n-grams, fewer than ``HOT`` by the threshold that selects
-them, are known to every task and not shuffled, so that any other is less than 1 / HOT of the rows. Passes over
-ranges of partitions bound what lies on disk.
+An n-gram is only found if both n-grams of a word less within it are. So from three words on, lengths follow one after the
+other, and a group asks for what can still be found. Lists travel packed, a row for each group and partition.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from itertools import repeat
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..shared import dropped, settings, written
+from ..shared import dropped, written
 from ._words import texts, words
 
 #: Words of an n-gram, weight of a step back.
 ORDER, BACKOFF = 3, 0.4
-#: N-grams that every task may know; passes of counting (for each of the lengths) and of joining; bytes of text whose n-grams are taken together; n-grams of a task.
-HOT, COUNT_PASSES, JOIN_PASSES, GROUP, TASK = 1 << 20, 2, 3, 1 << 22, 1_500_000
+#: Bytes of text in a group, words for each partition of the counts at most.
+GROUP, PART = 1 << 22, 1 << 19
+
+STATE = "gid long, counted boolean, scored boolean, n_words long, ids array<long>, sizes binary, words binary, at binary, found array<binary>"
+ANSWER = "gid long, part int, found binary"
+SCORE = "doc_id long, n_words long, log_score double"
 
 #: Multipliers of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -41,9 +40,9 @@ def _turned(x: np.ndarray, bits: int) -> np.ndarray:
     return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
 
-def xxhash64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
-    """What the SQL function of this name gives for columns of longs."""
-    h = np.uint64(seed)
+def xxhash64(columns: list[np.ndarray], seed: int | np.ndarray = 42) -> np.ndarray:
+    """What the SQL function of this name gives for columns of longs; with hashes as ``seed``, of theirs and these together."""
+    h = np.asarray(seed, np.uint64)
     with np.errstate(over="ignore"):
         for x in columns:
             h = _turned((h + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
@@ -53,136 +52,162 @@ def xxhash64(columns: list[np.ndarray], seed: int = 42) -> np.ndarray:
     return h
 
 
-def ngrams(group: list[bytes], order: int, lengths: range | None = None) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """N-grams of each length, by the position they end at; each position's text; each text's words.
-
-    An n-gram is (length, hashes, whether the text has so many words before, its words with zeros for missing ones in front).
-    """
-    w, first, _ = words(b" ".join(group))
-    bounds = np.cumsum([len(x) + 1 for x in group])
-    sizes = np.diff(np.searchsorted(first, bounds), prepend=0)
-    w = np.maximum(w, np.uint64(1))
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(w)) - (np.cumsum(sizes) - sizes)[doc]
-    columns, zero = [w], np.uint64(0)
-    for _ in range(order - 1):
-        columns.insert(0, np.append(np.uint64(0), columns[0][:-1])[: len(w)])
-    out = []
-    for n in lengths or range(1, order + 1):
-        own = [zero] * (order - n) + columns[order - n :]
-        out.append((n, xxhash64(own), place >= n - 1, own))
-    return out, doc, sizes
-
-
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers by byte, compressed."""
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _part_of(h: Column, parts: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(h, 32) * parts, 32).cast("int")
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
-def _starts(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values start."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+def _slices(x: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The bytes of x, cut where ``start`` says."""
+    offsets = (np.append(start, len(x)) * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _lists(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """A row for each partition, with its entries as arrays; longs, or ints where the values are."""
-    part = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part.astype(np.int64)
-    sort = np.argsort(part, kind="stable")
-    part = part[sort]
-    start = _starts(part)
-    offsets = pa.array(np.append(start, len(part)).astype(np.int32))
-    arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[sort])) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), *arrays], names=names)
+def _before(x: np.ndarray) -> np.ndarray:
+    """What stands one place earlier; zero at the first."""
+    return np.concatenate((np.zeros(1, x.dtype), x))[: len(x)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
-    """Rows' first columns, and their texts (the last one), that are taken together: GROUP bytes, or one longer text."""
-    rows: list[tuple] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of rows that are taken together: GROUP bytes, or one longer text."""
+    ids: list = []
     held: list[bytes] = []
     size = 0
     for batch in batches:
-        firsts = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else repeat((), batch.num_rows)
-        for row, text in zip(firsts, texts(batch.columns[-1]), strict=True):
+        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             if held and size + len(text) > GROUP:
-                yield rows, held
-                rows, held, size = [], [], 0
-            rows.append(row)
+                yield ids, held
+                ids, held, size = [], [], 0
+            ids.append(key)
             held.append(text)
             size += len(text)
     if held:
-        yield rows, held
-
+        yield ids, held
 
-def _exploded(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select("part", *columns[1:], F.posexplode(columns[0])).select("part", F.col("col").alias(columns[0]), *(F.col(c)[F.col("pos")].alias(c) for c in columns[1:]))
 
+def _encoded(rows: DataFrame, counted: bool, scored: bool) -> DataFrame:
+    """Groups of rows (doc_id, text)."""
 
-def _tasks(spark: SparkSession, rows: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, group in _groups(batches):
+            w, first, _ = words(b" ".join(group))
+            sizes = np.diff(np.searchsorted(first, np.cumsum([len(x) + 1 for x in group])), prepend=0).astype("<i8")
+            each, at = np.unique(w, return_inverse=True)
+            row = {
+                "gid": uuid.uuid4().int >> 65, "counted": counted, "scored": scored, "n_words": len(w), "ids": ids if scored else [],
+                "sizes": sizes.tobytes(), "words": _packed(each.astype("<u8")), "at": _packed(at.astype("<u4")), "found": [],
+            }
+            yield pa.RecordBatch.from_pylist([row], schema=ARROW)
 
+    return rows.mapInArrow(encode, STATE)
 
-def _counted(own: DataFrame, order: int, lengths: range, tasks: int, passes: int, now: int) -> DataFrame:
-    """(length, h, prefix_h, suffix_h, n) of the n-grams of these lengths whose partitions belong to this pass."""
-    ws, parts = [f"w{k + 1}" for k in range(order)], 8 * tasks * passes
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches):
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order + 2)]
-            for _, h, valid, own_words in ngrams(group, order, lengths)[0]:
-                part = _part(h, parts)
-                mine = np.flatnonzero(valid & (part % np.uint64(passes) == np.uint64(now)))
-                sort = mine[np.argsort(h[mine])]
-                start = _starts(h[sort])
-                first = sort[start]
-                for col, x in zip(cols, [part[first], np.diff(np.append(start, len(sort))).astype(np.uint64), *(c[first] if c.ndim else np.zeros(len(first), np.uint64) for c in own_words)], strict=True):
-                    col.append(x)
-            part, n, *found = (np.concatenate(c) for c in cols)
-            if len(part):
-                sort = np.lexsort((found[-1], found[max(0, order - 2)]))  # like words lie together, which compresses
-                yield _lists(part[sort], [*(x[sort].view(np.int64) for x in found), n[sort].astype(np.int32)], ["part", *ws, "n"])
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split(" ") for x in STATE.split(", "))])
 
-    kind = ", ".join(["part int", *(f"{w} array<long>" for w in ws), "n array<int>"])
-    rows = own.select("text").mapInArrow(explode, kind).repartition(tasks, "part")
-    total = _exploded(rows, [*ws, "n"]).groupBy("part", *ws).agg(F.sum("n").alias("n"))
-    zero, cols = F.lit(0).cast("long"), [F.col(w) for w in ws]
-    length = sum((F.when(c != 0, 1).otherwise(0) for c in cols[1:]), F.when(cols[0] != 0, 1).otherwise(0))
-    # the prefix has one word less at the end, so all words move back; the suffix has a zero for its first word
-    suffix = F.xxhash64(*(F.when(length == order - k, zero).otherwise(c) for k, c in enumerate(cols)))
-    return total.select(length.alias("length"), F.xxhash64(*cols).alias("h"), F.xxhash64(zero, *cols[:-1]).alias("prefix_h"), suffix.alias("suffix_h"), "n")
 
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a group, its text's number and its place in it."""
+    sizes = np.frombuffer(row["sizes"], "<i8")
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return doc, np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
+
+
+def ngrams(row: dict, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A group's n-grams of each length that can still be found: the words they end at, and hashes."""
+    w, place = _unpacked(row["words"], "<u8")[_unpacked(row["at"], "<u4")], _places(row)[1]
+    h, out = np.full(len(w), 42, np.uint64), []
+    for n in range(1, lengths[-1] + 1):
+        h = xxhash64([w], h if n == 1 else _before(h))
+        if n in lengths:
+            mine = place >= n - 1
+            if 1 < n <= len(row["found"]) + 1:
+                shorter = _unpacked(row["found"][n - 2], "<i8") > 0
+                mine &= shorter & _before(shorter)
+            at = np.flatnonzero(mine)
+            out.append((at, h[at]))
+    return out
 
-def _gains(counts: list[tuple[range, DataFrame]], all_words: int, order: int, backoff: float, off: int) -> list[DataFrame]:
-    """(h, n, prefix, gain) of each length's n-grams; ``prefix`` is the prefix's count. ``off`` is what a count loses.
 
-    ``counts`` are tables with the lengths they hold; they are deleted once used.
-    """
-    log = lambda c: F.log(F.col(c) - off)
-    out: list[DataFrame] = []
-    for length in range(1, order + 1):
-        level = None
-        for lengths, table in counts:
-            if length not in lengths:
-                continue
-            own = table.where((F.col("length") == length) & (F.col("n") > off))
-            if length == 1:
-                both, gain = own.withColumn("prefix", F.lit(all_words).cast("long")), log("n")
-            else:
-                prefix = out[-1].select(F.col("h").alias("prefix_h"), F.col("n").alias("prefix")).hint("shuffle_hash")
-                suffix = out[-1].select(F.col("h").alias("suffix_h"), F.col("n").alias("suffix"), F.col("prefix").alias("middle")).hint("shuffle_hash")
-                both = own.join(prefix, "prefix_h").join(suffix, "suffix_h")
-                gain = log("n") - log("prefix") - log("suffix") + log("middle")
-            part = written(both.select("h", "n", "prefix", (gain - math.log(backoff)).alias("gain")), "gains")
-            if length == lengths[-1]:
-                dropped(table)
-            level = part if level is None else level.unionByName(part)
-        out.append(level)
+def _counts(groups: DataFrame, lengths: range, parts: int, off: int) -> DataFrame:
+    """(gid, part, found): the counts, less ``off``, of what each group asks a partition for, by ascending hash."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                h, n = np.unique(np.concatenate([x for _, x in ngrams(row, lengths)]), return_counts=True)
+                part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                start = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+                n = n.astype("<u4") if row["counted"] else np.zeros(len(h), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["gid"])), pa.array(part[start].astype(np.int32)), _slices(h, start), _slices(n, start)], names=["gid", "part", "h", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = table["h"].to_pylist()
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), "<u4")
+        _, back = np.unique(np.frombuffer(b"".join(lists), "<u8"), return_inverse=True)
+        found = np.maximum(np.bincount(back, n).astype("<i8") - off, 0)[back]
+        ends = np.cumsum([len(x) // 8 for x in lists])
+        packed = [_packed(found[a:z]) for a, z in zip(_before(ends).tolist(), ends.tolist(), strict=True)]
+        return pa.table({"gid": table["gid"], "part": table["part"], "found": pa.array(packed, pa.binary())})
+
+    asked = groups.mapInArrow(ask, "gid long, part int, h binary, n binary")
+    return written(asked.groupBy("part").applyInArrow(count, ANSWER), "counts")
+
+
+def _found(row: dict, answers: pa.Table, lengths: range) -> list[np.ndarray]:
+    """For each length so far, the count of the n-gram that ends at each word of a group, or zero."""
+    asked = ngrams(row, lengths)
+    got = sorted(zip(answers["part"].to_pylist(), answers["found"].to_pylist(), strict=True))
+    found = np.concatenate([np.zeros(0, "<i8"), *(_unpacked(x, "<i8") for _, x in got)])
+    h, back = np.unique(np.concatenate([x for _, x in asked]), return_inverse=True)
+    assert len(found) == len(h)
+    each = np.split(found[back], np.cumsum([len(at) for at, _ in asked])[:-1])
+    out = [_unpacked(x, "<i8") for x in row["found"]]
+    for (at, _), x in zip(asked, each, strict=True):
+        out.append(np.zeros(row["n_words"], "<i8"))
+        out[-1][at] = x
     return out
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, corpus: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+def _taken(groups: DataFrame, answers: DataFrame, lengths: range) -> DataFrame:
+    """The groups, with counts of these lengths."""
+
+    def take(own: pa.Table, got: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        return pa.Table.from_pylist([row | {"found": [_packed(x) for x in _found(row, got, lengths)]}], schema=ARROW)
+
+    return written(groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(take, STATE), "groups")
+
+
+def _scores(groups: DataFrame, answers: DataFrame, lengths: range, base: int, backoff: float) -> DataFrame:
+    """Every row's score, once counts of the last lengths have come; ``base`` is the number of all words."""
+    step = math.log(backoff)
+
+    def score(own: pa.Table, got: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        if not row["scored"]:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
+        found, (doc, place) = _found(row, got, lengths), _places(row)
+        logs = np.where(found[0] > 0, np.log(np.maximum(found[0], 1)), step) - math.log(base)
+        for n in range(2, len(found) + 1):
+            here = found[n - 1] > 0
+            logs += np.where(place >= n - 1, step, 0.0)
+            logs[here] = np.log(found[n - 1][here] / _before(found[n - 2])[here])
+        sizes = np.frombuffer(row["sizes"], "<i8")
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(np.bincount(doc, logs, len(sizes)).astype(float))})
+
+    return groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(score, SCORE)
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, corpus: DataFrame | None = None, hot: int | None = None) -> DataFrame:
     """(doc_id, n_words, log_score): for each row of ``docs`` (doc_id long, text) the sum of its words' log scores.
 
     A word's score is count(n-gram) / count(n-gram without the word) for the longest n-gram ending at it, up to
@@ -192,77 +217,25 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     Whole texts count, in n-grams of all lengths and frequencies. Words are separated by ASCII white space, A-Z
     lower-cased. Null and empty texts have 0 words and score 0; an empty table has no rows. Rows with null or repeated
     ids are scored each for itself; other columns are left aside. Bytes that aren't UTF-8 are part of words. N-grams
-    and rows are told apart by 64-bit hashes. The n-grams of one text have to fit in a task.
+    are told apart by 64-bit hashes. The n-grams of one text have to fit in a task. ``hot`` has no effect any more: no
+    n-gram, however frequent, is more than one entry of a group.
     """
-    spark, off = docs.sparkSession, int(corpus is None)
+    off = int(corpus is None)
     text = F.col("text").cast("binary").alias("text")
-    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text)
-    seen = own if corpus is None else corpus.select(text)
-    # a word is taken to have six bytes; this decides on the number of tasks only
-    n_words, n_seen = (-(-(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6) for x in (own, seen))
-    tables, all_words = [], 0
-    for lengths in (range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))):
-        for k in range(COUNT_PASSES):
-            tasks = _tasks(spark, n_seen * len(lengths) // COUNT_PASSES)
-            table = written(_counted(seen, order, lengths, tasks, COUNT_PASSES, k).where((F.col("n") > off) | (F.col("length") == 1)), "counts")
-            tables.append((lengths, table))
-            all_words += table.where("length = 1").agg(F.sum("n")).first()[0] or 0 if lengths[0] == 1 else 0
-    base_word = math.log(max(1, all_words - off))
-    gains = _gains(tables, max(1 + off, all_words), order, backoff, off)
-    model = gains[0].select("h", "n", "gain")
-    for x in gains[1:]:
-        model = model.unionByName(x.select("h", "n", "gain"))
-    entries = model.agg(F.sum("n")).first()[0] or 0
-    # fewer than ``hot`` rows: each stands for more than one in ``hot`` of all entries
-    known = model.where(F.col("n") * hot > entries).select("h", "gain").toPandas()
-    known = known.iloc[np.argsort(known["h"].to_numpy(np.int64).view(np.uint64))]
-    hot_h, hot_gain = np.append(known["h"].to_numpy(np.int64).view(np.uint64), np.uint64(2**64 - 1)), np.append(known["gain"].to_numpy(float), 0.0)
-
-    def at_hot(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(hot_h, h)
-        return at, (hot_h[at] == h) & (at < len(hot_h) - 1)
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, group in _groups(batches):
-            found, doc, sizes = ngrams(group, order)
-            total = sum(np.maximum(sizes - k, 0) for k in range(order)) * math.log(backoff) - sizes * base_word
-            for _, h, valid, _ in found:
-                at, is_hot = at_hot(h)
-                total += np.bincount(doc, np.where(valid & is_hot, hot_gain[at], 0.0), len(group))
-            keys, ids = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total)], names=["key", "doc_id", "n_words", "total"])
-
-    rows = written(own.mapInArrow(start, "key long, doc_id long, n_words long, total double"), "rows")
-    sums = rows.select("key", F.lit(0.0).alias("more"), F.lit(1).cast("long").alias("copies"))
-    for k in range(JOIN_PASSES):
-        found = _found(own, model, order, _tasks(spark, n_words * order // JOIN_PASSES), k, lambda h: at_hot(h)[1])
-        with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-            part = written(found, "sums")
-        sums = sums.unionByName(part.withColumn("copies", F.lit(0).cast("long")))
-    # equal rows have one key, whose sums stand for all of them
-    sums = sums.groupBy("key").agg((F.sum("more") / F.sum("copies")).alias("more"))
-    return rows.join(sums, "key").select("doc_id", "n_words", (F.col("total") + F.col("more")).alias("log_score"))
-
-
-def _found(own: DataFrame, model: DataFrame, order: int, tasks: int, now: int, is_hot: Callable) -> DataFrame:
-    """(key, more): for each row of ``own`` the gains of its n-grams in this pass's partitions, hot ones excepted."""
-    parts = 8 * tasks * JOIN_PASSES
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, group in _groups(batches):
-            found, doc, _ = ngrams(group, order)
-            keys, out = np.array([r[0] for r in rows], np.int64), []
-            for _, h, valid, _ in found:
-                at = np.flatnonzero(valid & (_part(h, parts) % np.uint64(JOIN_PASSES) == np.uint64(now)))
-                at = at[~is_hot(h[at])]
-                out.append((h[at], keys[doc[at]]))
-            h, key = (np.concatenate(c) for c in zip(*out, strict=True))
-            if len(h):
-                yield _lists(_part(h, parts), [key, h.view(np.int64)], ["part", "key", "h"])
-
-    asked = _exploded(own.select("key", "text").mapInArrow(explode, "part int, key array<long>, h array<long>").repartition(tasks, "part"), ["key", "h"])
-    here = model.select(_part_of(F.col("h"), parts).alias("part"), "h", "gain").where(F.col("part") % JOIN_PASSES == now).repartition(tasks, "part")
-    return asked.join(here.hint("shuffle_hash"), ["part", "h"]).groupBy("key").agg(F.sum("gain").alias("more"))
+    own = _encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), corpus is None, True)
+    # written once, and read from there: groups stay the same however the rows came
+    groups = written(own if corpus is None else own.unionByName(_encoded(corpus.select(F.lit(None).cast("long").alias("doc_id"), text), True, False)), "groups")
+    all_words, n_words = groups.agg(F.sum(F.when(F.col("counted"), F.col("n_words"))), F.sum("n_words")).first()
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = range(1, min(order, 2) + 1)
+    parts = max(8 * tasks, -(-(n_words or 0) * len(first) // PART))
+    lengths = [first, *(range(n, n + 1) for n in range(3, order + 1))]
+    for now in lengths[:-1]:
+        answers = _counts(groups, now, parts, off)
+        last, groups = groups, _taken(groups, answers, now)
+        dropped(last)
+        dropped(answers)
+    return _scores(groups, _counts(groups, lengths[-1], parts, off), lengths[-1], max(1, (all_words or 0) - off), backoff)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,16 @@ def test_hashes_are_the_functions(spark):
     x = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
     rows = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "a long").select(F.xxhash64("a", F.lit(5).cast("long"))).collect()
     assert [r[0] for r in rows] == ngram_lm.xxhash64([x, np.full(4, 5, np.uint64)]).view(np.int64).tolist()
+
+
+def test_lists_travel_packed(spark, monkeypatch):
+    """No table has a row for each n-gram, and the driver gathers no n-grams: a group has a row for each partition at most."""
+    rng, tables, write = random.Random(5), [], ngram_lm.written
+    data = [(k, " ".join(str(rng.randint(0, 4000)) for _ in range(4000))) for k in range(8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(ngram_lm, "written", lambda df, name, *by: tables.append((name, write(df, name, *by))) or tables[-1][1])
+    monkeypatch.setattr(ngram_lm, "dropped", lambda df: None)
+    monkeypatch.setattr(type(docs), "toPandas", None)
+    got = ngram_lm.backoff_scores(docs).collect()
+    same(got, range(8), brute([t for _, t in data], 3))
+    assert max(df.count() for _, df in tables) <= 2 * 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
