@@ -26,7 +26,7 @@ from ._words import texts, words
 #: Words of an n-gram, weight of a step back.
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a group, words for each partition of the counts at most.
-GROUP, PART = 1 << 22, 1 << 19
+GROUP, PART = 1 << 22, 1 << 21
 
 STATE = "gid long, counted boolean, scored boolean, n_words long, ids array<long>, sizes binary, words binary, at binary, found array<binary>"
 ANSWER = "gid long, part int, found binary"
@@ -64,10 +64,9 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
-def _slices(x: np.ndarray, start: np.ndarray) -> pa.Array:
-    """The bytes of x, cut where ``start`` says."""
-    offsets = (np.append(start, len(x)) * x.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+def _pieces(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """x cut at ``ends``, each piece packed."""
+    return pa.array([_packed(x[a:z]) for a, z in zip(_before(ends).tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
 def _before(x: np.ndarray) -> np.ndarray:
@@ -99,10 +98,14 @@ def _encoded(rows: DataFrame, counted: bool, scored: bool) -> DataFrame:
         for ids, group in _groups(batches):
             w, first, _ = words(b" ".join(group))
             sizes = np.diff(np.searchsorted(first, np.cumsum([len(x) + 1 for x in group])), prepend=0).astype("<i8")
-            each, at = np.unique(w, return_inverse=True)
+            each, at, n = np.unique(w, return_inverse=True, return_counts=True)
+            # frequent words get small numbers; differences of ascending hashes are small too
+            order = np.argsort(-n, kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order))
             row = {
                 "gid": uuid.uuid4().int >> 65, "counted": counted, "scored": scored, "n_words": len(w), "ids": ids if scored else [],
-                "sizes": sizes.tobytes(), "words": _packed(each.astype("<u8")), "at": _packed(at.astype("<u4")), "found": [],
+                "sizes": sizes.tobytes(), "words": _packed(each[order] - _before(each[order])), "at": _packed(number[at]), "found": [],
             }
             yield pa.RecordBatch.from_pylist([row], schema=ARROW)
 
@@ -120,16 +123,23 @@ def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
 
 
+def _known(row: dict) -> list[np.ndarray]:
+    """The counts that a group has, for each of its words; single words' are held once for each different word."""
+    found = [_unpacked(x, "<i8") for x in row["found"]]
+    return [x if k else x[_unpacked(row["at"], "<u4")] for k, x in enumerate(found)]
+
+
 def ngrams(row: dict, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
     """A group's n-grams of each length that can still be found: the words they end at, and hashes."""
-    w, place = _unpacked(row["words"], "<u8")[_unpacked(row["at"], "<u4")], _places(row)[1]
+    known = _known(row)
+    w, place = np.cumsum(_unpacked(row["words"], "<u8"))[_unpacked(row["at"], "<u4")], _places(row)[1]
     h, out = np.full(len(w), 42, np.uint64), []
     for n in range(1, lengths[-1] + 1):
         h = xxhash64([w], h if n == 1 else _before(h))
         if n in lengths:
             mine = place >= n - 1
-            if 1 < n <= len(row["found"]) + 1:
-                shorter = _unpacked(row["found"][n - 2], "<i8") > 0
+            if 1 < n <= len(known) + 1:
+                shorter = known[n - 2] > 0
                 mine &= shorter & _before(shorter)
             at = np.flatnonzero(mine)
             out.append((at, h[at]))
@@ -145,18 +155,19 @@ def _counts(groups: DataFrame, lengths: range, parts: int, off: int) -> DataFram
                 row = batch.slice(k, 1).to_pylist()[0]
                 h, n = np.unique(np.concatenate([x for _, x in ngrams(row, lengths)]), return_counts=True)
                 part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                start = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+                last = np.flatnonzero(np.append(part[1:] != part[:-1], True)[: len(part)])
+                steps = h - _before(h)
+                starts = _before(last + 1)
+                steps[starts] = h[starts]
                 n = n.astype("<u4") if row["counted"] else np.zeros(len(h), "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["gid"])), pa.array(part[start].astype(np.int32)), _slices(h, start), _slices(n, start)], names=["gid", "part", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(last), row["gid"])), pa.array(part[last].astype(np.int32)), _pieces(steps, last + 1), _pieces(n, last + 1)], names=["gid", "part", "h", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        lists = table["h"].to_pylist()
-        n = np.frombuffer(b"".join(table["n"].to_pylist()), "<u4")
-        _, back = np.unique(np.frombuffer(b"".join(lists), "<u8"), return_inverse=True)
+        lists = [np.cumsum(_unpacked(x, "<u8")) for x in table["h"].to_pylist()]
+        n = np.concatenate([_unpacked(x, "<u4") for x in table["n"].to_pylist()])
+        _, back = np.unique(np.concatenate(lists), return_inverse=True)
         found = np.maximum(np.bincount(back, n).astype("<i8") - off, 0)[back]
-        ends = np.cumsum([len(x) // 8 for x in lists])
-        packed = [_packed(found[a:z]) for a, z in zip(_before(ends).tolist(), ends.tolist(), strict=True)]
-        return pa.table({"gid": table["gid"], "part": table["part"], "found": pa.array(packed, pa.binary())})
+        return pa.table({"gid": table["gid"], "part": table["part"], "found": _pieces(found, np.cumsum([len(x) for x in lists]))})
 
     asked = groups.mapInArrow(ask, "gid long, part int, h binary, n binary")
     return written(asked.groupBy("part").applyInArrow(count, ANSWER), "counts")
@@ -170,7 +181,7 @@ def _found(row: dict, answers: pa.Table, lengths: range) -> list[np.ndarray]:
     h, back = np.unique(np.concatenate([x for _, x in asked]), return_inverse=True)
     assert len(found) == len(h)
     each = np.split(found[back], np.cumsum([len(at) for at, _ in asked])[:-1])
-    out = [_unpacked(x, "<i8") for x in row["found"]]
+    out = _known(row)
     for (at, _), x in zip(asked, each, strict=True):
         out.append(np.zeros(row["n_words"], "<i8"))
         out[-1][at] = x
@@ -182,7 +193,10 @@ def _taken(groups: DataFrame, answers: DataFrame, lengths: range) -> DataFrame:
 
     def take(own: pa.Table, got: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        return pa.Table.from_pylist([row | {"found": [_packed(x) for x in _found(row, got, lengths)]}], schema=ARROW)
+        at, found = _unpacked(row["at"], "<u4"), _found(row, got, lengths)
+        single = np.zeros(int(at.max(initial=0)) + 1, "<i8")
+        single[at] = found[0]
+        return pa.Table.from_pylist([row | {"found": [_packed(x) for x in (single, *found[1:])]}], schema=ARROW)
 
     return written(groups.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(take, STATE), "groups")
 
@@ -228,7 +242,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     all_words, n_words = groups.agg(F.sum(F.when(F.col("counted"), F.col("n_words"))), F.sum("n_words")).first()
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = range(1, min(order, 2) + 1)
-    parts = max(8 * tasks, -(-(n_words or 0) * len(first) // PART))
+    parts = max(2 * tasks, -(-(n_words or 0) * len(first) // PART))
     lengths = [first, *(range(n, n + 1) for n in range(3, order + 1))]
     for now in lengths[:-1]:
         answers = _counts(groups, now, parts, off)
