@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
@@ -25,7 +24,7 @@ from ._words import SPACES, polynomial
 #: Characters of one piece of work; longer texts are cut at spaces only.
 CHUNK = 1 << 21
 #: Words remembered at most; beyond, the memory starts again.
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 #: ASCII and the letters of the Latin blocks: there, every byte of a non-ASCII character is part of a letter.
 _KNOWN = regex.compile(r"[\x00-\x7FÀ-ÖØ-öø-ɏ]*+")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -96,20 +95,49 @@ def _split_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[word], end[word]
 
 
-def _same(data: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
-    """Whether data[first : first + size] and data[other : other + size] are equal for all bounds, eight bytes at a time."""
-    room = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def _same(a: np.ndarray, first: np.ndarray, size: np.ndarray, b: np.ndarray, other: np.ndarray) -> bool:
+    """Whether the ``size`` bytes from ``first`` in one and from ``other`` in the other are equal for all bounds; both as ``_eights``."""
     while len(first):
         rest = np.minimum(size, 8).astype(np.uint64)
         unused = np.uint64(64) - np.uint64(8) * rest
-        if ((eight[first] << unused) != (eight[other] << unused)).any():
+        if ((a[first] << unused) != (b[other] << unused)).any():
             return False
         more = size > 8
         first, other, size = first[more] + 8, other[more] + 8, size[more] - 8
     return True
 
 
+class _Words:
+    """Words and their ids in a few arrays, by ascending hash."""
+
+    def __init__(self) -> None:
+        self.hashes, self.bytes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, "<u4")
+        #: Where a word's bytes and ids lie: first of each, number of each.
+        self.at = np.zeros((4, 0), np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and whether the hash is there."""
+        k = np.searchsorted(self.hashes, hashes)
+        there = k < len(self.hashes)
+        there[there] = self.hashes[k[there]] == hashes[there]
+        return k, there
+
+    def add(self, hashes: np.ndarray, new: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """New words by ascending hash; those of each end in ``ids`` where ``ends`` says."""
+        sizes = np.array([len(x) for x in new])
+        n = np.diff(ends, prepend=0)
+        own = np.array([len(self.bytes) + np.cumsum(sizes) - sizes, len(self.ids) + ends - n, sizes, n])
+        k = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at = np.insert(self.hashes, k, hashes), np.insert(self.at, k, own, axis=1)
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(new), np.uint8)))
+        self.ids = np.concatenate((self.ids, ids))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -118,7 +146,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(x["content"] for x in spec["added_tokens"])
-        self.ids: dict[int, tuple[bytes, bytes]] = {}
+        self.words = _Words()
         self.lower, self.plain = self._known(spec), self._known_bytes(spec)
         self.fast = self.lower or self.plain
         if self.fast:
@@ -128,6 +156,10 @@ class Encoder:
             vocabulary, end = self.whole.get_vocab(), spec["model"]["end_of_word_suffix"]
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for w, i in vocabulary.items() if w.endswith(end)]] = True
+        elif self.plain:  # a sign of the vocabulary stands for a byte
+            vocabulary = spec["model"]["vocab"]
+            self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            self.size[list(vocabulary.values())] = [len(w) for w in vocabulary]
 
     @staticmethod
     def _known(spec: dict) -> bool:
@@ -146,22 +178,17 @@ class Encoder:
         cut, model = spec["pre_tokenizer"] or {}, spec["model"]
         return bool(
             spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut["add_prefix_space"]
-            and "merges" in model and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("dropout")
+            and "merges" in model and set(pre_tokenizers.ByteLevel.alphabet()) <= set(model["vocab"]) and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("dropout")
         )
 
-    def _learn(self, hashes: list[int], new: list[bytes]) -> None:
-        words = [x.decode() for x in new]
-        if self.plain:
-            each = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-            raw = np.fromiter(chain.from_iterable(each), dtype="<u4").tobytes()
-            ends = (4 * np.cumsum([len(x) for x in each])).tolist()
-            self.ids.update((h, (w, raw[a:z])) for h, w, a, z in zip(hashes, new, [0, *ends[:-1]], ends, strict=True))
-            return
-        got = self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        got = self.model.encode_batch_fast([[x.decode() for x in new]], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(got.ids, dtype="<u4")
-        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()  # ids of the last part of a word are marked
-        raw = ids.tobytes()
-        self.ids.update((h, (w, raw[a:z])) for h, w, a, z in zip(hashes, new, [0, *ends[:-1]], ends, strict=True))
+        if self.lower:
+            ends = np.flatnonzero(self.last[ids]) + 1  # ids of the last part of a word are marked
+        else:
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x) for x in new])) + 1
+        self.words.add(hashes, new, ids, ends)
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """The ids of several texts of known characters, lower-cased if the tokenizer does so."""
@@ -173,24 +200,24 @@ class Encoder:
             return [b""] * len(texts)
         hashes, size = polynomial(data, first, end), end - first
         each, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        keys = each.tolist()
-        words = [joined[a:z] for a, z in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-        new = [k for k, h in enumerate(keys) if h not in self.ids]
-        if new:
-            self._learn([keys[k] for k in new], [words[k] for k in new])
-        found = [self.ids[h] for h in keys]
-        alike = all(w == x for w, (x, _) in zip(words, found, strict=True)) and (size == size[at][back]).all() and _same(data, first, size, first[at][back])
+        if len(self.words.hashes) > REMEMBERED:
+            self.words = _Words()
+        k, there = self.words.find(each)
+        if not there.all():
+            unknown = at[~there]
+            self._learn(each[~there], [joined[a:z] for a, z in zip(first[unknown].tolist(), end[unknown].tolist(), strict=True)])
+            k, _ = self.words.find(each)
+        word_at, id_at, word_size, id_size = self.words.at[:, k]
+        here, eights = first[at], _eights(data)
+        alike = (
+            (size[at] == word_size).all() and _same(eights, here, word_size, _eights(self.words.bytes), word_at)
+            and (size == word_size[back]).all() and _same(eights, first, size, eights, here[back])
+        )
         if not alike:
             return [self._whole(x) for x in texts]
-        packed = [x for _, x in found]
-        arena = np.frombuffer(b"".join(packed), dtype="<u4")
-        sizes = np.array([len(x) for x in packed], dtype=np.int64) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[back]
+        n = id_size[back]
         ends = np.cumsum(n)
-        ids = arena[np.arange(ends[-1]) + np.repeat(starts[back] - (ends - n), n)].tobytes()
+        ids = self.words.ids[np.arange(ends[-1]) + np.repeat(id_at[back] - (ends - n), n)].tobytes()
         bounds = np.cumsum([len(x) + 1 for x in raw])[:-1]
         cut = [0, *(4 * np.append(0, ends)[np.searchsorted(first, bounds)]).tolist(), len(ids)]
         return [ids[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
