@@ -129,3 +129,46 @@ def test_preorder(spark):
     for root in sorted(k for k, p in parent.items() if p is None):
         walk(root, 0)
     assert got == want
+
+
+def brute_preorder(rows):
+    kids: dict = {}
+    for path, above in set(rows):
+        kids.setdefault(above, []).append(path)
+    found = {path: (above, None, None, None, path == max(kids[above])) for path, above in rows}
+    order: list = []
+
+    def walk(path, above, depth):
+        at = len(order)
+        order.append(path)
+        for kid in sorted(kids.get(path, [])):
+            walk(kid, path, depth + 1)
+        found[path] = (above, at, depth, len(order) - at, path == max(kids[above]))
+
+    for root in sorted(kids.get(None, [])):
+        walk(root, None, 0)
+    return found
+
+
+@pytest.mark.parametrize("back", [150, 3])
+def test_preorder_of_many_kinds_of_trees(spark, monkeypatch, back):
+    """Bushy and long ones, in blocks of a few rows, beside rings, what hangs below them or a missing parent, and rows that stand twice."""
+    monkeypatch.setattr(lists, "BLOCK", 7)
+    rng = random.Random(back)
+    ids = rng.sample(range(1500), 150)
+    rows = [(ids[k], ids[rng.randrange(max(0, k - back), k)] if k > 3 else None) for k in range(150)]
+    rows += [(-1, -2), (-2, -3), (-3, -1), (-4, -1), (-5, -4), (-9, -9), (-10, -9), (-6, -999), (-7, -6), (-8, -7), (-11, -999)] + rows[:20]
+    rows = [(f"é{a}", None if b is None else f"é{b}") for a, b in rows]
+    got = lists.preorder(spark.createDataFrame(rows, "path string, parent string")).collect()
+    assert len(got) == len(set(rows)) and {r.path: tuple(r)[1:] for r in got} == brute_preorder(rows)
+
+
+def test_preorder_of_flat_trees_takes_no_doubling(spark, monkeypatch):
+    """Trees of many rows and four levels: the work is some passes, not a round for each doubling of the tour."""
+    tables = []
+    plain = lists.written
+    monkeypatch.setattr(lists, "written", lambda df, name, *by: tables.append(name) or plain(df, name, *by))
+    rows = [(k, None) for k in range(3)] + [(10 + k, k % 3) for k in range(20)] + [(100 + 2 * k, 10 + k % 20) for k in range(500)] + [(101 + 2 * k, 100 + 2 * (k * 7 % 400)) for k in range(6000)]
+    got = lists.preorder(spark.createDataFrame(rows, "path long, parent long")).collect()
+    assert {r.path: tuple(r)[1:] for r in got} == brute_preorder(rows)
+    assert "links" not in tables and tables.count("live") == 3
