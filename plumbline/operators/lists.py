@@ -9,7 +9,7 @@ from ..shared import dropped, written
 #: A layer's floor where nothing is known; no layer is below zero.
 NONE = -(2**60)
 #: Rows of a block that sums run over, at least, and blocks, at most.
-BLOCK, BLOCKS = 2**14, 2**12
+BLOCK, BLOCKS = 2**12, 2**12
 
 
 def doubled(links: DataFrame) -> DataFrame:
@@ -161,14 +161,13 @@ def preorder(parents: DataFrame) -> DataFrame:
         sizes = sizes.unionByName(r.select("path", "size", F.lit(k).alias("round")))
     add = F.coalesce(F.col("size") - 1, F.lit(0)).alias("add")
     sized = written(inner.join(sizes, "path").select("path", "parent", "at", "first", "size", add, "round"), "sized")
-    vertex = F.struct("path", "parent", "round").alias("vertex")
+    vertex = ["path", "parent", "round"]
     none = F.lit(None).cast("long")
-    heads = sized.select(F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("add"), vertex)
-    sums = _running(heads.unionByName(sized.select("at", F.lit(1).alias("kind"), "add", vertex)).withColumns({"size": none, "head": none}), n)
+    heads = sized.select(F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("add"), *vertex)
+    sums = _running(heads.unionByName(sized.select("at", F.lit(1).alias("kind"), "add", *vertex)).withColumns({"size": none, "head": none}), n)
     # what stands before the vertex, less what stands before its first child
     shift = F.sum(F.when(F.col("kind") == 1, F.col("at") + F.col("sum") - F.col("add") + 1).otherwise(-F.col("at") - F.col("sum"))).alias("shift")
-    shifts = sums.where("kind >= 0").groupBy(F.col("vertex")["path"].alias("path")).agg(F.any_value("vertex").alias("vertex"), shift)
-    shifts = shifts.select("path", F.col("vertex")["parent"].alias("parent"), "shift", F.col("vertex")["round"].alias("round"))
+    shifts = sums.where("kind >= 0").groupBy(*vertex).agg(shift).select("path", "parent", "shift", "round")
     shifts = written(shifts.hint("rebalance", "round"), "shifts", "round")
 
     known = sized.select("path", F.col("at").alias("shift"), F.col("at").alias("depth")).limit(0)
